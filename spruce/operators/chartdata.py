@@ -113,8 +113,8 @@ def box_stats(df: DataFrame, column: str, group: str | None = None, whisker: flo
                         F.lit(q3).cast("double").alias("q3"), F.lit(lo).cast("double").alias("_lo"),
                         F.lit(hi).cast("double").alias("_hi"))
     else:
-        q = stats.quantile_table(df, column, [0.25, 0.5, 0.75], by=by, exact=exact) \
-            .withColumnsRenamed({"q0": "q1", "q1": "median", "q2": "q3"})
+        q = stats.quantile_table(df, column, [0.25, 0.5, 0.75], by=by, exact=exact)
+        q = q.select(*by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
         q = q.withColumn("_lo", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))) \
             .withColumn("_hi", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
         j = rows.join(_maybe_broadcast(q), by, "inner")

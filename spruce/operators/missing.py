@@ -141,7 +141,9 @@ def fill_directional(df: DataFrame, columns: Iterable[str], order_by, forward: b
     for i in range(len(cols)):
         any_carry = any_carry | F.col(f"__c_{i}").isNotNull()
     carry = carry.where(any_carry)
-    carry = carry.select(*[F.col(x).alias("__k_" + x) for x in carry.columns])
+    keycols = [pid] + part
+    carry = carry.select(*[F.col(quote(x)).alias("__k_" + x) if x in keycols else F.col(quote(x))
+                           for x in carry.columns])
     cond = [F.col(pid) == F.col("__k_" + pid)]
     cond += [F.col(quote(k)).eqNullSafe(F.col(quote("__k_" + k))) for k in part]
     j = filled.join(carry, on=cond, how="left")

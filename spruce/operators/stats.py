@@ -204,12 +204,14 @@ def _join_intervals(base: DataFrame, intervals: DataFrame, gnames: list[str]) ->
     """Rows of ``base`` inside their group's interval [_lo, _hi]."""
     # Without groups there are at most two intervals per probability.
     n = intervals.count() if gnames else 0
-    iv = F.broadcast(intervals) if n <= BROADCAST_ROWS else intervals
-    cond = [base[g] == iv[g] for g in gnames]
-    cond.append(base["_v"] >= iv["_lo"])
-    cond.append(base["_v"] <= iv["_hi"])
+    iv = intervals.select(*[F.col(g).alias("_i" + g) for g in gnames], F.col("_lo").alias("_ilo"),
+                          F.col("_hi").alias("_ihi"), "_iid")
+    iv = F.broadcast(iv) if n <= BROADCAST_ROWS else iv
+    cond = [F.col(g) == F.col("_i" + g) for g in gnames]
+    cond.append(F.col("_v") >= F.col("_ilo"))
+    cond.append(F.col("_v") <= F.col("_ihi"))
     j = base.join(iv, on=cond, how="inner")
-    return j.select(*[base[g] for g in gnames], base["_v"], iv["_iid"], iv["_lo"], iv["_hi"])
+    return j.select(*gnames, "_v", "_iid", F.col("_ilo").alias("_lo"), F.col("_ihi").alias("_hi"))
 
 
 def _histogram_pass(base: DataFrame, pending: DataFrame, gnames: list[str]) -> DataFrame:

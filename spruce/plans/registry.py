@@ -66,9 +66,23 @@ def dirty_orders(spark, d):
     return _t(spark, d, "orders").selectExpr("o_orderkey", _SPARK_DATE_TEXT)
 
 
+def round_half_away(x, dp: int = 6):
+    """round(x, dp) computed as DuckDB computes it: std::round(x * 10^dp) / 10^dp.
+
+    Spark's ``round`` rounds the decimal text half-up; on exact decimal ties
+    the two engines can differ in the last place.  The same IEEE operations
+    in the same order give the same double on both sides.
+    """
+    m = float(10 ** dp)
+    a = F.abs(x) * F.lit(m)
+    r = F.floor(a).cast("double")
+    r = F.when(a - r >= 0.5, r + 1.0).otherwise(r)
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.when(x < 0, -r).otherwise(r) / F.lit(m))
+
+
 def rnd(df: DataFrame, dp: int = 6) -> DataFrame:
     """Round every double column (the oracle rounds the same columns)."""
-    return df.select(*[F.round(F.col(f"`{f.name}`"), dp).alias(f.name)
+    return df.select(*[round_half_away(F.col(f"`{f.name}`"), dp).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
                        for f in df.schema.fields])
 
@@ -253,7 +267,7 @@ def _tok(x: str) -> str:
 
 
 _DUCK_TITLE = ("array_to_string(list_transform(regexp_extract_all(kind, '([A-Za-z]+|[^A-Za-z]+)'), "
-               "x -> upper(x[1]) || lower(x[2:])), '')")
+               "lambda x: upper(x[1]) || lower(x[2:])), '')")
 
 
 @query("case_lower", with_("de") + f"SELECT event_id, {_tok('lower(kind)')} AS kind FROM de")
@@ -510,18 +524,18 @@ def q_scale_z(spark, d):
 
 
 @query("bin_width", with_("de") + """, m AS (SELECT min(value) AS mn, max(value) AS mx FROM de),
-e AS (SELECT list_transform(range(1, 5), k -> k * ((mx - mn) / 5) + mn) AS inner_edges FROM m)
+e AS (SELECT list_transform(range(1, 5), lambda k: k * ((mx - mn) / 5) + mn) AS inner_edges FROM m)
 SELECT event_id, CASE WHEN value IS NOT NULL THEN
-  1 + len(list_filter(inner_edges, x -> x < value)) END AS value_binned FROM de, e""")
+  1 + len(list_filter(inner_edges, lambda x: x < value)) END AS value_binned FROM de, e""")
 def q_bin_width(spark, d):
     return num.bin_column(dirty_events(spark, d), "value", 5, "equal_width").select("event_id", "value_binned")
 
 
-@query("bin_quantile", with_("de") + """, e AS (SELECT list_distinct(list_sort([
+@query("bin_quantile", with_("de") + """, e AS (SELECT list_sort(list_distinct([
     quantile_cont(value, 0.0), quantile_cont(value, 0.25), quantile_cont(value, 0.5),
     quantile_cont(value, 0.75), quantile_cont(value, 1.0)])) AS edges FROM de)
 SELECT event_id, CASE WHEN value IS NOT NULL THEN
-  1 + len(list_filter(edges[2:len(edges) - 1], x -> x < value)) END AS value_binned FROM de, e""")
+  1 + len(list_filter(edges[2:len(edges) - 1], lambda x: x < value)) END AS value_binned FROM de, e""")
 def q_bin_quantile(spark, d):
     return num.bin_column(dirty_events(spark, d), "value", 4, "quantile").select("event_id", "value_binned")
 
@@ -833,8 +847,8 @@ def q_rule_set(spark, d):
     return val.validate_rules(dirty_events(spark, d), _RULES, key_cols="event_id")
 
 
-@query("violation_summary", with_("de") + "SELECT column, rule_type, count(*) AS violations FROM ("
-       + _V_RANGE + " UNION ALL " + _V_ALLOWED + " UNION ALL " + _V_NULL + ") GROUP BY column, rule_type")
+@query("violation_summary", with_("de") + "SELECT \"column\", rule_type, count(*) AS violations FROM ("
+       + _V_RANGE + " UNION ALL " + _V_ALLOWED + " UNION ALL " + _V_NULL + ") GROUP BY \"column\", rule_type")
 def q_violation_summary(spark, d):
     return val.violation_summary(val.validate_rules(dirty_events(spark, d), _RULES, key_cols="event_id"))
 
