@@ -23,6 +23,10 @@ histogram refinement:
    holds at most ``COLLECT_LIMIT`` values, which are then sorted in one
    bounded aggregate.
 
+Size check first: when no group holds more than ``COLLECT_LIMIT`` values,
+Spark's own exact ``percentile`` is bounded too (its map has at most that
+many entries per group), so one grouped aggregate answers directly.
+
 Every pass is a distributed aggregate whose shuffle is bounded by
 ``BINS`` rows per interval, so the result is exact (same linear
 interpolation as ``percentile``/``quantile_cont``) with bounded per-task
@@ -41,7 +45,7 @@ from pyspark.sql.window import Window
 from ..functions.cols import as_double, as_list, c
 
 BINS = 1 << 14
-COLLECT_LIMIT = 1 << 16
+COLLECT_LIMIT = 1 << 20
 MAX_PASSES = 40
 # Above this many intervals the interval table is joined by shuffle, below it
 # is broadcast (its size is counted first).
@@ -124,6 +128,18 @@ def quantile_table(df: DataFrame, value: str, probs: Sequence[float], by: str |
 
 def _exact_quantiles(spark, base: DataFrame, gnames: list[str], by: list[str],
                      probs: list[float], collect: bool = False):
+    sizes = base.groupBy(*gnames).agg(F.count("_v").alias("_n"))
+    largest = sizes.agg(F.max("_n").alias("m")).first()["m"]
+    if largest is None:
+        empty = base.groupBy(*gnames).agg(*[F.lit(None).cast("double").alias(f"q{j}")
+                                             for j in range(len(probs))])
+        return [] if collect else empty.select(*[F.col(g).alias(k) for g, k in zip(gnames, by)],
+                                                *[f"q{j}" for j in range(len(probs))])
+    if largest <= COLLECT_LIMIT:
+        out = base.groupBy(*gnames).agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_qs"))
+        out = out.select(*[F.col(g).alias(k) for g, k in zip(gnames, by)],
+                         *[F.col("_qs")[j].alias(f"q{j}") for j in range(len(probs))])
+        return out.collect() if collect else out
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     cached: list[DataFrame] = [base]
     try:
@@ -184,20 +200,17 @@ def _exact_quantiles(spark, base: DataFrame, gnames: list[str], by: list[str],
 
 
 def _materialize(df: DataFrame, cached: list[DataFrame] | None) -> DataFrame:
-    """Persist a small intermediate and compute it once.
+    """Compute a small intermediate once and cut its lineage.
 
-    When ``cached`` is None the frame must outlive this module's caches, so it
-    is written to the checkpoint directory (survives executor loss, cuts the
-    lineage to the cached inputs).
+    Each refinement pass builds the next state from the previous one several
+    times over (kept ranks, histogram, collect), so without a cut the plan
+    would grow with every pass.  ``checkpoint`` writes the (small) state to
+    the cluster's shared checkpoint folder: the plan restarts from it and it
+    survives the loss of an executor.
     """
-    if cached is None:
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    cached.append(df)
-    return df
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def _join_intervals(base: DataFrame, intervals: DataFrame, gnames: list[str]) -> DataFrame:
