@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from .. import operators as _ops  # noqa: F401
 from ..operators import (categorical as cat, chartdata as ch, columns as colops, convert as conv, dedup,
                          missing as miss, numeric as num, profile as prof, validate as val)
+from ..sources import io as sio
 from . import recipe
 
 # ---------------------------------------------------------------- derived tables
@@ -899,3 +900,39 @@ def _audit_row(i: int, op: str, prev: str, cur: str) -> str:
     enumerate(zip(RECIPE, ["de", "s1", "s2", "s3"], ["s1", "s2", "s3", "s4"]))))
 def q_audit(spark, d):
     return recipe.audit_report(dirty_events(spark, d), RECIPE)
+
+
+# ---------------------------------------------------------------- S: sources and sinks
+
+@query("csv_roundtrip", "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, "
+                        "p_retailprice FROM part")
+def q_csv_roundtrip(spark, d):
+    """Write ``part`` as CSV (S4) into the shared scratch folder, read it back as pandas would."""
+    path = sio.write_csv(_t(spark, d, "part"), sio.scratch_path(spark, "part_csv"))
+    return sio.read_table(spark, path, "csv")
+
+
+@query("json_lines_roundtrip", "SELECT p_brand, p_name, p_partkey, p_retailprice, CAST(p_size AS BIGINT) AS p_size, "
+                               "p_type FROM part")
+def q_json_roundtrip(spark, d):
+    path = sio.write_json_lines(_t(spark, d, "part"), sio.scratch_path(spark, "part_json"))
+    return sio.read_table(spark, path, "jsonl")
+
+
+_BLANKED = "CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE n_name END AS n_name"
+
+
+@query("blank_to_null", "SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_name END AS n_name, "
+                        "n_regionkey FROM nation")
+def q_blank_to_null(spark, d):
+    return sio.blank_to_null(_t(spark, d, "nation").selectExpr("n_nationkey", _BLANKED, "n_regionkey"))
+
+
+@query("violations_csv", with_("de") + _V_RANGE + " UNION ALL " + _V_ALLOWED + " UNION ALL "
+       + _V_NULL.replace("'NaN' AS value", "CAST(NULL AS VARCHAR) AS value"))
+def q_violations_csv(spark, d):
+    """The violation rows written as CSV and read back (the text NaN reads back as missing)."""
+    v = val.validate_rules(dirty_events(spark, d), _RULES, key_cols="event_id")
+    path = sio.write_csv(v, sio.scratch_path(spark, "violations_csv"))
+    back = sio.read_table(spark, path, "csv")
+    return back.select("event_id", "column", "rule_type", F.col("value").cast("string").alias("value"), "detail")

@@ -30,6 +30,7 @@ def load_csv(spark: SparkSession, path: str) -> DataFrame:
     the column is cast accordingly.  Dates stay text, as in pandas.
     """
     raw = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
            .option("multiLine", True).option("inferSchema", False).option("mode", "PERMISSIVE")
            .csv(path))
     df = raw.select(*[F.when(c(k).isin(CSV_NA_TOKENS), F.lit(None).cast("string")).otherwise(c(k)).alias(k)
@@ -56,13 +57,15 @@ def load_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*out)
 
 
-def load_json(spark: SparkSession, path: str) -> DataFrame:
+def load_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A list of records, an object of equal-length lists (columns) or one object (one row).
 
     Spark reads the document (multiLine) and the shape is handled with
     array functions; column-oriented input is zipped into rows with
     ``arrays_zip`` + ``inline``.  Anything else fails.
     """
+    if lines:  # one record per line (what Spark and most exporters write)
+        return spark.read.option("mode", "FAILFAST").json(path)
     raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
     if "_corrupt_record" in raw.columns:
         raise ValueError("Unsupported JSON structure. Expected a list or dict.")
@@ -94,6 +97,8 @@ def read_table(spark: SparkSession, path: str | None, fmt: str | None = None) ->
         return load_csv(spark, path)
     if kind == "json":
         return load_json(spark, path)
+    if kind in ("jsonl", "ndjson"):
+        return load_json(spark, path, lines=True)
     if kind == "parquet":
         return load_parquet(spark, path)
     raise ValueError(f"Unsupported file format: {os.path.basename(path)}. "
@@ -106,8 +111,23 @@ def blank_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.when(c(k) == "", F.lit(None).cast("string")).otherwise(c(k)) for k in strings})
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the cluster's shared checkpoint directory."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/spruce-io/{uuid.uuid4().hex}/{name}"
+
+
+def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+    df.write.mode(mode).json(path)
+    return path
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Header row, UTF-8, one folder of part files; an empty table keeps its header."""
     (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("encoding", "UTF-8").csv(path))
     return path
