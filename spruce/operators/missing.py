@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,7 +113,13 @@ def fill_directional(df: DataFrame, columns: Iterable[str], order_by, forward: b
     n_buckets = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [c(k) for k in part + keys]
     pid = "__fill_range"
-    ranged = df.repartitionByRange(n_buckets, *sort_cols).withColumn(pid, F.spark_partition_id())
+    # Both branches below (local fill, per-range edges) must see the same range
+    # assignment; two separate range exchanges would sample their boundaries
+    # independently.  The range-partitioned rows are therefore persisted once
+    # (memory, spilling to disk) and read by both branches; a lost block is
+    # recomputed from the same shuffle dependency, hence the same ranges.
+    ranged = df.repartitionByRange(n_buckets, *sort_cols).withColumn(pid, F.spark_partition_id()) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     order = [c(k) for k in keys]
     if forward:
         w = Window.partitionBy(pid, *[c(k) for k in part]).orderBy(*order) \
