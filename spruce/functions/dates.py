@@ -89,10 +89,21 @@ def _month_from_name(part: Column, abbr: bool) -> Column:
     return F.when(full > 0, full).otherwise(short)
 
 
+_DIRECT = {"year", "month", "day", "hour", "minute", "second", "fraction"}
+
+
 def parse_with_format(x: Column, fmt: str) -> Column:
     """Text -> timestamp_ntz under one strftime format; null when it does not fit."""
     rx, fields = compile_format(fmt)
     s = x.cast("string")
+    if set(fields) <= _DIRECT:
+        # One regex pass rewrites the text to ISO form (the cast accepts
+        # unpadded fields); the guard keeps non-matching text out.
+        ref = {name: f"${i + 1}" for i, name in enumerate(fields)}
+        template = (f"{ref.get('year', '1900')}-{ref.get('month', '1')}-{ref.get('day', '1')} "
+                    f"{ref.get('hour', '0')}:{ref.get('minute', '0')}:{ref.get('second', '0')}"
+                    + (f".{ref['fraction']}" if "fraction" in ref else ""))
+        return F.when(s.rlike(rx), F.regexp_replace(s, rx, template).try_cast("timestamp_ntz"))
     part = {name: F.regexp_extract(s, rx, i + 1) for i, name in enumerate(fields)}
     if "year" in part:
         year = part["year"]

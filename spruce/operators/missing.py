@@ -15,6 +15,19 @@ from ..functions.cols import as_double, as_list, c, is_numeric, order_key, quote
 from . import stats
 
 
+# Range-partitioned inputs persisted by fill_directional; the result is lazy,
+# so the cache is released by the caller (release_fill_caches) once consumed.
+_FILL_CACHES: list[DataFrame] = []
+
+
+def release_fill_caches() -> int:
+    """Unpersist the range-partitioned inputs kept for ffill/bfill results."""
+    n = len(_FILL_CACHES)
+    while _FILL_CACHES:
+        _FILL_CACHES.pop().unpersist()
+    return n
+
+
 def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.withColumns(new) if new else df
 
@@ -120,6 +133,7 @@ def fill_directional(df: DataFrame, columns: Iterable[str], order_by, forward: b
     # recomputed from the same shuffle dependency, hence the same ranges.
     ranged = df.repartitionByRange(n_buckets, *sort_cols).withColumn(pid, F.spark_partition_id()) \
         .persist(StorageLevel.MEMORY_AND_DISK)
+    _FILL_CACHES.append(ranged)
     order = [c(k) for k in keys]
     if forward:
         w = Window.partitionBy(pid, *[c(k) for k in part]).orderBy(*order) \
