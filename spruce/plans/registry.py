@@ -206,7 +206,16 @@ def q_formula_demean(spark, d):
     return rnd(df.select("l_orderkey", "l_linenumber", "l_partkey", "qty_centered"))
 
 
-@query("type_sample")
+_LI_TYPES = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
+             ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"),
+             ("l_tax", "double"), ("l_returnflag", "string"), ("l_linestatus", "string"),
+             ("l_shipdate", "timestamp_ntz")]
+
+
+@query("type_sample", "WITH f AS (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+       "l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate LIMIT 1) "
+       + " UNION ALL ".join(f"SELECT {i} AS ordinal, '{k}' AS column, '{t}' AS dtype, CAST({k} AS VARCHAR) AS sample "
+                            f"FROM f" for i, (k, t) in enumerate(_LI_TYPES)))
 def q_type_sample(spark, d):
     return prof.sample_types(_t(spark, d, "lineitem"), order_by=["l_orderkey", "l_linenumber"])
 
