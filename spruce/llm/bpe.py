@@ -3,8 +3,8 @@
 A text is cut by the vocabulary's pattern; each match is encoded by itself.
 The pairs of a match wait in buckets, one for each merge rank; a bucket holds
 the places of its pairs in the linked list of parts.  Which ranks have a
-bucket is kept in a bitmap of three levels, so the lowest rank is found by
-three find-first-set steps whatever the number of waiting pairs.  A merge
+bucket is kept in a bitmap of two levels, so the lowest rank is found by
+two find-first-set steps whatever the number of waiting pairs.  A merge
 leaves stale entries in the buckets; they are skipped when they come up.  A
 match of n bytes costs O(n log n) at most, however long it is.
 
@@ -20,7 +20,7 @@ import base64
 import hashlib
 from functools import cache
 from heapq import heappop, heappush
-from itertools import chain, islice
+from itertools import islice
 
 import pandas as pd
 import regex
@@ -30,140 +30,142 @@ from pyspark.sql import functions as F
 from .common import column
 
 LONGEST_KEPT = 64
-MOST_KEPT = 200_000
+MOST_KEPT = 300_000
+BIT = [1 << i for i in range(512)]
 #: A text of more characters is cut by the pattern match by match, not into one list.
 LONG_TEXT = 1 << 20
 
 
-class RankQueue:
-    """Set of ranks below 2 ** 18 with their places; the smallest rank first, then the smallest place."""
-
-    def __init__(self) -> None:
-        self.top = 0
-        self.mid = [0] * 64
-        self.low = [0] * 4096
-        self.places: dict[int, list[int]] = {}
-
-    def add(self, rank: int, place: int) -> None:
-        bucket = self.places.get(rank)
-        if bucket is None:
-            self.places[rank] = [place]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heappush(bucket, place)
-
-    def pop(self) -> tuple[int, int]:
-        """Lowest rank and its lowest place; (-1, -1) if nothing waits."""
-        if not self.top:
-            return -1, -1
-        i = (self.top & -self.top).bit_length() - 1
-        m = self.mid[i]
-        j = i << 6 | ((m & -m).bit_length() - 1)
-        w = self.low[j]
-        rank = j << 6 | ((w & -w).bit_length() - 1)
-        bucket = self.places[rank]
-        place = heappop(bucket)
-        if not bucket:
-            del self.places[rank]
-            self.low[j] &= w - 1
-            if not self.low[j]:
-                self.mid[i] &= m - 1
-                if not self.mid[i]:
-                    self.top &= self.top - 1
-        return rank, place
-
-
-class _Kept(dict):
-    """Ids and their decimal text by short match, filled on demand, emptied when full."""
-
-    def __init__(self, merge) -> None:
+class Kept(dict):
+    """Results of ``make`` by short key, filled on demand.
+
+    Two generations of ``most`` entries: when the young one is full it becomes the
+    old one, and what is asked for again moves over, so frequent keys stay.
+    """
+
+    def __init__(self, make, longest: int = LONGEST_KEPT, most: int = MOST_KEPT) -> None:
         super().__init__()
-        self.merge = merge
-
-    def __missing__(self, piece: str) -> tuple[list[int], str]:
-        ids = self.merge(piece.encode())
-        got = ids, " ".join(map(str, ids))
-        if len(piece) <= LONGEST_KEPT:
-            if len(self) >= MOST_KEPT:
-                self.clear()
-            self[piece] = got
+        self.make, self.longest, self.most, self.old = make, longest, most, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+            if len(key) > self.longest:
+                return got
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
         return got
 
 
 class ByteBPE:
+    """Encoder and decoder; the bitmap has two levels of 512 bits a word, for ranks below 2 ** 18."""
+
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         if max(ranks.values(), default=0) >= 1 << 18:
             raise ValueError("ranks must be below 2 ** 18")
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.bytes_of_decimal = {str(v): k for k, v in ranks.items()}
         self.split = regex.compile(pattern)
-        self.queue = RankQueue()
-        self.kept = _Kept(self.merge)
+        self.low = [0] * 512
+        self.kept = Kept(lambda piece: " ".join(map(str, self.merge(piece.encode()))))
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one match."""
-        ranks = self.ranks
-        if data in ranks:
-            return [ranks[data]]
+        rank_of = self.ranks.get
+        whole = rank_of(data)
+        if whole is not None:
+            return [whole]
         n = len(data)
-        end = list(range(1, n + 1))      # where the part that starts here ends; 0: it has been merged away
-        before = list(range(-1, n))      # start of the part before
-        queue = self.queue
+        end = list(range(1, n + 1))   # where the part that starts here ends
+        before = list(range(-1, n))   # start of the part before
+        pair = [-1] * n               # rank of the pair that starts here; -1: none, or the part has been merged away
+        top, low, bit = 0, self.low, BIT
+        buckets: dict[int, list[int]] = {}  # waiting places by rank, a heap each
         for i in range(n - 1):
-            r = ranks.get(data[i:i + 2])
+            r = rank_of(data[i:i + 2])
             if r is not None:
-                queue.add(r, i)
-        while True:
-            rank, i = queue.pop()
-            if rank < 0:
-                break
+                pair[i] = r
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    b = r >> 9
+                    low[b] |= bit[r & 511]
+                    top |= bit[b]
+        while top:
+            # find first set, level by level
+            b = (top & -top).bit_length() - 1
+            w = low[b]
+            rank = b << 9 | ((w & -w).bit_length() - 1)
+            bucket = buckets[rank]
+            i = heappop(bucket) if len(bucket) > 1 else bucket.pop()
+            if not bucket:
+                del buckets[rank]
+                low[b] = w = w & (w - 1)
+                if not w:
+                    top &= top - 1
+            if pair[i] != rank:
+                continue  # a stale entry
             j = end[i]
-            if not j or j >= n:
-                continue
-            k = end[j]
-            if ranks.get(data[i:k]) != rank:
-                continue
-            end[i], end[j] = k, 0
+            end[i] = k = end[j]
+            pair[i] = pair[j] = -1
+            h = before[i]
             if k < n:
                 before[k] = i
-                r = ranks.get(data[i:end[k]])
-                if r is not None:
-                    queue.add(r, i)
-            h = before[i]
-            if h >= 0:
-                r = ranks.get(data[h:k])
-                if r is not None:
-                    queue.add(r, h)
+                fresh = ((i, end[k]), (h, k)) if h >= 0 else ((i, end[k]),)
+            elif h >= 0:
+                fresh = ((h, k),)
+            else:
+                break  # one part is left
+            for i, k in fresh:
+                r = rank_of(data[i:k])
+                if r is None:
+                    pair[i] = -1
+                    continue
+                pair[i] = r
+                if r in buckets:
+                    heappush(buckets[r], i)
+                else:
+                    buckets[r] = [i]
+                    b = r >> 9
+                    low[b] |= bit[r & 511]
+                    top |= bit[b]
+        if top:  # left early
+            for r in buckets:
+                low[r >> 9] = 0
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[data[i:end[i]]])
-            i = end[i]
+            k = end[i]
+            ids.append(rank_of(data[i:k]))
+            i = k
         return ids
 
     def _stretches(self, text: str):
-        """Lists of (ids, decimal text) of the matches of a text, each list of bounded size."""
-        kept = self.kept
+        """The ids of a text in decimal, joined by blanks, in stretches of bounded size."""
         if len(text) <= LONG_TEXT:
-            yield [kept[p] for p in self.split.findall(text)]
+            if text:
+                yield " ".join(map(self.kept.__getitem__, self.split.findall(text)))
             return
         matches = self.split.finditer(text)
-        while part := [kept[m.group()] for m in islice(matches, 1 << 16)]:
+        while part := " ".join([self.kept[m.group()] for m in islice(matches, 1 << 16)]):
             yield part
 
     def encode(self, text: str) -> list[int]:
-        return [i for part in self._stretches(text) for ids, _ in part for i in ids]
+        return [int(i) for part in self._stretches(text) for i in part.split(" ")]
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, sha256 of the ids in decimal joined by blanks, sha256 of the decoded bytes)."""
         n, ids_hash, bytes_hash = 0, hashlib.sha256(), hashlib.sha256()
         for part in self._stretches(text):
-            if not part:
-                continue
-            ids = list(chain.from_iterable(p[0] for p in part))
-            ids_hash.update((" " if n else "").encode() + " ".join([p[1] for p in part]).encode())
-            bytes_hash.update(self.decode(ids))
+            if n:
+                ids_hash.update(b" ")
+            ids_hash.update(part.encode())
+            ids = part.split(" ")
+            bytes_hash.update(b"".join(map(self.bytes_of_decimal.__getitem__, ids)))
             n += len(ids)
         return n, ids_hash.hexdigest(), bytes_hash.hexdigest()
 
