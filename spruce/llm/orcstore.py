@@ -20,10 +20,11 @@ table writes an empty folder, which reads as no rows.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from functools import cache
-from itertools import chain
+from string import ascii_letters, ascii_uppercase, punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -34,34 +35,93 @@ from ..session import ensure_checkpoint_dir
 from .common import column, cut, partitions
 from .sharding import MOST, part_of, splitters
 
-LONGEST_KEPT = 64
-MOST_KEPT = 400_000
+#: Parts of texts that are kept in each of two generations.
+MOST_KEPT = 600_000
+LETTER, LATIN, PUNCTUATION = (np.zeros(256, dtype=bool) for _ in range(3))
+LETTER[list(ascii_letters.encode())] = True
+PUNCTUATION[list(punctuation.encode())] = True
+LATIN[0x80:0xC0] = True  # behind byte C3: the letters of Latin-1
+LATIN[[0x97, 0xB7]] = False  # the signs of multiplication and division
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 SCHEMA = "doc_id long, none boolean, hash long, ids array<int>, part int"
 
 
-class WordEncoder(dict):
-    """Ids of words by the tokenizers library; words that were seen are kept, up to a bound."""
+class WordEncoder:
+    """Ids of texts by the tokenizers library, as bytes of little-endian 32-bit integers.
+
+    Texts are cut into parts at ASCII white space, and where an ASCII or Latin-1 letter stands before ASCII
+    punctuation: the vocabularies in question never join across either.  The ids of the parts
+    are kept in a bounded table of two generations.  New parts of letters alone are one
+    token group each; they go to the library as one text, and the ends of words in its ids
+    tell them apart.  ASCII capitals are folded first if the vocabulary folds them and no
+    combining mark could join them.
+    """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def __missing__(self, word: bytes) -> list[int]:
-        ids = self.whole(word.decode("utf-8", "surrogatepass"))
-        if len(word) <= LONGEST_KEPT:
-            if len(self) >= MOST_KEPT:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def ids(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").split()
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, words)), dtype=np.int32)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.array([bool(suffix) and x.endswith(suffix) for x in names])
+        self.folds = all(self.whole(c.encode()) == self.whole(c.lower().encode()) for c in ascii_uppercase)
+        self.parts: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def whole(self, text: bytes) -> bytes:
+        ids = self.tokenizer.encode(text.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+        return np.array(ids, dtype="<i4").tobytes()
+
+    def cut(self, data: bytes) -> list[bytes] | None:
+        """The parts of a text in UTF-8; None if a special token's text stands in it."""
+        if any(x in data for x in self.special):
+            return None
+        if self.folds and b"\xcc" not in data and b"\xcd" not in data:
+            data = data.lower()
+        x = np.frombuffer(data, dtype=np.uint8)
+        if len(x) < 2:
+            return data.split()
+        letter = LETTER[x]
+        letter[1:] |= (x[:-1] == 0xC3) & LATIN[x[1:]]
+        at = np.nonzero(letter[:-1] & PUNCTUATION[x[1:]])[0]
+        return np.insert(x, at + 1, 32).tobytes().split()
+
+    def _learn(self, parts: set[bytes]) -> None:
+        new = []
+        for p in parts:
+            if (got := self.old.get(p)) is not None:
+                self.parts[p] = got
+            elif LETTERS(p):
+                new.append(p)
+            else:
+                self.parts[p] = self.whole(p)
+        if not new:
+            return
+        text = b" ".join(new).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<i4")
+        ends = np.nonzero(self.ends[ids])[0]
+        if len(ends) == len(new):
+            data, at = ids.tobytes(), 0
+            for p, e in zip(new, (4 * (ends + 1)).tolist()):
+                self.parts[p] = data[at:e]
+                at = e
+        else:  # a vocabulary without marks for the ends of words
+            for p in new:
+                self.parts[p] = self.whole(p)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text in UTF-8."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), 128):
+            if len(self.parts) > MOST_KEPT:
+                self.parts, self.old = {}, self.parts
+            some = texts[at:at + 128]
+            cut_up = [self.cut(t) for t in some]
+            self._learn(set().union(*filter(None, cut_up)).difference(self.parts))
+            ids = self.parts.__getitem__
+            out += [self.whole(t) if x is None else b"".join(map(ids, x)) for t, x in zip(some, cut_up)]
+        return out
 
 
 @cache
@@ -74,14 +134,13 @@ def tokenized(rows: DataFrame, path: str, end_id: int | None, by_word: bool = Tr
 
     def encode(batches):
         words = encoder(path)
+        end = b"" if end_id is None else np.array([end_id], dtype="<i4").tobytes()
         for batch in batches:
-            found = []
-            for text in batch.column("text").to_pylist():
-                ids = words.ids(text) if by_word else np.array(words.whole(text), dtype=np.int32)
-                found.append(ids if end_id is None else np.append(ids, np.int32(end_id)))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            values = np.concatenate([*found, np.zeros(0, dtype=np.int32)])
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            found = [x + end for x in (words.encode(texts) if by_word else map(words.whole, texts))]
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(found), dtype="<i4"), pa.int32())
+            ids = pa.ListArray.from_arrays(pa.array(offsets), values)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("none"), batch.column("hash"), ids, batch.column("part")],
                 ["doc_id", "none", "hash", "ids", "part"])
@@ -104,7 +163,7 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = No
     (tokenized(rows, tokenizer, end_id, by_word).write.partitionBy("part").format("orc")
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
      .option("orc.create.index", "true").option("orc.row.index.stride", str(row_index_stride))
-     .option("orc.stripe.size", str(stripe_mb << 20)).option("compression", "zstd").mode("error").save(out))
+     .option("orc.stripe.size", str(stripe_mb << 20)).option("compression", "lz4").mode("error").save(out))
 
 
 def read_ids(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -121,7 +180,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             ids = batch.column("ids")
             values = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
             at = ids.offsets.to_numpy()
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
+            crc = [zlib.crc32(values[a:b]) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("none"), batch.column("hash"), batch.column("part"),
                  pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())],
