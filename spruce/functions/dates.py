@@ -21,23 +21,22 @@ MONTHS = ["january", "february", "march", "april", "may", "june", "july",
           "august", "september", "october", "november", "december"]
 
 # Formats tried, in this order, when a column's format is
-# guessed from its first value (month-first before day-first).
+# guessed from its first value (month-first before day-first, for every separator).
 GUESS_FORMATS = [
     "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S",
-    "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M", "%Y-%m-%d", "%Y/%m/%d %H:%M:%S", "%Y/%m/%d",
+    "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M", "%Y-%m-%d", "%Y/%m/%d %H:%M:%S", "%Y/%m/%d %H:%M", "%Y/%m/%d",
     "%m/%d/%Y %H:%M:%S", "%m/%d/%Y %H:%M", "%m/%d/%Y", "%d/%m/%Y %H:%M:%S", "%d/%m/%Y %H:%M",
-    "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y", "%d.%m.%Y", "%Y%m%d", "%d %b %Y", "%d %B %Y",
-    "%b %d %Y", "%B %d %Y", "%b %d, %Y", "%B %d, %Y",
+    "%d/%m/%Y", "%m-%d-%Y %H:%M:%S", "%m-%d-%Y %H:%M", "%m-%d-%Y", "%d-%m-%Y %H:%M:%S", "%d-%m-%Y %H:%M", "%d-%m-%Y",
+    "%m.%d.%Y %H:%M:%S", "%m.%d.%Y %H:%M", "%m.%d.%Y", "%d.%m.%Y %H:%M:%S", "%d.%m.%Y %H:%M", "%d.%m.%Y", "%Y%m%d",
+    "%d %b %Y", "%d %B %Y", "%b %d %Y", "%B %d %Y", "%b %d, %Y", "%B %d, %Y",
 ]
 
-# Formats tried per value by the mixed parser, in this order
-# (month-first; day-first only when the first number cannot be a month).
-MIXED_FORMATS = [
-    "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S",
-    "%Y-%m-%d %H:%M", "%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y %H:%M:%S", "%m/%d/%Y", "%d/%m/%Y %H:%M:%S",
-    "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y", "%d.%m.%Y", "%d %b %Y", "%d %B %Y", "%b %d %Y",
-    "%B %d %Y", "%b %d, %Y", "%B %d, %Y",
-]
+# Shapes of the mixed parser: an optional time follows each.
+_TIME = r"(?:[T\s]+(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?\s*([AaPp][Mm])?)?\s*$"
+_YEAR_FIRST = r"^\s*(\d{4})[-/.]?(\d{2}|(?<=[-/.])\d)[-/.]?(\d{2}|(?<=[-/.])\d)" + _TIME
+_NUMBER_FIRST = r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + _TIME
+_DAY_NAME = r"^\s*(\d{1,2})[\s-]+([A-Za-z]{3,9})\.?,?[\s-]+(\d{4})" + _TIME
+_NAME_DAY = r"^\s*([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:,\s*|\s+)(\d{4})" + _TIME
 
 _FIELDS = {
     "Y": ("year", r"(\d{4})"),
@@ -138,8 +137,37 @@ def parse_with_format(x: Column, fmt: str) -> Column:
 
 
 def parse_mixed(x: Column, formats: list[str] | None = None) -> Column:
-    """Each value parsed on its own with the first format that fits it."""
-    return F.coalesce(*[parse_with_format(x, f) for f in (formats or MIXED_FORMATS)])
+    """Each value parsed on its own: by the formats given, else by its shape.
+
+    The shapes are year first, numbers first (month first; day first only
+    where the first number cannot be a month) and month name; each takes one regex pass.
+    """
+    if formats:
+        return F.coalesce(*[parse_with_format(x, f) for f in formats])
+    s = x.cast("string")
+
+    def parts(shape: str) -> Column:
+        return F.split(F.regexp_replace(s, shape, "$1|$2|$3|$4|$5|$6|$7|$8"), r"\|", -1)
+
+    def moment(year: Column, month: Column, day: Column, p: Column) -> Column:
+        hour, half = p[3].try_cast("int"), F.lower(p[7])
+        hour = F.when(half == "", F.coalesce(hour, F.lit(0))).when(~hour.between(1, 12), F.lit(99)).otherwise(
+            hour % 12 + F.when(half == "pm", 12).otherwise(0))
+        zero = lambda c: F.when(c == "", F.lit("0")).otherwise(c)
+        second = F.concat(zero(p[5]), F.lit("."), F.substring(F.rpad(p[6], 6, "0"), 1, 6))
+        text = F.concat_ws("-", year, month, day)
+        return F.concat(text, F.lit(" "), hour.cast("string"), F.lit(":"), zero(p[4]), F.lit(":"), second).try_cast("timestamp_ntz")
+
+    def named(text: Column) -> Column:
+        return F.nullif(_month_from_name(text, False), F.lit(0)).cast("string")
+
+    y, n, d, m = parts(_YEAR_FIRST), parts(_NUMBER_FIRST), parts(_DAY_NAME), parts(_NAME_DAY)
+    first, second = n[0].try_cast("int"), n[1].try_cast("int")
+    month, day = F.when(first > 12, second).otherwise(first), F.when(first > 12, first).otherwise(second)
+    return (F.when(s.rlike(_YEAR_FIRST), moment(y[0], y[1], y[2], y))
+            .when(s.rlike(_NUMBER_FIRST), moment(n[2], month.cast("string"), day.cast("string"), n))
+            .when(s.rlike(_DAY_NAME) & named(d[1]).isNotNull(), moment(d[2], named(d[1]), d[0], d))
+            .when(s.rlike(_NAME_DAY) & named(m[0]).isNotNull(), moment(m[2], named(m[0]), m[1], m)))
 
 
 def guess_format(sample: str | None) -> str | None:

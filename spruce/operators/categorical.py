@@ -6,14 +6,11 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.cols import as_list, c, require
+from ..functions.cols import as_list, c, check_names, require
 from ..functions.text import null_tokens_to_null, py_strip, py_title
 
-# One-hot needs the distinct values in the schema; above this many it fails.
-ONE_HOT_MAX_VALUES = 1000
-
-
 def standardize_case(df: DataFrame, columns: Iterable[str], case: str = "lower") -> DataFrame:
     """Lower / upper / title case; the texts '', 'nan', 'None', 'null' become null."""
     cols = require(df, as_list(columns))
@@ -53,14 +50,18 @@ def map_values(df: DataFrame, column: str, mapping: dict, set_unmatched_to_other
     if not mapping:
         return df.withColumn(column, F.lit(other)) if set_unmatched_to_other else df
     keys = list(mapping.keys())
-    m = F.create_map(*[F.lit(v) for kv in mapping.items() for v in kv])
+    mixed = len({isinstance(v, str) for v in mapping.values() if v is not None}) > 1
+    m = F.create_map(*[x for k, v in mapping.items()
+                       for x in (F.lit(k), F.lit(str(v) if mixed and v is not None else v))])
     key = x.cast("string") if all(isinstance(k, str) for k in keys) else x
     hit = F.try_element_at(m, key)
     if set_unmatched_to_other:
         return df.withColumn(column, F.coalesce(hit.cast("string"), F.lit(other)))
     found = F.array_contains(F.map_keys(m), key)
-    rest = x.cast("string") if all(isinstance(v, str) for v in mapping.values()) else x
-    return df.withColumn(column, F.when(found, hit).otherwise(rest))
+    text = any(isinstance(v, str) for v in mapping.values()) or isinstance(df.schema[column].dataType, T.StringType)
+    if text:  # one type on both sides
+        hit, x = hit.cast("string"), x.cast("string")
+    return df.withColumn(column, F.when(found, hit).otherwise(x))
 
 
 def rare_categories(df: DataFrame, column: str, threshold_pct: float = 5.0) -> DataFrame:
@@ -79,33 +80,34 @@ def group_rare_categories(df: DataFrame, column: str, threshold_pct: float = 5.0
                           replacement: str = "Other") -> DataFrame:
     """Values below the share threshold (strictly) become ``replacement``; null stays null.
 
-    The rare-value table is joined back; it is broadcast only when its row
-    count is small, otherwise it is a shuffle join.
+    The result is text, whether a value is rare or not.  The rare-value table
+    is joined back; Spark chooses the join.
     """
     rare = rare_categories(df, column, threshold_pct).select(F.col("value").alias("__rare"))
-    n = rare.count()
-    if n == 0:
-        return df
-    side = F.broadcast(rare) if n <= 100_000 else rare
-    j = df.join(side, c(column) == F.col("__rare"), "left")
+    j = df.join(rare, c(column) == F.col("__rare"), "left")
     out = F.when(F.col("__rare").isNotNull(), F.lit(replacement)).otherwise(c(column).cast("string"))
     return j.withColumn(column, out).drop("__rare")
 
 
 def one_hot_encode(df: DataFrame, columns: Iterable[str], drop_first: bool = False,
-                   max_values: int = ONE_HOT_MAX_VALUES) -> DataFrame:
+                   max_values: int | None = None) -> DataFrame:
     """``{col}_{value}`` 0/1 columns in sorted value order; the source column is removed.
 
     The output schema depends on the data, so the distinct values are read
-    first (one bounded job per column: at most ``max_values + 1`` rows come
-    back; more than ``max_values`` fails instead of building a huge schema).
+    first; they are the columns of the result.  NaN is missing and gets no column.
+    With ``max_values`` more distinct values than that fail.  Names that
+    differ only in case fail, as no later step could tell the columns apart.
     """
     cols = require(df, as_list(columns))
     new = {}
     for k in cols:
-        vals = [r[0] for r in df.select(c(k)).where(c(k).isNotNull()).distinct()
-                .orderBy(c(k)).limit(max_values + 1).collect()]
-        if len(vals) > max_values:
+        there = c(k).isNotNull()
+        if isinstance(df.schema[k].dataType, (T.DoubleType, T.FloatType)):
+            there = there & ~F.isnan(c(k))
+        found = df.select(c(k)).where(there).distinct().orderBy(c(k))
+        found = found.limit(max_values + 1) if max_values is not None else found
+        vals = [r[0] for r in found.collect()]
+        if max_values is not None and len(vals) > max_values:
             raise ValueError(f"column {k!r} has more than {max_values} distinct values")
         if drop_first:
             vals = vals[1:]
@@ -113,4 +115,6 @@ def one_hot_encode(df: DataFrame, columns: Iterable[str], drop_first: bool = Fal
             name = f"{k}_{v}"
             new[name] = F.coalesce((c(k) == F.lit(v)).cast("long"), F.lit(0).cast("long"))
     keep = [x for x in df.columns if x not in cols]
-    return df.select(*[c(x) for x in keep], *[e.alias(n) for n, e in new.items()])
+    out = df.select(*[c(x) for x in keep], *[e.alias(n) for n, e in new.items()])
+    check_names(out)
+    return out

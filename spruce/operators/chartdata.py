@@ -12,16 +12,11 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.cols import as_double, as_list, c, categorical_columns, is_numeric, numeric_columns, require
 from . import stats
 
-# Group tables up to this many rows are broadcast to the rows (counted first).
-BROADCAST_GROUPS = 100_000
-# Pivoted (wide) charts put one column per colour value.
-MAX_PIVOT_VALUES = 1000
-
-
 def _bin_index(x: Column, mn: Column, mx: Column, n: int) -> Column:
     """numpy.histogram's bin of x over n equal bins of [mn, mx] (last bin closed)."""
     step = (mx - mn) / F.lit(float(n))
@@ -64,10 +59,6 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
                       F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
 
 
-def _maybe_broadcast(small: DataFrame) -> DataFrame:
-    return F.broadcast(small) if small.count() <= BROADCAST_GROUPS else small
-
-
 def histogram_grouped(df: DataFrame, column: str, group: str, bins: int = 30) -> DataFrame:
     """H2: one histogram per non-null group value, each over its own [min, max]."""
     require(df, [column, group])
@@ -78,8 +69,7 @@ def histogram_grouped(df: DataFrame, column: str, group: str, bins: int = 30) ->
     g = g.select("group",
                  F.when(F.col("_mn0") == F.col("_mx0"), F.col("_mn0") - 0.5).otherwise(F.col("_mn0")).alias("_mn"),
                  F.when(F.col("_mn0") == F.col("_mx0"), F.col("_mx0") + 0.5).otherwise(F.col("_mx0")).alias("_mx"))
-    gb = _maybe_broadcast(g)
-    j = rows.join(gb, "group")
+    j = rows.join(g, "group")
     counts = j.groupBy("group", _bin_index(F.col("_x"), F.col("_mn"), F.col("_mx"), bins).alias("bin")) \
         .agg(F.count(F.lit(1)).alias("count"))
     # every group gets all its bins: the group table (one row per group) is
@@ -117,7 +107,7 @@ def box_stats(df: DataFrame, column: str, group: str | None = None, whisker: flo
         q = q.select(*by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
         q = q.withColumn("_lo", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))) \
             .withColumn("_hi", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
-        j = rows.join(_maybe_broadcast(q), by, "inner")
+        j = rows.join(q, by, "inner")
     inside = (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
     return j.groupBy(*[c(k) for k in by], "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
@@ -143,30 +133,36 @@ def box_outliers(df: DataFrame, column: str, group: str | None = None, whisker:
     q = stats.quantile_table(df, column, [0.25, 0.75], by=by, exact=exact)
     q = q.select(*by, (F.col("q0") - whisker * (F.col("q1") - F.col("q0"))).alias("_lo"),
                  (F.col("q1") + whisker * (F.col("q1") - F.col("q0"))).alias("_hi"))
-    j = rows.join(_maybe_broadcast(q), by, "inner")
+    j = rows.join(q, by, "inner")
     return j.where((F.col("value") < F.col("_lo")) | (F.col("value") > F.col("_hi"))).select(*by, "value")
 
 
-def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None,
-                   max_points: int | None = None, seed: int = 42) -> DataFrame:
-    """H4: (x, y[, color]); with a colour, rows without one are dropped.
+def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
+    """H4: (x, y[, color]), every point; with a colour, rows without one are dropped.
 
-    ``max_points`` turns on sampling (a Bernoulli sample of about that many
-    points) -- drawing millions of points is not useful; without it every
-    point is returned.
+    For more points than can be drawn see ``scatter_bins``.
     """
     cols = [x, y] + ([color] if color else [])
     require(df, cols)
     out = df.select(*[c(k) for k in cols])
     if color:
         out = out.where(c(color).isNotNull())
-    if max_points:
-        n = out.count()
-        if n > max_points:
-            out = out.sample(withReplacement=False, fraction=max_points / n, seed=seed)
     return out
 
 
+def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
+    """H4 for large tables: (x_bin, y_bin, count) over ``bins`` equal bins of each axis; every point with both values counts."""
+    require(df, [x, y])
+    rows = df.select(as_double(x).alias("_x"), as_double(y).alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
+    ends = rows.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
+    if ends[0] is None:
+        return rows.select(F.lit(0).alias("x_bin"), F.lit(0).alias("y_bin"), F.lit(0).cast("long").alias("count"))
+    (x0, x1), (y0, y1) = _hist_range(ends[0], ends[1]), _hist_range(ends[2], ends[3])
+    return rows.groupBy(_bin_index(F.col("_x"), F.lit(x0), F.lit(x1), bins).alias("x_bin"),
+                        _bin_index(F.col("_y"), F.lit(y0), F.lit(y1), bins).alias("y_bin")).agg(
+        F.count(F.lit(1)).alias("count"))
+
+
 def line_series(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
     """H5: (x, y[, color]) sorted by x, missing x last (per colour when given)."""
     cols = [x, y] + ([color] if color else [])
@@ -197,8 +193,12 @@ def _grouped_value(df: DataFrame, keys: list[str], y: str, how: str, exact: bool
     for k in keys:
         rows = rows.where(c(k).isNotNull())
     if how.lower() == "median":
-        return stats.quantile_table(rows, y, [0.5], by=keys, exact=exact).withColumnRenamed("q0", "value")
-    return rows.groupBy(*[c(k) for k in keys]).agg(_agg(y, how).alias("value"))
+        found = stats.quantile_table(rows, y, [0.5], by=keys, exact=exact).withColumnRenamed("q0", "value")
+        return rows.select(*[c(k) for k in keys]).distinct().join(found, keys, "left")  # groups without a value stay
+    value = _agg(y, how)
+    if how.lower() == "count" and isinstance(df.schema[y].dataType, (T.DoubleType, T.FloatType)):
+        value = F.count(as_double(y))  # NaN is missing
+    return rows.groupBy(*[c(k) for k in keys]).agg(value.alias("value"))
 
 
 def bar_aggregate(df: DataFrame, x: str, y: str, agg: str = "mean", top_n: int | None = None,
@@ -224,13 +224,15 @@ def bar_grouped_long(df: DataFrame, x: str, y: str, color: str, agg: str = "mean
 
 
 def bar_grouped_wide(df: DataFrame, x: str, y: str, color: str, agg: str = "mean",
-                     top_n: int | None = None, exact: bool = True) -> DataFrame:
+                     top_n: int | None = None, exact: bool = True, max_values: int | None = None) -> DataFrame:
     """H7: one row per x, one column per colour value (pivot); top n x by row total."""
     long = bar_grouped_long(df, x, y, color, agg, top_n, exact)
-    values = [r[0] for r in long.select(c(color)).distinct().orderBy(c(color))
-              .limit(MAX_PIVOT_VALUES + 1).collect()]
-    if len(values) > MAX_PIVOT_VALUES:
-        raise ValueError(f"more than {MAX_PIVOT_VALUES} colour values to pivot")
+    # every colour of the table is a column, also where the top n have no row of it
+    colours = df.where(c(x).isNotNull() & c(color).isNotNull()).select(c(color)).distinct().orderBy(c(color))
+    colours = colours.limit(max_values + 1) if max_values is not None else colours
+    values = [r[0] for r in colours.collect()]
+    if max_values is not None and len(values) > max_values:
+        raise ValueError(f"more than {max_values} colour values to pivot")
     wide = long.groupBy(c(x)).pivot(color, values).agg(F.first("value"))
     return wide
 

@@ -13,7 +13,10 @@ from . import stats
 
 
 def filter_condition(df: DataFrame, filters: dict) -> Column:
-    """list/set -> IN (null only if listed); 2-tuple -> inclusive range; others ignored."""
+    """list/set -> IN (null only if listed); 2-tuple -> inclusive range; others ignored.
+
+    For ``where``, which drops what is null; plain predicates reach the scan.
+    """
     cond = F.lit(True)
     for name, rule in filters.items():
         if name not in df.columns:
@@ -24,10 +27,10 @@ def filter_condition(df: DataFrame, filters: dict) -> Column:
             part = x.isin(vals) if vals else F.lit(False)
             if len(vals) != len(list(rule)):
                 part = part | x.isNull()
-            cond = cond & F.coalesce(part, F.lit(False))
+            cond = cond & part
         elif isinstance(rule, tuple) and len(rule) == 2:
             lo, hi = rule
-            cond = cond & F.coalesce(x.between(F.lit(lo), F.lit(hi)), F.lit(False))
+            cond = cond & x.between(F.lit(lo), F.lit(hi))
     return cond
 
 

@@ -40,7 +40,7 @@ def convert_to_datetime(df: DataFrame, column: str, fmt: str | None = None, orde
     """
     require(df, [column])
     x = c(column)
-    if fmt is None:
+    if not (fmt or "").strip():  # blank: guess
         keys = order_key(df, order_by)
         first = df.where(x.isNotNull()).orderBy(*[c(k) for k in keys]).select(x.cast("string")).first()
         fmt = dates.guess_format(first[0] if first else None)

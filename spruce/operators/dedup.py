@@ -5,7 +5,7 @@ A ``row_number()`` window per key would pull a hot key's whole group into
 one task; here the first row of every key comes from an aggregate instead
 (``min_by``/``max_by``, merged map-side), and rows are matched back to it by
 a join on the key (AQE splits a skewed key's partition).  Rows that are
-identical in every column are interchangeable; a row id breaks their tie.
+identical in every column are interchangeable: they are counted, not told apart.
 Null keys form one group, as in pandas.
 """
 
@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from ..functions.cols import as_list, c, order_key, quote, require
 
-_RID = "__dup_rid"
 _FIRST = "__dup_first"
 
 
@@ -27,14 +26,8 @@ def _subset(df: DataFrame, subset) -> list[str]:
     return cols
 
 
-def _rank_key(df: DataFrame, order_by, descending: bool = False) -> Column:
-    keys = order_key(df, order_by)
-    return F.struct(*[c(k) for k in keys], F.col(_RID))
-
-
-def _tagged(df: DataFrame) -> DataFrame:
-    # Only a tie-break between rows equal in every ordered column.
-    return df.withColumn(_RID, F.monotonically_increasing_id())
+def _rank_key(df: DataFrame, order_by) -> Column:
+    return F.struct(*[c(k) for k in order_key(df, order_by)])
 
 
 def _key_join(left: DataFrame, right: DataFrame, subset: list[str], how: str = "inner") -> DataFrame:
@@ -47,11 +40,10 @@ def _key_join(left: DataFrame, right: DataFrame, subset: list[str], how: str = "
 
 def _first_per_key(df: DataFrame, subset: list[str], order_by, keep: str) -> DataFrame:
     """One aggregate: the kept row of every key, as all its columns."""
-    t = _tagged(df)
     row = F.struct(*[c(k) for k in df.columns])
-    rank = _rank_key(t, order_by)
+    rank = _rank_key(df, order_by)
     pick = F.min_by(row, rank) if keep == "first" else F.max_by(row, rank)
-    g = t.groupBy(*[c(k) for k in subset]).agg(pick.alias("_row"))
+    g = df.groupBy(*[c(k) for k in subset]).agg(pick.alias("_row"))
     return g.select(*[F.col("_row")[k].alias(k) for k in df.columns])
 
 
@@ -70,26 +62,27 @@ def remove_duplicates(df: DataFrame, subset=None, keep: str = "first", order_by=
     return _first_per_key(df, cols, order_by, keep)
 
 
-def _flag_first(df: DataFrame, subset: list[str], order_by) -> DataFrame:
-    t = _tagged(df)
-    rank = _rank_key(t, order_by)
-    t = t.withColumn("__rank", rank)
-    firsts = t.groupBy(*[c(k) for k in subset]).agg(F.min("__rank").alias(_FIRST))
-    j = _key_join(t, firsts, subset)
-    return j.withColumn("__is_first", F.col("__rank") == F.col(_FIRST))
+def _repeats(df: DataFrame, subset: list[str], order_by) -> DataFrame:
+    """The different rows with ``__rank`` and ``__times``, how often each stands behind the first of its key."""
+    rows = df.groupBy(*[c(k) for k in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    rows = rows.withColumn("__rank", _rank_key(df, order_by))
+    firsts = rows.groupBy(*[c(k) for k in subset]).agg(F.min("__rank").alias(_FIRST))
+    j = _key_join(rows, firsts, subset)
+    return j.withColumn("__times", F.col("__n") - (F.col("__rank") == F.col(_FIRST)).cast("long")).where("__times > 0")
 
 
 def find_duplicates(df: DataFrame, subset=None, order_by=None) -> DataFrame:
     """Every row that repeats an earlier row of its key (not the first)."""
     cols = _subset(df, subset)
-    j = _flag_first(df, cols, order_by)
-    return j.where(~F.col("__is_first")).select(*[c(k) for k in df.columns])
+    j = _repeats(df, cols, order_by)
+    j = j.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
+    return j.select(*[c(k) for k in df.columns])
 
 
 def duplicate_occurrences(df: DataFrame, subset=None, order_by=None) -> DataFrame:
     """For every duplicated key, its first repeat (the second row in order)."""
     cols = _subset(df, subset)
-    j = _flag_first(df, cols, order_by).where(~F.col("__is_first"))
+    j = _repeats(df, cols, order_by)
     row = F.struct(*[c(k) for k in df.columns])
     g = j.groupBy(*[c(k) for k in cols]).agg(F.min_by(row, F.col("__rank")).alias("_row"))
     return g.select(*[F.col("_row")[k].alias(k) for k in df.columns])

@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Iterable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,19 +14,6 @@ from ..functions.cols import as_double, as_list, c, is_numeric, order_key, quote
 from . import stats
 
 
-# Range-partitioned inputs persisted by fill_directional; the result is lazy,
-# so the cache is released by the caller (release_fill_caches) once consumed.
-_FILL_CACHES: list[DataFrame] = []
-
-
-def release_fill_caches() -> int:
-    """Unpersist the range-partitioned inputs kept for ffill/bfill results."""
-    n = len(_FILL_CACHES)
-    while _FILL_CACHES:
-        _FILL_CACHES.pop().unpersist()
-    return n
-
-
 def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.withColumns(new) if new else df
 
@@ -47,11 +33,9 @@ def fill_mean(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 def fill_median(df: DataFrame, columns: Iterable[str], exact: bool = True) -> DataFrame:
     cols = require(df, as_list(columns))
-    new = {}
-    for k in cols:
-        med = stats.quantiles(df, k, [0.5], exact=exact)[0]
-        new[k] = F.coalesce(as_double(k), F.lit(med).cast("double"))
-    return _replace(df, new)
+    med = (stats.column_quantiles(df, cols, [0.5]) if exact else
+           {k: stats.quantiles(df, k, [0.5], exact=False) for k in cols})
+    return _replace(df, {k: F.coalesce(as_double(k), F.lit(med[k][0]).cast("double")) for k in cols})
 
 
 def fill_mode(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -109,31 +93,47 @@ def fill_constant(df: DataFrame, columns: Iterable[str], constant) -> DataFrame:
     return _replace(df, new)
 
 
+SAMPLE_A_RANGE = 64
+
+
+def _range_of(df: DataFrame, keys: list[str], ranges: int) -> Column:
+    """Number of the range of a row's key; the bounds come from SAMPLE_A_RANGE keys for each range at most."""
+    names = [f"k{i}" for i in range(len(keys))]
+    picked = df.select(*[c(k).alias(n) for k, n in zip(keys, names)])
+    picked = picked.orderBy(F.xxhash64(*names)).limit(SAMPLE_A_RANGE * ranges)
+    rows = picked.orderBy(*names).collect() if ranges > 1 else []  # bounded by the limit
+    bounds = sorted({len(rows) * i // ranges for i in range(1, ranges)}) if rows else []
+    key = F.struct(*[c(k).alias(n) for k, n in zip(keys, names)])
+
+    def at_or_above(places: list[int], low: int) -> Column:
+        if not places:
+            return F.lit(low)
+        mid = len(places) // 2
+        bound = F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(n) for v, k, n in zip(rows[places[mid]], keys, names)])
+        return F.when(key < bound, at_or_above(places[:mid], low)).otherwise(at_or_above(places[mid + 1:], low + mid + 1))
+
+    return at_or_above(bounds, 0)
+
+
 def fill_directional(df: DataFrame, columns: Iterable[str], order_by, forward: bool = True,
                      partition_by=None, num_buckets: int | None = None) -> DataFrame:
     """Forward (or backward) fill in ``order_by`` order, optionally per group.
 
     A single window over the whole table would run in one task.  Instead the
-    rows are range-partitioned on (group, order key) -- so a hot group or a
+    rows are dealt to ranges of (group, order key) -- so a hot group or a
     run of ties is split over many tasks -- filled inside each range, and the
     last (first) non-null value of every range is carried over to the ranges
     after (before) it through a small table with one row per range and group.
+    The ranges' bounds are read once, from a bounded sample of keys drawn by
+    hash, and are literals in the plan: both branches see the same ranges, and nothing is cached.
     """
     cols = require(df, as_list(columns))
     part = require(df, as_list(partition_by))
     keys = [k for k in order_key(df, order_by) if k not in part]
     spark = df.sparkSession
     n_buckets = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sort_cols = [c(k) for k in part + keys]
     pid = "__fill_range"
-    # Both branches below (local fill, per-range edges) must see the same range
-    # assignment; two separate range exchanges would sample their boundaries
-    # independently.  The range-partitioned rows are therefore persisted once
-    # (memory, spilling to disk) and read by both branches; a lost block is
-    # recomputed from the same shuffle dependency, hence the same ranges.
-    ranged = df.repartitionByRange(n_buckets, *sort_cols).withColumn(pid, F.spark_partition_id()) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    _FILL_CACHES.append(ranged)
+    ranged = df.withColumn(pid, _range_of(df, part + keys, n_buckets))
     order = [c(k) for k in keys]
     if forward:
         w = Window.partitionBy(pid, *[c(k) for k in part]).orderBy(*order) \

@@ -24,7 +24,8 @@ def _value(df: DataFrame, name: str) -> Column:
     """Cell as text with NaN as null (pandas treats NaN as missing)."""
     dt = df.schema[name].dataType
     if isinstance(dt, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(c(name)), c(name)).cast("string")
+        # adding zero makes -0.0 and 0.0 one value
+        return F.when(~F.isnan(c(name)), c(name) + F.lit(0).cast(dt)).cast("string")
     return c(name).cast("string")
 
 
@@ -97,7 +98,8 @@ def numeric_describe(df: DataFrame, columns: Iterable[str] | None = None, exact:
         return df.sparkSession.createDataFrame(
             [], "column string, count long, mean double, std double, min double, q25 double, "
                 "q50 double, q75 double, max double")
-    qs = {k: stats.quantiles(df, k, [0.25, 0.5, 0.75], exact=exact) for k in cols}
+    qs = (stats.column_quantiles(df, cols, [0.25, 0.5, 0.75]) if exact else
+          {k: stats.quantiles(df, k, [0.25, 0.5, 0.75], exact=False) for k in cols})
     aggs = []
     for i, k in enumerate(cols):
         x = as_double(k)

@@ -10,46 +10,36 @@ Exact quantiles
 ---------------
 Spark's ``percentile``/``median`` merge a value->count map of the whole
 column inside one final task; on a 100 TB column with many distinct values
-that task does not fit.  ``quantiles`` instead selects order statistics by
-histogram refinement:
-
-1. per group: n, min, max (partial aggregation, one row per group);
-2. each pass: every pending rank has an interval [lo, hi] that is known to
-   contain it; rows inside the interval are counted into ``BINS`` equal-width
-   bins (partial aggregation, at most ``BINS`` rows per interval), the bin
-   holding the rank becomes the next interval;
-3. a rank is resolved when its interval holds one distinct value (ties of a
-   hot value resolve at once: they are only a count), or when the interval
-   holds at most ``COLLECT_LIMIT`` values, which are then sorted in one
-   bounded aggregate.
-
-Size check first: when no group holds more than ``COLLECT_LIMIT`` values,
-Spark's own exact ``percentile`` is bounded too (its map has at most that
-many entries per group), so one grouped aggregate answers directly.
-
-Every pass is a distributed aggregate whose shuffle is bounded by
-``BINS`` rows per interval, so the result is exact (same linear
-interpolation as ``percentile``/``quantile_cont``) with bounded per-task
-memory.  ``exact=False`` uses ``percentile_approx`` instead (one pass).
+that task does not fit.  Here order statistics are selected by counting, on
+one path whatever the size:
+
+1. a first pass counts values by order of magnitude (a quarter octave a bin, each sign
+   and infinity by itself), with the smallest and largest value of each bin;
+2. the bin that holds a rank becomes its interval; each further pass counts the
+   values of the open intervals into ``BINS`` equal-width bins;
+3. a rank is found when its interval holds one distinct value (a hot value is only
+   a count).  The ends of an interval are values and fall into different
+   bins, so every pass makes progress; a bin of the first pass has at most 2^50
+   distinct doubles, so at most six passes follow.
+
+Every pass is a distributed aggregate (map-side combine).  Without groups all
+columns share the passes and the state is a few numbers on the driver; with
+groups the state is a small table, joined on the group.  The interpolation is that
+of ``percentile``/``quantile_cont``.  ``exact=False`` uses
+``percentile_approx`` instead (one pass).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.cols import as_double, as_list, c
 
-BINS = 1 << 14
-COLLECT_LIMIT = 1 << 20
-MAX_PASSES = 40
-# Above this many intervals the interval table is joined by shuffle, below it
-# is broadcast (its size is counted first).
-BROADCAST_ROWS = 20_000
+BINS = 1 << 11
 
 
 def one_row(df: DataFrame, exprs: dict[str, Column]) -> Row:
@@ -96,11 +86,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], exact: bool = T
     if not exact:
         t = quantile_table(df, value, probs, by=(), exact=False, accuracy=accuracy).first()
         return [None] * len(probs) if t is None else [t[f"q{j}"] for j in range(len(probs))]
-    base = df.select(as_double(value).alias("_v")).where(F.col("_v").isNotNull())
-    rows = _exact_quantiles(df.sparkSession, base, [], [], probs, collect=True)
-    if not rows:
-        return [None] * len(probs)
-    return [rows[0][f"q{j}"] for j in range(len(probs))]
+    return column_quantiles(df, [value], probs)[value]
 
 
 def quantile_table(df: DataFrame, value: str, probs: Sequence[float], by: str | Iterable[str] = (),
@@ -123,145 +109,122 @@ def quantile_table(df: DataFrame, value: str, probs: Sequence[float], by: str |
             F.percentile_approx("_v", probs, accuracy).alias("_qs"))
         return out.select(*[F.col(g).alias(k) for g, k in zip(gnames, by)],
                           *[F.col("_qs")[j].alias(f"q{j}") for j in range(len(probs))])
-    return _exact_quantiles(df.sparkSession, base, gnames, by, probs)
-
-
-def _exact_quantiles(spark, base: DataFrame, gnames: list[str], by: list[str],
-                     probs: list[float], collect: bool = False):
-    sizes = base.groupBy(*gnames).agg(F.count("_v").alias("_n"))
-    largest = sizes.agg(F.max("_n").alias("m")).first()["m"]
-    if largest is None:
-        empty = base.groupBy(*gnames).agg(*[F.lit(None).cast("double").alias(f"q{j}")
-                                             for j in range(len(probs))])
-        return [] if collect else empty.select(*[F.col(g).alias(k) for g, k in zip(gnames, by)],
-                                                *[f"q{j}" for j in range(len(probs))])
-    if largest <= COLLECT_LIMIT:
-        out = base.groupBy(*gnames).agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_qs"))
-        out = out.select(*[F.col(g).alias(k) for g, k in zip(gnames, by)],
-                         *[F.col("_qs")[j].alias(f"q{j}") for j in range(len(probs))])
-        return out.collect() if collect else out
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    cached: list[DataFrame] = [base]
-    try:
-        groups = base.groupBy(*gnames).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"),
-                                           F.max("_v").alias("_hi"))
-        # Each probability p needs order statistics k = floor(p(n-1)) and k+1.
-        spec = F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(p).alias("_p"))
-                         for j, p in enumerate(probs)])
-        t = groups.select(*gnames, "_n", "_lo", "_hi", F.explode(spec).alias("_s"))
-        t = t.select(*gnames, "_lo", "_hi", "_n", F.col("_s._j").alias("_j"),
-                     (F.col("_s._p") * (F.col("_n") - 1)).alias("_pos"))
-        t = t.withColumn("_k", F.floor("_pos").cast("long"))
-        t = t.withColumn("_frac", F.col("_pos") - F.col("_k"))
-        ranks = t.select(*gnames, "_j", "_frac", "_lo", "_hi", "_n",
-                         F.explode(F.array(
-                             F.struct(F.lit(0).alias("_side"), F.col("_k").alias("_r")),
-                             F.struct(F.lit(1).alias("_side"),
-                                      F.least(F.col("_k") + 1, F.col("_n") - 1).alias("_r")))).alias("_t"))
-        state = ranks.select(*gnames, "_j", "_frac", F.col("_t._side").alias("_side"),
-                             F.col("_t._r").alias("_r"), "_lo", "_hi",
-                             F.col("_n").alias("_cnt"),
-                             F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("_val"))
-        state = _materialize(state, cached)
-        small_c = F.col("_val").isNull() & (F.col("_cnt") <= COLLECT_LIMIT)
-        big_c = F.col("_val").isNull() & (F.col("_cnt") > COLLECT_LIMIT)
-        for i in range(MAX_PASSES + 1):
-            flags = state.agg(F.count_if(small_c).alias("s"), F.count_if(big_c).alias("b")).first()
-            if not flags["s"] and not flags["b"]:
-                break
-            parts = [state.where(F.col("_val").isNotNull())]
-            if flags["s"]:
-                parts.append(_collect_pass(base, state.where(small_c), gnames))
-            if flags["b"]:
-                big = state.where(big_c)
-                # past the pass limit, the rest is sorted whatever its size
-                parts.append(_histogram_pass(base, big, gnames) if i < MAX_PASSES
-                             else _collect_pass(base, big, gnames))
-            nxt = parts[0]
-            for part in parts[1:]:
-                nxt = nxt.unionByName(part)
-            state = _materialize(nxt, cached)
-        lo = F.max(F.when(F.col("_side") == 0, F.col("_val")))
-        hi = F.max(F.when(F.col("_side") == 1, F.col("_val")))
-        per_p = state.groupBy(*gnames, "_j").agg(
-            (lo + F.first("_frac") * (hi - lo)).alias("_q"))
-        wide = per_p.groupBy(*gnames).agg(
-            *[F.max(F.when(F.col("_j") == j, F.col("_q"))).alias(f"q{j}") for j in range(len(probs))])
-        wide = wide.select(*[F.col(g).alias(k) for g, k in zip(gnames, by)],
-                           *[f"q{j}" for j in range(len(probs))])
-        if collect:
-            return wide.collect()  # no groups: a single row
-        # The answer is tiny (one row per group); make it independent of the
-        # cached inputs before they are released.
-        return _materialize(wide, None)
-    finally:
-        for d in cached:
-            d.unpersist()
-
-
-def _materialize(df: DataFrame, cached: list[DataFrame] | None) -> DataFrame:
-    """Compute a small intermediate once and cut its lineage.
-
-    Each refinement pass builds the next state from the previous one several
-    times over (kept ranks, histogram, collect), so without a cut the plan
-    would grow with every pass.  ``checkpoint`` writes the (small) state to
-    the cluster's shared checkpoint folder: the plan restarts from it and it
-    survives the loss of an executor.
-    """
+    return _grouped_quantiles(base, gnames, by, probs)
+
+
+def _magnitude_bin(x: Column) -> Column:
+    """A quarter octave of |x|, with the sign; monotone in x."""
+    size = F.abs(x)
+    k = (F.when(size == 0, F.lit(0)).when(size == F.lit(float("inf")), F.lit(9000))
+         .otherwise((F.floor(F.log2(size) * 4) + 4400).cast("int")))
+    return F.when(x < 0, -k).otherwise(k)
+
+
+def _width_bin(x: Column, lo: Column, hi: Column) -> Column:
+    """One of ``BINS`` equal bins of [lo, hi]; lo and hi differ and are finite."""
+    return F.least(F.floor((x - lo) / (hi - lo) * BINS), F.lit(BINS - 1)).cast("int")
+
+
+def _interpolated(lo: float, hi: float, frac: float) -> float:
+    return lo if lo == hi or not frac else lo + frac * (hi - lo)
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of many columns; the columns share every pass."""
+    columns, probs = list(dict.fromkeys(columns)), [float(p) for p in probs]
+    if any(p < 0 or p > 1 for p in probs):
+        raise ValueError("quantile probabilities must lie in [0, 1]")
+    if not columns:
+        return {}
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), (as_double(k) + F.lit(0.0)).alias("v")) for i, k in enumerate(columns)])
+    long = df.select(F.explode(cells).alias("_x")).select("_x.c", "_x.v").where("v IS NOT NULL")
+    count = [F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    first: dict[int, list] = {}
+    for r in long.groupBy("c", _magnitude_bin(F.col("v")).alias("b")).agg(*count).collect():  # one row a column and bin
+        first.setdefault(r["c"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
+
+    def place(bins, rank):
+        for _, n, lo, hi in sorted(bins):
+            if rank < n:
+                return lo, hi, rank
+            rank -= n
+        raise AssertionError("a rank beyond the rows")
+
+    ranks: dict[tuple[int, int], tuple[float, float, int]] = {}  # (column, rank): interval, rank in it
+    spots: dict[tuple[int, int], tuple[int, int, float]] = {}
+    for i, bins in first.items():
+        n = sum(x[1] for x in bins)
+        for j, p in enumerate(probs):
+            at = p * (n - 1)
+            k = int(at)
+            spots[i, j] = (k, min(k + 1, n - 1), at - k)
+            for r in spots[i, j][:2]:
+                ranks[i, r] = place(bins, r)
+    while open_ := sorted({(i, lo, hi) for (i, _), (lo, hi, _) in ranks.items() if lo != hi}):
+        which, bin_ = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for q, (i, lo, hi) in enumerate(open_):  # few: two for each column and probability at most
+            inside = (F.col("c") == i) & F.col("v").between(F.lit(lo), F.lit(hi))
+            which = F.when(inside, F.lit(q)).otherwise(which)
+            bin_ = F.when(inside, _width_bin(F.col("v"), F.lit(lo), F.lit(hi))).otherwise(bin_)
+        got = long.select(which.alias("q"), bin_.alias("b"), "v").where("q IS NOT NULL").groupBy("q", "b").agg(*count)
+        bins_of: dict[int, list] = {}
+        for r in got.collect():  # at most BINS rows for each interval
+            bins_of.setdefault(r["q"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
+        known = {x: q for q, x in enumerate(open_)}
+        for key, (lo, hi, rank) in list(ranks.items()):
+            if lo != hi:
+                ranks[key] = place(bins_of[known[key[0], lo, hi]], rank)
+    return {k: [None if (i, j) not in spots else _interpolated(
+        ranks[i, spots[i, j][0]][0], ranks[i, spots[i, j][1]][0], spots[i, j][2]) for j in range(len(probs))]
+        for i, k in enumerate(columns)}
+
+
+def _grouped_quantiles(base: DataFrame, gnames: list[str], by: list[str], probs: list[float]) -> DataFrame:
+    """The same selection for every group; the state is a table with two rows for each group and probability."""
+    base = base.withColumn("_v", F.col("_v") + F.lit(0.0))
+    count = [F.count("_v").alias("_nb"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")]
+    hist = base.groupBy(*gnames, _magnitude_bin(F.col("_v")).alias("_b")).agg(*count)
+    whole = Window.partitionBy(*gnames)
+    over = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumns({"_before": F.coalesce(F.sum("_nb").over(over), F.lit(0)), "_n": F.sum("_nb").over(whole)})
+    spots = []
+    for j, p in enumerate(probs):
+        at = F.lit(p) * (F.col("_n") - 1)
+        k = F.floor(at).cast("long")
+        for side, rank in ((0, k), (1, F.least(k + 1, F.col("_n") - 1))):
+            spots.append(F.struct(F.lit(j).alias("_j"), F.lit(side).alias("_side"), rank.alias("_r"), (at - k).alias("_frac")))
+    state = hist.withColumn("_s", F.explode(F.array(*spots))).where(
+        "_s._r >= _before AND _s._r < _before + _nb").select(
+        *gnames, "_s._j", "_s._side", "_s._frac", (F.col("_s._r") - F.col("_before")).alias("_r"),
+        F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"))
+    state = _materialize(state)
+    while state.where("_lo <> _hi").limit(1).count():
+        pending = state.where("_lo <> _hi")
+        intervals = pending.select(*gnames, "_lo", "_hi").distinct()
+        rows = base.join(intervals, gnames).where("_v BETWEEN _lo AND _hi")
+        keys = gnames + ["_lo", "_hi"]
+        hist = rows.groupBy(*keys, _width_bin(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_b")).agg(*count)
+        over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        hist = hist.withColumn("_before", F.coalesce(F.sum("_nb").over(over), F.lit(0)))
+        found = pending.join(hist, keys).where("_r >= _before AND _r < _before + _nb").select(
+            *gnames, "_j", "_side", "_frac", (F.col("_r") - F.col("_before")).alias("_r"),
+            F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"))
+        state = _materialize(state.where("_lo = _hi").unionByName(found))
+    lo = F.max(F.when(F.col("_side") == 0, F.col("_lo")))
+    hi = F.max(F.when(F.col("_side") == 1, F.col("_lo")))
+    frac = F.first("_frac")
+    per = state.groupBy(*gnames, "_j").agg(F.when((lo == hi) | (frac == 0), lo).otherwise(lo + frac * (hi - lo)).alias("_q"))
+    wide = per.groupBy(*gnames).agg(*[F.max(F.when(F.col("_j") == j, F.col("_q"))).alias(f"q{j}") for j in range(len(probs))])
+    return wide.select(*[F.col(g).alias(k) for g, k in zip(gnames, by)], *[f"q{j}" for j in range(len(probs))])
+
+
+def _materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of the small state into the cluster's shared checkpoint folder."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def _join_intervals(base: DataFrame, intervals: DataFrame, gnames: list[str]) -> DataFrame:
-    """Rows of ``base`` inside their group's interval [_lo, _hi]."""
-    # Without groups there are at most two intervals per probability.
-    n = intervals.count() if gnames else 0
-    iv = intervals.select(*[F.col(g).alias("_i" + g) for g in gnames], F.col("_lo").alias("_ilo"),
-                          F.col("_hi").alias("_ihi"), "_iid")
-    iv = F.broadcast(iv) if n <= BROADCAST_ROWS else iv
-    cond = [F.col(g) == F.col("_i" + g) for g in gnames]
-    cond.append(F.col("_v") >= F.col("_ilo"))
-    cond.append(F.col("_v") <= F.col("_ihi"))
-    j = base.join(iv, on=cond, how="inner")
-    return j.select(*gnames, "_v", "_iid", F.col("_ilo").alias("_lo"), F.col("_ihi").alias("_hi"))
-
-
-def _histogram_pass(base: DataFrame, pending: DataFrame, gnames: list[str]) -> DataFrame:
-    keys = gnames + ["_lo", "_hi"]
-    # Pending ranks of one group share an interval or have disjoint ones.
-    intervals = pending.select(*keys).distinct().withColumn(
-        "_iid", F.xxhash64(*[F.col(k) for k in keys]))
-    rows = _join_intervals(base, intervals, gnames)
-    width = F.col("_hi") - F.col("_lo")
-    b = F.when(width > 0, F.least(F.greatest(
-        F.floor((F.col("_v") - F.col("_lo")) / width * BINS), F.lit(0)), F.lit(BINS - 1))
-    ).otherwise(F.lit(0))
-    hist = rows.withColumn("_b", b).groupBy(*gnames, "_iid", "_b").agg(
-        F.count("_v").alias("_nb"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"))
-    w = Window.partitionBy(*gnames, "_iid").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_before", F.coalesce(F.sum("_nb").over(w), F.lit(0)))
-    p = pending.join(intervals, on=keys, how="inner")
-    j = p.join(hist, on=gnames + ["_iid"], how="inner").where(
-        (F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_nb")))
-    return j.select(*gnames, "_j", "_frac", "_side",
-                    (F.col("_r") - F.col("_before")).alias("_r"),
-                    F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
-                    F.col("_nb").alias("_cnt"),
-                    F.when(F.col("_bmin") == F.col("_bmax"), F.col("_bmin")).alias("_val"))
-
-
-def _collect_pass(base: DataFrame, pending: DataFrame, gnames: list[str]) -> DataFrame:
-    keys = gnames + ["_lo", "_hi"]
-    intervals = pending.select(*keys).distinct().withColumn(
-        "_iid", F.xxhash64(*[F.col(k) for k in keys]))
-    rows = _join_intervals(base, intervals, gnames)
-    vals = rows.groupBy(*gnames, "_iid").agg(F.sort_array(F.collect_list("_v")).alias("_vals"))
-    p = pending.join(intervals, on=keys, how="inner").join(vals, on=gnames + ["_iid"], how="inner")
-    return p.select(*gnames, "_j", "_frac", "_side", "_r", "_lo", "_hi", "_cnt",
-                    F.element_at("_vals", (F.col("_r") + 1).cast("int")).alias("_val"))
-
-
 def mode_values(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
     """Most frequent non-null value per column, smallest on ties.
 

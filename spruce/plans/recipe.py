@@ -22,6 +22,28 @@ from ..session import ensure_checkpoint_dir
 RECIPE_VERSION = "1.0"
 
 
+# The parameter names a recipe may hold, by operation (columns / column everywhere).
+PARAMETERS = {
+    "fill_missing": ["strategy", "constant", "order_by", "partition_by", "exact", "threshold"],
+    "remove_duplicates": ["subset", "keep", "order_by"],
+    "convert_type": ["target", "format", "order_by"],
+    "standardize_categorical": ["operations"],
+    "outlier_treatment": ["method", "action", "factor", "threshold"],
+    "scale_columns": ["method"],
+    "scale_min_max": ["method"],
+    "scale_z_score": ["method"],
+    "drop_columns": [],
+    "rename_column": ["mapping", "old", "new"],
+    "one_hot_encode": ["drop_first", "max_values"],
+    "group_rare": ["threshold", "replacement"],
+    "map_values": ["mapping", "set_unmatched_to_other", "other"],
+    "create_column": ["name", "new_name", "formula"],
+    "bin_column": ["n_bins", "bins", "method", "labels"],
+    "drop_rows": [],
+    "drop_columns_by_threshold": ["threshold"],
+}
+
+
 def _cols(step: dict) -> list[str]:
     p = step.get("params") or {}
     cols = p.get("columns", step.get("columns") or step.get("affected_columns") or [])
@@ -38,6 +60,8 @@ def _one_col(step: dict) -> str:
 
 def _fill(df, s):
     p = s.get("params") or {}
+    if str(p.get("strategy", "")).lower() == "drop_columns_by_threshold":
+        return _drop_sparse(df, s)
     return missing.fill_missing(df, _cols(s), p.get("strategy", "mean"), constant=p.get("constant"),
                                 order_by=p.get("order_by"), partition_by=p.get("partition_by"),
                                 exact=p.get("exact", True))
@@ -84,7 +108,7 @@ def _rename(df, s):
 
 def _one_hot(df, s):
     p = s.get("params") or {}
-    return categorical.one_hot_encode(df, _cols(s), p.get("drop_first", False))
+    return categorical.one_hot_encode(df, _cols(s), p.get("drop_first", False), p.get("max_values"))
 
 
 def _group_rare(df, s):
@@ -96,7 +120,7 @@ def _group_rare(df, s):
 def _map_values(df, s):
     p = s.get("params") or {}
     return categorical.map_values(df, _one_col(s), p.get("mapping", {}),
-                                  p.get("set_unmatched_to_other", False))
+                                  p.get("set_unmatched_to_other", p.get("other", False)))
 
 
 def _create(df, s):
@@ -106,7 +130,7 @@ def _create(df, s):
 
 def _bin(df, s):
     p = s.get("params") or {}
-    return numeric.bin_column(df, _one_col(s), p.get("n_bins", 5), p.get("method", "equal_width"),
+    return numeric.bin_column(df, _one_col(s), p.get("n_bins", p.get("bins", 5)), p.get("method", "equal_width"),
                               p.get("labels"))
 
 
@@ -146,11 +170,14 @@ STEPS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
 
 
 def apply_step(df: DataFrame, step: dict) -> DataFrame:
-    """One named step; an unknown name is an error."""
+    """One named step; an unknown name or parameter is an error."""
     op = step.get("operation")
     fn = STEPS.get(op)
     if fn is None:
         raise ValueError(f"Unknown operation: {op}")
+    unknown = set(step.get("params") or {}) - {"columns", "column", *PARAMETERS[op]}
+    if unknown:
+        raise ValueError(f"Unknown parameters of {op}: {sorted(unknown)}")
     return fn(df, step)
 
 

@@ -22,16 +22,26 @@ CSV_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "
 _INT = r"^\s*[+-]?\d+\s*$"
 
 
-def load_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header row, quoted fields (may span lines), NA texts -> null, types inferred.
+# Texts that pandas.read_csv reads as booleans.
+CSV_TRUE, CSV_FALSE = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
+
+
+def load_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """Header row, quoted fields, NA texts -> null, types inferred.
 
     Every column is read as text first; one aggregate then checks per column
-    whether all non-null values are integers or numbers (pandas' rule), and
-    the column is cast accordingly.  Dates stay text, as in pandas.
+    whether all non-null values are integers, numbers or booleans (pandas' rule), and
+    the column is cast accordingly.  Integers beyond 64 bits become
+    decimal(20, 0), beyond that they stay text.  Dates stay text, as in pandas.
+    Files are split over tasks unless a quoted field spans lines (``multi_line``); then a
+    file is one task.  Without ``multi_line`` one pass looks for lines with an open quote.
     """
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+        multi_line = bool(spark.read.text(path).agg(F.bool_or(quotes % 2 == 1)).first()[0])
     raw = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .option("multiLine", True).option("inferSchema", False).option("mode", "PERMISSIVE")
+           .option("multiLine", multi_line).option("inferSchema", False).option("mode", "PERMISSIVE")
            .csv(path))
     df = raw.select(*[F.when(c(k).isin(CSV_NA_TOKENS), F.lit(None).cast("string")).otherwise(c(k)).alias(k)
                       for k in raw.columns])
@@ -41,6 +51,12 @@ def load_csv(spark: SparkSession, path: str) -> DataFrame:
                      for i, k in enumerate(df.columns)],
                    *[F.bool_and(F.coalesce(is_number_text(c(k)), F.lit(True))).alias(f"n{i}")
                      for i, k in enumerate(df.columns)],
+                   *[F.bool_and(F.coalesce(c(k).isin(CSV_TRUE + CSV_FALSE), F.lit(True))).alias(f"b{i}")
+                     for i, k in enumerate(df.columns)],
+                   *[F.bool_and(F.coalesce(F.trim(c(k)).try_cast("long").isNotNull() | c(k).isNull(), F.lit(True)))
+                     .alias(f"l{i}") for i, k in enumerate(df.columns)],
+                   *[F.max(F.length(F.regexp_replace(c(k), "^\\s*[+-]?0*|\\s*$", ""))).alias(f"w{i}")
+                     for i, k in enumerate(df.columns)],
                    *[F.count(c(k)).alias(f"c{i}") for i, k in enumerate(df.columns)]).first()
     out = []
     for i, k in enumerate(df.columns):
@@ -48,8 +64,12 @@ def load_csv(spark: SparkSession, path: str) -> DataFrame:
             out.append(c(k))
         elif probe[f"c{i}"] == 0:
             out.append(c(k).cast("double").alias(k))  # pandas: a column with no values is float
+        elif probe[f"b{i}"]:
+            out.append(F.when(c(k).isNotNull(), c(k).isin(CSV_TRUE)).alias(k))
+        elif probe[f"i{i}"] and probe[f"l{i}"]:
+            out.append(F.trim(c(k)).cast("long").alias(k))
         elif probe[f"i{i}"]:
-            out.append(F.trim(c(k)).try_cast("long").alias(k))
+            out.append(F.trim(c(k)).cast("decimal(20,0)").alias(k) if probe[f"w{i}"] <= 20 else c(k))
         elif probe[f"n{i}"]:
             out.append(F.trim(c(k)).try_cast("double").alias(k))
         else:
@@ -60,9 +80,9 @@ def load_csv(spark: SparkSession, path: str) -> DataFrame:
 def load_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A list of records, an object of equal-length lists (columns) or one object (one row).
 
-    Spark reads the document (multiLine) and the shape is handled with
-    array functions; column-oriented input is zipped into rows with
-    ``arrays_zip`` + ``inline``.  Anything else fails.
+    Spark reads the document (multiLine).  A document that begins with ``[`` holds
+    records, whatever their cells are: one row each.  Only an object's lists are zipped into rows
+    (``arrays_zip`` + ``inline``).  Anything else fails.
     """
     if lines:  # one record per line (what Spark and most exporters write)
         return spark.read.option("mode", "FAILFAST").json(path)
@@ -71,7 +91,8 @@ def load_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
         raise ValueError("Unsupported JSON structure. Expected a list or dict.")
     fields = raw.schema.fields
     arrays = [f.name for f in fields if isinstance(f.dataType, T.ArrayType)]
-    if not arrays:
+    begin = spark.read.text(path).where(F.length(F.trim("value")) > 0).first()  # the first line that is not blank
+    if not arrays or (begin is not None and begin[0].lstrip().startswith("[")):
         return raw  # records (one row each) or a single object (one row)
     scalars = [f.name for f in fields if f.name not in arrays]
     sizes = [F.size(c(k)) for k in arrays]

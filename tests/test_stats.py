@@ -4,11 +4,10 @@ import pytest
 from spruce.operators import stats
 
 
-@pytest.mark.parametrize("limit", [8, 100, 1 << 20])
-def test_exact_quantiles_refinement(spark, monkeypatch, limit):
-    # small COLLECT_LIMIT forces the histogram passes; skewed data with a hot value
-    monkeypatch.setattr(stats, "COLLECT_LIMIT", limit)
-    monkeypatch.setattr(stats, "BINS", 16)
+@pytest.mark.parametrize("bins", [2, 16, 1 << 11])
+def test_exact_quantiles_refinement(spark, monkeypatch, bins):
+    # few bins force many passes; skewed data with a hot value
+    monkeypatch.setattr(stats, "BINS", bins)
     rng = np.random.default_rng(7)
     vals = list(rng.exponential(50, 3000)) + [42.0] * 1500 + [1e6, -3.0]
     df = spark.createDataFrame([(float(v), i % 3) for i, v in enumerate(vals)], "v double, g long")
@@ -29,6 +28,26 @@ def test_quantiles_empty_and_constant(spark):
     assert stats.quantiles(c, "v", [0.25, 0.5]) == [3.0, 3.0]
 
 
+def test_quantiles_with_infinity_nan_and_zeros(spark):
+    inf = float("inf")
+    vals = [inf, -inf, -0.0, 0.0, 1e308, -1e308, 5e-324, 1.5, 2.5, 2.5]
+    df = spark.createDataFrame([(v, "a") for v in vals] + [(float("nan"), "a"), (None, "a")], "v double, g string")
+    probs = [0.0, 1 / 9, 4 / 9, 6 / 9, 1.0]
+    want = [-inf, -1e308, 5e-324, 2.5, inf]
+    assert stats.column_quantiles(df, ["v"], probs)["v"] == pytest.approx(want)
+    assert list(stats.quantile_table(df, "v", probs, by="g").first())[1:] == pytest.approx(want)
+
+
+def test_columns_share_the_passes(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=999), rng.integers(0, 5, 999)
+    df = spark.createDataFrame([(float(x), int(y), None) for x, y in zip(a, b)], "a double, b long, c double")
+    want = {"a": list(np.percentile(a, [25, 50])), "b": list(np.percentile(b, [25, 50])), "c": [None, None]}
+    for n in (1, 3, 16):
+        got = stats.column_quantiles(df.repartition(n), ["a", "b", "c"], [0.25, 0.5])
+        assert got["a"] == pytest.approx(want["a"], rel=1e-14) and got["b"] == want["b"] and got["c"] == want["c"]
+
+
 def test_mode_smallest_of_most_frequent(spark):
     df = spark.createDataFrame([(10,), (9,), (9,), (10,), (1,)], "x long")
     assert stats.mode_values(df, ["x"]) == {"x": "9"}
