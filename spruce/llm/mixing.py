@@ -113,12 +113,12 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     give = float(everything) * z * gap if budget is None else float(budget)
     share_of = F.round(F.expr(f"power(p, {t!r}D)") / F.lit(z) * F.lit(give)).cast("long")
     plan = shares.select(
-        "__source", "total", F.ceil(F.col("n") / F.lit(block_rows)).cast("long").alias("blocks"),
+        "__source", F.col("total").alias("__total"), F.ceil(F.col("n") / F.lit(block_rows)).cast("long").alias("__blocks"),
         (F.greatest(F.col("total"), share_of) if budget is None else share_of).alias("__budget"))
     rows = rows.join(_small(plan, n_sources), "__source").where("__budget > 0")
     number = lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("__block", number(F.concat_ws(":", F.lit(seed), F.col("__id"))) % F.col("blocks"))
-    rows = rows.withColumn("__epoch", F.explode(F.expr("sequence(0, cast((__budget - 1) div total as int))")))
+    rows = rows.withColumn("__block", number(F.concat_ws(":", F.lit(seed), F.col("__id"))) % F.col("__blocks"))
+    rows = rows.withColumn("__epoch", F.explode(F.expr("sequence(0, cast((__budget - 1) div __total as int))")))
     rows = rows.withColumn("__order", F.md5(F.concat_ws(":", F.lit(seed), F.col("__epoch"), F.col("__id")).cast("binary")))
     by = ["__source", "__epoch", "__block"]
     blocks = rows.groupBy(*by).agg(F.sum("__tokens").alias("block_tokens"))
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     inside = Window.partitionBy(*by).orderBy("__order", "__id", "__tie").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__in", F.sum("__tokens").over(inside) - F.col("__tokens")).join(blocks, by)
-    rows = rows.withColumn("__start", F.col("__epoch") * F.col("total") + F.col("__before") + F.col("__in"))
+    rows = rows.withColumn("__start", F.col("__epoch") * F.col("__total") + F.col("__before") + F.col("__in"))
     rows = rows.where(F.col("__start") < F.col("__budget"))
     return rows.select(*[column(rows, c) for c in kept], F.col("__epoch").alias("epoch"),
                        F.col("__tokens").alias("tokens"), F.col("__start").alias("start"),
