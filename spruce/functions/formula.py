@@ -2,8 +2,9 @@
 
 A formula such as ``price * quantity``, ``(a + b) / 2 > 10`` or
 ``log(income)`` is read with Python's own ``ast`` module; only arithmetic,
-comparisons, boolean logic, column names, numbers and the two column
-functions ``log(col)`` and ``mean(col)`` are accepted.  Anything else is a
+comparisons, ``in`` lists, boolean logic, column names, numbers, texts, the
+one-argument math functions and ``mean(col)`` are accepted.  ``&`` and ``|`` bind as
+``and`` and ``or``, as in pandas.  Anything else is a
 ``ValueError``.  The formula never reaches ``F.expr`` (which would accept any
 SQL function).
 
@@ -15,7 +16,9 @@ gives null (pandas gives inf).
 from __future__ import annotations
 
 import ast
+import io
 import re
+import tokenize
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -23,6 +26,36 @@ from pyspark.sql import functions as F
 
 from .cols import c
 
+# The math functions of a formula, by the name pandas gives them.
+MATH = {
+    "sqrt": F.sqrt, "exp": F.exp, "abs": F.abs, "sin": F.sin, "cos": F.cos, "tan": F.tan, "sinh": F.sinh, "cosh": F.cosh,
+    "tanh": F.tanh, "arcsin": F.asin, "arccos": F.acos, "arctan": F.atan, "arcsinh": F.asinh, "arccosh": F.acosh,
+    "arctanh": F.atanh, "log10": F.log10, "log1p": F.log1p, "expm1": F.expm1, "floor": F.floor, "ceil": F.ceil,
+}
+
+
+def _words_for_signs(src: str) -> str:
+    """``&`` -> ``and``, ``|`` -> ``or`` (their precedence in pandas), outside of texts."""
+    try:
+        tokens = list(tokenize.generate_tokens(io.StringIO(src).readline))
+    except (tokenize.TokenError, SyntaxError):
+        return src  # the parser says what is wrong
+    signs = {"&": " and ", "|": " or "}
+    for t in reversed(tokens):
+        if t.type == tokenize.OP and t.string in signs and t.start[0] == 1:
+            src = src[: t.start[1]] + signs[t.string] + src[t.end[1]:]
+    return src
+
+
+def _bare_names(text: str, columns: set[str]) -> str:
+    """``log(a b)`` and ``a b - mean(c d)``: names with blanks need no backticks there."""
+    if (m := re.fullmatch(r"log\(([^`]+)\)", text)) and m[1].strip() in columns:
+        return f"log(`{m[1].strip()}`)"
+    if (m := re.fullmatch(r"([^`]+?)\s*-\s*mean\(([^`]+)\)", text)) and {m[1].strip(), m[2].strip()} <= columns:
+        return f"`{m[1].strip()}` - mean(`{m[2].strip()}`)"
+    return text
+
+
 _BACKTICK = re.compile(r"`([^`]*)`")
 
 
@@ -36,7 +69,7 @@ def compile_formula(text: str, columns: list[str],
         names[key] = m.group(1)
         return key
 
-    src = _BACKTICK.sub(hide, text.strip())
+    src = _words_for_signs(_BACKTICK.sub(hide, _bare_names(text.strip(), set(columns))))
     try:
         tree = ast.parse(src, mode="eval")
     except SyntaxError as e:
@@ -62,7 +95,7 @@ def compile_formula(text: str, columns: list[str],
                 return F.lit(node.id == "True")
             return c(name_of(node))
         if isinstance(node, ast.Constant):
-            if isinstance(node.value, (bool, int, float)):
+            if isinstance(node.value, (bool, int, float, str)):
                 return F.lit(node.value)
             raise ValueError(f"Could not evaluate formula '{text}': unsupported constant")
         if isinstance(node, ast.UnaryOp):
@@ -105,6 +138,12 @@ def compile_formula(text: str, columns: list[str],
             parts = []
             left = conv(node.left)
             for op, right_node in zip(node.ops, node.comparators):
+                if isinstance(op, (ast.In, ast.NotIn)) and isinstance(right_node, (ast.List, ast.Tuple)):
+                    listed = left.isin([v.value for v in right_node.elts if isinstance(v, ast.Constant)])
+                    if not all(isinstance(v, ast.Constant) for v in right_node.elts):
+                        break
+                    parts.append(~listed if isinstance(op, ast.NotIn) else listed)
+                    continue
                 right = conv(right_node)
                 if isinstance(op, ast.Eq):
                     parts.append(left == right)
@@ -133,6 +172,9 @@ def compile_formula(text: str, columns: list[str],
                 arg = num(conv(node.args[0]))
                 # natural log; 0 is missing first, negatives give null
                 return F.ln(F.when(arg != 0, arg))
+            if fn in MATH:
+                y = MATH[fn](num(conv(node.args[0]))).cast("double")
+                return F.when(~F.isnan(y), y)  # outside the function's domain: missing
             if fn == "mean":
                 m = mean_of(name_of(node.args[0]))
                 return F.lit(m).cast("double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -163,6 +164,13 @@ def _bin_expr(x: Column, inner_edges: Sequence[float], labels: Sequence[str] | N
     return out
 
 
+def _edge_text(e: float) -> str:
+    """3 decimals; below 1 in size, 3 digits."""
+    if e == 0 or not math.isfinite(e) or abs(e) >= 1:
+        return repr(round(e, 3))
+    return repr(round(e, 2 - math.floor(math.log10(abs(e)))))
+
+
 def equal_width_edges(mn: float, mx: float, n: int) -> list[float]:
     """Edges as pandas.cut builds them (numpy linspace; constant range widened)."""
     if mn == mx:
@@ -183,9 +191,13 @@ def _linspace(a: float, b: float, num: int) -> list[float]:
 
 
 def bin_column(df: DataFrame, column: str, n_bins: int, method: str = "equal_width",
-               labels: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+               labels: Sequence[str] | None = None, exact: bool = True, intervals: bool = False) -> DataFrame:
     """``{column}_binned`` = bin number 1..n (or its label).
 
+    With ``intervals`` (and no labels) ``{column}_interval`` is added: the bin's edges as
+    text ``(lo, hi]`` as pandas prints them (3 decimals; the first lower edge is below the
+    lowest value by 0.1 % of the range or, for quantiles, 0.001).
+
     Equal width: right-closed bins over [min, max]; quantile: edges at
     quantiles k/n, duplicate edges dropped, lowest value in bin 1, fewer than
     two distinct edges -> null.
@@ -208,4 +220,10 @@ def bin_column(df: DataFrame, column: str, n_bins: int, method: str = "equal_wid
             return df.withColumn(new, F.lit(None).cast("string" if labels else "int"))
     if labels is not None and len(labels) != len(edges) - 1:
         raise ValueError(f"Binning failed for '{column}': need {len(edges) - 1} labels")
-    return df.withColumn(new, _bin_expr(x, edges[1:-1], labels))
+    out = df.withColumn(new, _bin_expr(x, edges[1:-1], labels))
+    if intervals and labels is None:
+        low = edges[0] if method == "equal_width" else edges[0] - 0.001  # equal_width_edges has widened it
+        ends = [_edge_text(float(e)) for e in [low, *edges[1:]]]
+        texts = [f"({a}, {b}]" for a, b in zip(ends, ends[1:])]
+        out = out.withColumn(f"{column}_interval", F.element_at(F.array(*[F.lit(t) for t in texts]), c(new).cast("int")))
+    return out

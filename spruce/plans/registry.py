@@ -945,3 +945,225 @@ def q_violations_csv(spark, d):
     path = sio.write_csv(v, sio.scratch_path(spark, "violations_csv"))
     back = sio.read_table(spark, path, "csv")
     return back.select("event_id", "column", "rule_type", F.col("value").cast("string").alias("value"), "detail")
+
+
+# ---------------------------------------------------------------- values and shapes the plain tables do not hold
+
+# events with infinities, NaN, -0.0, a group without values and whole-row copies
+_E2 = ["event_type", "CASE WHEN event_type = 'error' THEN NULL WHEN event_id % 10 = 0 THEN CAST('{inf}' AS DOUBLE) "
+       "WHEN event_id % 10 = 1 THEN CAST('-{inf}' AS DOUBLE) WHEN event_id % 10 = 2 THEN CAST('NaN' AS DOUBLE) "
+       "WHEN event_id % 10 = 3 THEN -0.0 WHEN event_id % 10 = 4 THEN 0.0 ELSE value END AS v"]
+_E2_SQL = "WITH e2 AS (SELECT " + ", ".join(_E2).format(inf="Infinity") + " FROM events)"
+
+
+def dirty_events2(spark, d):
+    return _t(spark, d, "events").selectExpr(*[x.format(inf="Infinity") for x in _E2])
+
+
+@query("quantiles_inf", _E2_SQL + """, f AS (SELECT event_type, v FROM e2 WHERE NOT isnan(v))
+SELECT event_type, quantile_disc(v, 0.0) AS q0, round(quantile_cont(v, 0.5), 6) AS q1, quantile_disc(v, 1.0) AS q2
+FROM f GROUP BY event_type""")
+def q_quantiles_inf(spark, d):
+    from ..operators import stats
+    t = stats.quantile_table(dirty_events2(spark, d), "v", [0.0, 0.5, 1.0], by="event_type")
+    return t.withColumn("q1", round_half_away(F.col("q1")))
+
+
+@query("median_groups_without_values", _E2_SQL + """
+SELECT event_type, round(quantile_cont(v, 0.5) FILTER (NOT isnan(v)), 6) AS value FROM e2 GROUP BY event_type""")
+def q_median_no_values(spark, d):
+    return rnd(ch.bar_aggregate(dirty_events2(spark, d), "event_type", "v", "median"))
+
+
+@query("count_without_nan", _E2_SQL + """
+SELECT event_type, count(v) FILTER (NOT isnan(v)) AS value FROM e2 GROUP BY event_type""")
+def q_count_nan(spark, d):
+    return ch.bar_aggregate(dirty_events2(spark, d), "event_type", "v", "count")
+
+
+@query("distinct_zeros", _E2_SQL + """
+SELECT count(DISTINCT CASE WHEN v = 0 THEN 0.0 ELSE v END) FILTER (NOT isnan(v)) AS unique_count FROM e2""")
+def q_distinct_zeros(spark, d):
+    return prof.column_profile(dirty_events2(spark, d).select("v")).select("unique_count")
+
+
+@query("dups_find_full_row", """SELECT user_id, event_type FROM (SELECT user_id, event_type,
+row_number() OVER (PARTITION BY user_id, event_type) AS rn FROM events) WHERE rn > 1""")
+def q_dups_full_row(spark, d):
+    return dedup.find_duplicates(_t(spark, d, "events").select("user_id", "event_type"))
+
+
+@query("num_describe_wide", " UNION ALL ".join(
+    f"SELECT '{k}' AS \"column\", count({k}) AS count, round(quantile_cont({k}, 0.25), 6) AS q25, "
+    f"round(quantile_cont({k}, 0.5), 6) AS q50, round(quantile_cont({k}, 0.75), 6) AS q75 FROM lineitem"
+    for k in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey", "l_partkey")))
+def q_describe_wide(spark, d):
+    t = prof.numeric_describe(_t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey", "l_partkey"])
+    return rnd(t.select("column", "count", "q25", "q50", "q75"))
+
+
+@query("scatter_bins", """SELECT least((l_quantity::INTEGER - 1) // 7, 6)::INTEGER AS x_bin,
+least((l_orderkey % 50) // 7, 6)::INTEGER AS y_bin, count(*) AS count FROM lineitem GROUP BY ALL""")
+def q_scatter_bins(spark, d):
+    rows = _t(spark, d, "lineitem").selectExpr("l_quantity", "l_orderkey % 50 AS k")
+    return ch.scatter_bins(rows, "l_quantity", "k", 7)
+
+
+@query("group_rare_none", "SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber FROM lineitem")
+def q_group_rare_none(spark, d):
+    """No value is rare: the type is text all the same."""
+    return cat.group_rare_categories(_t(spark, d, "lineitem"), "l_linenumber", 0.0).select("l_orderkey", "l_linenumber")
+
+
+@query("map_values_numbers", "SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN '1' ELSE l_returnflag END AS l_returnflag FROM lineitem")
+def q_map_values_numbers(spark, d):
+    return cat.map_values(_t(spark, d, "lineitem"), "l_returnflag", {"A": 1}).select("l_orderkey", "l_returnflag")
+
+
+@query("bar_grouped_wide_colours", """SELECT l_suppkey, count(*) * 1e9 AS "F", CAST(NULL AS DOUBLE) AS "O"
+FROM lineitem WHERE l_suppkey = 1 AND l_linestatus = 'F' GROUP BY 1""")
+def q_bar_colours(spark, d):
+    """The top supplier has no row of one colour; the colour keeps its column."""
+    rows = _t(spark, d, "lineitem").where("l_linestatus = 'F' OR l_suppkey <> 1").selectExpr(
+        "l_suppkey", "l_linestatus", "CASE WHEN l_suppkey = 1 THEN 1e9 ELSE l_quantity END AS y")
+    return rnd(ch.bar_grouped_wide(rows, "l_suppkey", "y", "l_linestatus", "sum", top_n=1))
+
+
+@query("formula_text", "SELECT l_orderkey, (l_returnflag = 'A' AND l_quantity > 10) OR l_linestatus IN ('O') AS f FROM lineitem")
+def q_formula_text(spark, d):
+    t = colops.create_formula_column(_t(spark, d, "lineitem"), "f", "l_returnflag == 'A' & l_quantity > 10 | l_linestatus in ['O']")
+    return t.select("l_orderkey", "f")
+
+
+@query("formula_functions", """SELECT l_orderkey, round(sqrt(l_quantity) + abs(0 - l_tax) + exp(l_discount), 6) AS f,
+round(ln(l_quantity), 6) AS g FROM lineitem""")
+def q_formula_functions(spark, d):
+    t = _t(spark, d, "lineitem").withColumnRenamed("l_quantity", "line quantity")
+    t = colops.create_formula_column(t, "f", "sqrt(`line quantity`) + abs(0 - l_tax) + exp(l_discount)")
+    return rnd(colops.create_formula_column(t, "g", "log(line quantity)").select("l_orderkey", "f", "g"))
+
+
+@query("bin_width_label", """SELECT l_orderkey, CASE WHEN l_quantity <= 8 THEN '(0.951, 8.0]'
+ELSE '(' || (1 + 7 * ((l_quantity::INTEGER + 5) // 7 - 1))::DOUBLE || ', '
+|| (8 + 7 * ((l_quantity::INTEGER + 5) // 7 - 1))::DOUBLE || ']' END AS label FROM lineitem""")
+def q_bin_width_label(spark, d):
+    t = num.bin_column(_t(spark, d, "lineitem"), "l_quantity", 7, "equal_width", intervals=True)
+    return t.select("l_orderkey", F.col("l_quantity_interval").alias("label"))
+
+
+@query("bin_quantile_label", """WITH e AS (SELECT list_sort(list_distinct([quantile_cont(l_quantity, 0.0), quantile_cont(l_quantity, 0.25),
+quantile_cont(l_quantity, 0.5), quantile_cont(l_quantity, 0.75), quantile_cont(l_quantity, 1.0)])) AS e FROM lineitem),
+i AS (SELECT l_orderkey, e, 1 + len(list_filter(e[2:len(e) - 1], lambda x: x < l_quantity)) AS i FROM lineitem, e)
+SELECT l_orderkey, '(' || CASE WHEN i = 1 THEN round(e[1] - 0.001, 3) ELSE e[i] END || ', ' || e[i + 1] || ']' AS label FROM i""")
+def q_bin_quantile_label(spark, d):
+    t = num.bin_column(_t(spark, d, "lineitem"), "l_quantity", 4, "quantile", intervals=True)
+    return t.select("l_orderkey", F.col("l_quantity_interval").alias("label"))
+
+
+@query("to_datetime_forms", """SELECT o_orderkey, CASE o_orderkey % 6
+WHEN 0 THEN o_orderdate::DATE::TIMESTAMP WHEN 1 THEN o_orderdate::DATE + INTERVAL '10 hours 30 minutes'
+WHEN 2 THEN o_orderdate::DATE + INTERVAL '22 hours 30 minutes' WHEN 3 THEN o_orderdate::DATE + INTERVAL '10 hours 30 minutes'
+WHEN 4 THEN o_orderdate::DATE::TIMESTAMP ELSE o_orderdate::DATE + INTERVAL '10 hours 30 minutes 5 seconds' END AS t FROM orders""")
+def q_to_datetime_forms(spark, d):
+    """Compact, T without seconds, AM/PM, month name with time, dots (month first), time with seconds."""
+    rows = _t(spark, d, "orders").selectExpr("o_orderkey", """CASE o_orderkey % 6
+        WHEN 0 THEN date_format(o_orderdate, 'yyyyMMdd') WHEN 1 THEN date_format(o_orderdate, 'yyyy-MM-dd') || 'T10:30'
+        WHEN 2 THEN date_format(o_orderdate, 'MM/dd/yyyy') || ' 10:30 PM' WHEN 3 THEN date_format(o_orderdate, 'MMMM d, yyyy') || ' 10:30'
+        WHEN 4 THEN date_format(o_orderdate, 'MM.dd.yyyy') ELSE date_format(o_orderdate, 'MM-dd-yyyy') || ' 10:30:05' END AS t""")
+    return conv.convert_to_datetime_mixed(rows, "t")
+
+
+def _json_documents(spark, df, name: str):
+    """Write each row of text as a file of its own to the shared folder, read the files back as a table."""
+    path = sio.scratch_path(spark, name)
+    df.write.option("maxRecordsPerFile", 1).text(path)
+    return sio.read_table(spark, path, "json")
+
+
+# documents of at most 1,000 customers each
+_PACK = "c_custkey div 1000 AS pack"
+
+
+@query("scan_json_records", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name FROM customer")
+def q_scan_json_records(spark, d):
+    rows = _t(spark, d, "customer").selectExpr("c_custkey", "c_name", _PACK).groupBy("pack")
+    return _json_documents(spark, rows.agg(F.to_json(F.collect_list(F.struct("c_custkey", "c_name"))).alias("t")).select("t"), "records")
+
+
+@query("scan_json_columns", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name FROM customer")
+def q_scan_json_columns(spark, d):
+    rows = _t(spark, d, "customer").selectExpr("struct(c_custkey, c_name) AS x", _PACK).groupBy("pack").agg(F.collect_list("x").alias("x"))
+    text = F.to_json(F.struct(F.col("x.c_custkey").alias("c_custkey"), F.col("x.c_name").alias("c_name")))
+    return _json_documents(spark, rows.select(text.alias("t")), "columns")
+
+
+@query("scan_json_single", "SELECT CAST(c_custkey // 1000 AS BIGINT) AS pack, count(*) AS n FROM customer GROUP BY 1")
+def q_scan_json_single(spark, d):
+    rows = _t(spark, d, "customer").selectExpr(_PACK).groupBy("pack").agg(F.count("*").alias("n"))
+    return _json_documents(spark, rows.select(F.to_json(F.struct("pack", "n")).alias("t")), "single")
+
+
+@query("scan_json_nested", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, 2 AS n FROM customer")
+def q_scan_json_nested(spark, d):
+    """Records with a list cell stay one row each."""
+    rows = _t(spark, d, "customer").selectExpr("struct(c_custkey, array(c_name, 'x') AS names) AS x", _PACK).groupBy("pack")
+    t = _json_documents(spark, rows.agg(F.to_json(F.collect_list("x")).alias("t")).select("t"), "nested")
+    return t.select("c_custkey", F.size("names").alias("n"))
+
+
+@query("scan_csv_types", """SELECT p_partkey, CAST(CAST(p_partkey AS HUGEINT) + 12345678901234567000 AS VARCHAR) AS big,
+p_size > 20 AS flag FROM part""")
+def q_scan_csv_types(spark, d):
+    """Integers beyond 64 bits and booleans."""
+    rows = _t(spark, d, "part").selectExpr("p_partkey", "CAST(p_partkey + CAST(12345678901234567000 AS DECIMAL(20,0)) AS DECIMAL(20,0)) AS big",
+                                           "p_size > 20 AS flag")
+    t = sio.read_table(spark, sio.write_csv(rows, sio.scratch_path(spark, "types_csv")), "csv")
+    return t.select("p_partkey", F.col("big").cast("string").alias("big"), "flag")
+
+
+@query("type_split", " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, '{k}' AS \"column\", count({k}) AS n FROM part" for kind, k in (
+        ("numeric", "p_partkey"), ("numeric", "p_size"), ("numeric", "p_retailprice"), ("categorical", "p_name"),
+        ("categorical", "p_brand"), ("categorical", "p_type"))))
+def q_type_split(spark, d):
+    """P9 with the count of values of each column."""
+    from ..functions.cols import type_split
+    df = _t(spark, d, "part")
+    kinds = [(kind, k) for kind, names in type_split(df).items() if kind != "all" for k in names]
+    one = df.agg(*[F.count(k).alias(k) for _, k in kinds])
+    items = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("column"), F.col(k).alias("n")) for kind, k in kinds])
+    return one.select(F.explode(items).alias("x")).select("x.*")
+
+
+@query("rule_roundtrip", SQL["violation_summary"])
+def q_rule_roundtrip(spark, d):
+    rules = [val.ValidationRule.from_dict(r.to_dict()) for r in _RULES]
+    return val.violation_summary(val.validate_rules(dirty_events(spark, d), rules, key_cols="event_id"))
+
+
+@query("recipe_document", SQL["recipe_replay"])
+def q_recipe_document(spark, d):
+    steps = recipe.recipe_from_json(recipe.recipe_to_json(RECIPE))
+    return rnd(recipe.replay(dirty_events(spark, d), steps))
+
+
+LOGGED = [
+    recipe.make_step("map_values", {"column": "kind", "mapping": {"click": "C", "view": "V"}, "other": True}),
+    recipe.make_step("create_column", {"name": "double_value", "formula": "value * 2"}),
+    recipe.make_step("rename_column", {"old": "user_id", "new": "user"}),
+    recipe.make_step("bin_column", {"column": "user", "bins": 4, "method": "quantile"}),
+    recipe.make_step("convert_type", {"target": "Numeric"}, ["double_value"]),
+    recipe.make_step("drop_rows", {}, ["value"]),
+    recipe.make_step("fill_missing", {"strategy": "drop_columns_by_threshold", "threshold": 50}, ["value"]),
+    recipe.make_step("drop_columns", {}, ["ts"]),
+]
+
+
+@query("recipe_logged_names", with_("de") + """, e AS (SELECT list_sort(list_distinct([quantile_cont(user_id, 0.0), quantile_cont(user_id, 0.25),
+quantile_cont(user_id, 0.5), quantile_cont(user_id, 0.75), quantile_cont(user_id, 1.0)])) AS e FROM de)
+SELECT event_id, user_id AS "user", value, CASE kind WHEN 'click' THEN 'C' WHEN 'view' THEN 'V' ELSE 'Other' END AS kind,
+round(value * 2, 6) AS double_value, 1 + len(list_filter(e[2:len(e) - 1], lambda x: x < user_id)) AS user_binned
+FROM de, e WHERE value IS NOT NULL""")
+def q_recipe_logged(spark, d):
+    """Step parameters by the names a log of the user interface holds."""
+    return rnd(recipe.replay(dirty_events(spark, d), LOGGED))
