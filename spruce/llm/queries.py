@@ -62,10 +62,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.coalesce("text", F.lit(""))
-    done = sharding.sharded(_read(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
-    return done.select("doc_id", "size", F.crc32(t.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
-                       "slot", F.lit(None).cast("int").alias("grown_shard"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))  # before the exchange, which then needs no text
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", crc.alias("text_crc32"))
+    return sharding.sharded(docs, shards=8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
