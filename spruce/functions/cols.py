@@ -40,11 +40,6 @@ def check_names(df: DataFrame) -> None:
         seen[k] = n
 
 
-def present(df: DataFrame, cols: Iterable[str]) -> list[str]:
-    have = set(df.columns)
-    return [x for x in cols if x in have]
-
-
 def require(df: DataFrame, cols: Iterable[str]) -> list[str]:
     cols = list(cols)
     missing = [x for x in cols if x not in set(df.columns)]
@@ -53,10 +48,6 @@ def require(df: DataFrame, cols: Iterable[str]) -> list[str]:
     return cols
 
 
-def dtype_of(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType
-
-
 def is_numeric(dt: T.DataType) -> bool:
     return isinstance(dt, T.NumericType)
 

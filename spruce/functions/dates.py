@@ -146,28 +146,32 @@ def parse_mixed(x: Column, formats: list[str] | None = None) -> Column:
         return F.coalesce(*[parse_with_format(x, f) for f in formats])
     s = x.cast("string")
 
-    def parts(shape: str) -> Column:
-        return F.split(F.regexp_replace(s, shape, "$1|$2|$3|$4|$5|$6|$7|$8"), r"\|", -1)
-
-    def moment(year: Column, month: Column, day: Column, p: Column) -> Column:
-        hour, half = p[3].try_cast("int"), F.lower(p[7])
-        hour = F.when(half == "", F.coalesce(hour, F.lit(0))).when(~hour.between(1, 12), F.lit(99)).otherwise(
+    def rewritten(kind: str, shape: str) -> Column:
+        return F.regexp_replace(s, shape, kind + "|$1|$2|$3|$4|$5|$6|$7|$8")
+
+    # one rewrite for each value, chosen by how the text begins; what does not fit its shape stays as it is
+    canonical = (F.when(s.rlike(r"^\s*\d{4}"), rewritten("Y", _YEAR_FIRST))
+                 .when(s.rlike(r"^\s*\d{1,2}[-/.]\d"), rewritten("N", _NUMBER_FIRST))
+                 .when(s.rlike(r"^\s*\d"), rewritten("D", _DAY_NAME)).otherwise(rewritten("M", _NAME_DAY)))
+
+    def moment(p: Column) -> Column:
+        """p: kind, three date parts in the order of the text, hour, minute, second, fraction, AM or PM."""
+        kind, half = p[0], F.lower(p[8])
+        swap = (kind == "N") & (p[1].try_cast("int") > 12)  # the first number cannot be a month
+        year = F.when(kind == "Y", p[1]).otherwise(p[3])
+        month = F.when((kind == "Y") | (kind == "D") | swap, p[2]).otherwise(p[1])
+        day = F.when(kind == "Y", p[3]).when((kind == "D") | swap, p[1]).otherwise(p[2])
+        month = F.when((kind == "D") | (kind == "M"), F.nullif(_month_from_name(month, False), F.lit(0)).cast("string")).otherwise(month)
+        hour = F.coalesce(p[4].try_cast("int"), F.lit(0))
+        hour = F.when(half == "", hour).when(~hour.between(1, 12), F.lit(99)).otherwise(
             hour % 12 + F.when(half == "pm", 12).otherwise(0))
         zero = lambda c: F.when(c == "", F.lit("0")).otherwise(c)
-        second = F.concat(zero(p[5]), F.lit("."), F.substring(F.rpad(p[6], 6, "0"), 1, 6))
-        text = F.concat_ws("-", year, month, day)
-        return F.concat(text, F.lit(" "), hour.cast("string"), F.lit(":"), zero(p[4]), F.lit(":"), second).try_cast("timestamp_ntz")
-
-    def named(text: Column) -> Column:
-        return F.nullif(_month_from_name(text, False), F.lit(0)).cast("string")
-
-    y, n, d, m = parts(_YEAR_FIRST), parts(_NUMBER_FIRST), parts(_DAY_NAME), parts(_NAME_DAY)
-    first, second = n[0].try_cast("int"), n[1].try_cast("int")
-    month, day = F.when(first > 12, second).otherwise(first), F.when(first > 12, first).otherwise(second)
-    return (F.when(s.rlike(_YEAR_FIRST), moment(y[0], y[1], y[2], y))
-            .when(s.rlike(_NUMBER_FIRST), moment(n[2], month.cast("string"), day.cast("string"), n))
-            .when(s.rlike(_DAY_NAME) & named(d[1]).isNotNull(), moment(d[2], named(d[1]), d[0], d))
-            .when(s.rlike(_NAME_DAY) & named(m[0]).isNotNull(), moment(m[2], named(m[0]), m[1], m)))
+        text = F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), hour.cast("string"), F.lit(":"), zero(p[5]),
+                        F.lit(":"), zero(p[6]), F.lit("."), F.substring(F.rpad(p[7], 6, "0"), 1, 6))
+        return F.when((F.size(p) == 9) & kind.isin("Y", "N", "D", "M"), text.try_cast("timestamp_ntz"))
+
+    # an array of one, so that the parts are made once and used many times
+    return F.transform(F.array(F.split(canonical, r"\|", -1)), moment)[0]
 
 
 def guess_format(sample: str | None) -> str | None:

@@ -36,7 +36,7 @@ def _missing(df: DataFrame, name: str) -> Column:
     return c(name).isNull()
 
 
-def frequency_table(df: DataFrame, cols: Iterable[str] | None = None, keep_type: bool = False) -> DataFrame:
+def frequency_table(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
     """Long form (column, value, count, num_key): non-null value counts of every column.
 
     ``value`` is the text form; ``num_key`` is the value as double for numeric

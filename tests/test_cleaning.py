@@ -223,3 +223,28 @@ def test_filters(spark):
     assert colops.rename_columns(df, {"x": "y", "nope": "z"}).columns == ["y", "c"]
     assert colops.drop_columns(df, ["c", "nope"]).columns == ["x"]
     assert math.isclose(1.0, 1.0)
+
+
+def test_filters_reach_the_scan(spark):
+    from spruce.operators.columns import filter_dataframe
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    out = filter_dataframe(df, {"l_returnflag": ["A", "R"], "l_quantity": (5, 10)})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: ")[1]
+    assert "In(l_returnflag, [A,R])" in pushed and "GreaterThanOrEqual(l_quantity" in pushed
+
+
+def test_fill_keeps_nothing_cached(spark):
+    from spruce.operators.missing import fill_directional
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    df = spark.createDataFrame([(i, None if i % 3 else float(i)) for i in range(50)], "k long, v double")
+    assert [r.v for r in fill_directional(df, ["v"], "k").orderBy("k").collect()] == [float(i - i % 3) for i in range(50)]
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_unknown_recipe_parameter_fails(spark):
+    import pytest
+    from spruce.plans import recipe
+    df = spark.createDataFrame([(1.0,)], "v double")
+    with pytest.raises(ValueError, match="Unknown parameters"):
+        recipe.apply_step(df, {"operation": "scale_columns", "params": {"columns": ["v"], "methd": "z"}})
