@@ -106,7 +106,7 @@ def test_nearest_all_probes_is_exact(spark):
     df = vectors(spark, rows).union(vectors(spark, rows[:3]))  # repeated rows
     want = brute_nearest(rows[:60], 20)
     got: dict = {}
-    for r in ann.nearest(df, ann.F.col("id") % 20 == 0, tables=2, probes=16, block=7).collect():
+    for r in ann.nearest(df, ann.F.col("id") % 20 == 0, tables=2, probes=16, block=7, asks=2).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == want
 
@@ -118,6 +118,17 @@ def test_nearest_few_or_none(spark):
     assert [(r["rank"], r.vec_id, r.score) for r in sorted(rows, key=lambda r: r["rank"])] == [(1, 1, 0.5), (2, 2, 0.5)]
 
 
+def test_nearest_short_answers_are_completed(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(50)]
+    want = brute_nearest(rows, 30)
+    got: dict = {}
+    for r in ann.nearest(vectors(spark, rows), ann.F.col("id") % 20 == 0, k=30, tables=1, probes=1, block=7, asks=2).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == want
+    assert len(ann.nearest(vectors(spark, rows[:9]), ann.F.col("id") == 0, tables=1, probes=1).collect()) == 8
+
+
 def test_pseudo_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(7, 13))
     turned = ann.rotated(x, 3, 7)
