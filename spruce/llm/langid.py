@@ -194,8 +194,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     """Fit on about ``sample_chars`` characters for each value of ``lang``.
 
     The sample is bounded: pieces of ``piece_chars`` characters, each from a
-    place in a document drawn by the hash of its id, so the same rows are
-    drawn whatever the partitioning.  A hash threshold for each language,
+    place in a document drawn by the hash of its id and text, so the same rows are
+    drawn whatever the partitioning, and rows equal in both are one.  A hash threshold for each language,
     from one count of the labelled rows, keeps the rows that are ranked few.
     The model grows with the number of languages alone.
     """
@@ -203,7 +203,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     rows = rows.where(where) if where is not None else rows
     t, k = column(rows, text), column(rows, key)
     rows = rows.select(column(rows, lang).cast("string").alias("lang"), t.alias("t"),
-                       F.length(t).alias("n"), F.xxhash64(k, F.lit("lang")).alias("h"))
+                       F.length(t).alias("n"), F.xxhash64(k, F.lit("lang"), t).alias("h"))
     usable = F.least(F.col("n"), F.lit(piece_chars))
     have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(usable).alias("n")).collect()}
     if not have:
@@ -211,9 +211,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     keep = F.lit(False)
     for name, n in sorted(have.items()):
         share = min(1.0, 1.5 * sample_chars / n) if n else 0.0
-        keep = keep | ((F.col("lang") == F.lit(name)) & (F.abs(F.col("h") % 1_000_000) < F.lit(int(share * 1_000_000) + 1)))
+        keep = keep | ((F.col("lang") == F.lit(name)) & (F.shiftrightunsigned("h", 16) < F.lit(int(share * (1 << 48)) + 1)))
     at = (F.abs(F.xxhash64(F.col("h"))) % F.greatest(F.lit(1), F.col("n") - F.lit(piece_chars))).cast("int") + 1
     drawn = rows.where(keep & (F.col("n") > 0)).select("lang", "h", F.substring(F.col("t"), at, F.lit(piece_chars)).alias("piece"))
+    drawn = drawn.groupBy("lang", "h").agg(F.min("piece").alias("piece"))
     samples: dict[str, list[str]] = {}
     size: dict[str, int] = {}
     for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["h"], r["piece"])):  # bounded by sample_chars a language
