@@ -36,7 +36,7 @@ from operator import getitem, itemgetter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, connected_components, cut, partitions
@@ -164,15 +164,22 @@ def in_order(docs: DataFrame, text: str, key: str) -> DataFrame:
     keys = cut(rows.select("k1", F.col("hash").alias("k2"), (F.octet_length("text") + 1).cast("long").alias("size"), "none", "doc_id"))
     n = partitions(docs)
     bounds = splitters(keys, n, 0.05)
-    part = part_of(F.col("k1"), F.col("hash"), bounds)
+    rows = rows.withColumn("part", part_of(F.col("k1"), F.col("hash"), bounds))
     # the first key of each part: one row for each part comes to the driver
-    firsts = sorted((r["part"], tuple(r["f"])) for r in keys.groupBy(part_of(F.col("k1"), F.col("k2"), bounds).alias("part"))
-                    .agg(F.min(F.struct("k1", "none", "k2")).alias("f")).collect())
-    copies = [F.struct(part.alias("part"), F.lit(False).alias("more"))]
-    to = F.lit(None).cast("int")
-    for i, (p, (k1, none, k2)) in enumerate(firsts):
-        to = F.when((F.col("k1") == k1) & (F.col("none") == none) & (F.col("hash") == k2), F.lit(firsts[i - 1][0])).otherwise(to)
-    copies.append(F.when(to.isNotNull(), F.struct(to.alias("part"), F.lit(True).alias("more"))))
+    first = {r["part"]: r["f"] for r in keys.groupBy(part_of(F.col("k1"), F.col("k2"), bounds).alias("part"))
+             .agg(F.min(F.struct("k1", "none", "k2")).alias("f")).collect()}
+    filled = sorted(first)
+    before = dict(zip(filled, filled[-1:] + filled))  # the first document follows the last one
+
+    def of_part(values: list, kind: str) -> Column:
+        return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("part") + 1)
+
+    same = F.lit(True)
+    for name, field, kind in (("k1", "k1", "long"), ("none", "none", "boolean"), ("hash", "k2", "long")):
+        same = same & (F.col(name) == of_part([first[p][field] if p in first else None for p in range(n)], kind))
+    to = F.when(same, of_part([before.get(p) for p in range(n)], "int"))
+    copies = [F.struct("part", F.lit(False).alias("more")),
+              F.when(to.isNotNull(), F.struct(to.alias("part"), F.lit(True).alias("more")))]
     rows = rows.withColumn("to", F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull())))
     rows = rows.select("to.part", "to.more", "none", "doc_id", "hash", "text")
     return rows.repartition(n, "part").sortWithinPartitions("part", "more", "none", "doc_id", "hash")
