@@ -28,7 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    found = linededup.dedup_lines(docs, long_words=None)  # the rule of op7's SQL, which the stage's test expects
+    return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,7 +50,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = linededup.dedup_lines(docs, counts=True, long_words=None)  # LINES_SQL knows runs of three lines alone
     return found.select("doc_id", "n_lines", "n_deleted", F.length("text").alias("n_chars_left"),
                         F.sha2("text", 256).alias("text_sha256"))
 
