@@ -13,10 +13,11 @@ length.  The symbol at a place is an 8-bit hash of the emitted character and the
 before it.  The likeness of two fingerprints is the share of equal symbols, at
 the coarser level of the two; places that only the longer one has count as different.
 
-Near duplicates are found by bands: each band samples bits of the symbols at
-shared places, texts that agree in a band are compared by likeness, and
-the links that connect a group are verified by the edit distance of
-the whole texts.
+Near duplicates are found by bands: every place of a fingerprint begins a band of
+``run`` symbols, so the bands cover the whole text, and a stretch of the walk that two texts
+share is enough.  The text is also walked from its end, as a change of length
+shifts all that the walk emits behind it, but nothing before it.  Texts that agree in a
+band and are near enough in length are verified by the edit distance of the whole texts.
 
 A text is walked in stretches, so memory does not grow with its length
 beyond the text itself.
@@ -29,6 +30,7 @@ the texts' hashes; null ids come last.  A single document is its own next docume
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import cache
 from itertools import accumulate
 from operator import getitem, itemgetter
@@ -221,70 +223,74 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id"
     return in_order(docs, text, key).mapInArrow(compare, EDITED)
 
 
-def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.8, bands: int = 24,
-                bits: int = 24, block: int = 512, seed: int = 5) -> DataFrame:
+def bands_of(codes: np.ndarray, least: float, run: int) -> list[int]:
+    """Keys of a text's bands, 64-bit integers: ``run`` symbols from each place of both walks, at the text's own level
+    and those of texts up to 1 / ``least`` as long."""
+    found = []
+    for way, text in enumerate((codes, codes[::-1])):
+        fp = fingerprint(text)
+        for level in range(fp[0], fp[0] + 1 + math.ceil(math.log2(1 / least))):
+            symbols = coarser(fp, level).astype(np.uint64)
+            apart = max(1, 4 >> level)  # neighbouring places of low levels show the same characters
+            n = len(symbols) - (run - 1) * apart
+            if n <= 0:  # too short for a band: one key of what is there
+                found.append(hash_of(way, level, -1, np.zeros(1, dtype=np.uint64)))
+                continue
+            key = np.zeros(n, dtype=np.uint64)
+            for j in range(run):
+                key = _mix(key ^ symbols[j * apart:j * apart + n])
+            found.append(hash_of(way, level, np.arange(n), key))
+    return np.unique(np.concatenate(found)).tolist()
+
+
+def hash_of(way: int, level: int, place: np.ndarray | int, key: np.ndarray) -> np.ndarray:
+    at = (np.atleast_1d(place) * 64 + level) * 2 + way
+    return _mix(key ^ _mix(at.astype(np.int64))).view(np.int64)
+
+
+def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.8, run: int = 3,
+                block: int = 512) -> DataFrame:
     """(doc_id, class_id, n_links): class_id is the smallest id whose text is connected by links of near texts.
 
-    A link joins two different texts that agree in a band, have a fingerprint
-    likeness of ``least`` / 2 or more, and an edit distance of at most (1 - ``least``) of
+    A link joins two different texts that agree in a band and have an edit distance of at most (1 - ``least``) of
     the longer text.  Equal texts are one point.  n_links counts the links of the row's text.
-    Bands are compared at the text's own level and the next, as near texts
-    may lie on either side of a level's border.
+    Near texts whose edits leave no ``run`` symbols in a row at the same places of either walk are not found
+    (README: recall by kind of edit).
     """
     t = F.coalesce(column(docs, text), F.lit(""))
     rows = docs.select(column(docs, key).alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("hash"))
 
-    @F.pandas_udf("string")
-    def printed(texts: pd.Series) -> pd.Series:
-        return pd.Series([as_text(fingerprint(x)) for x in texts])
-
-    points = cut(rows.dropDuplicates(["hash"]).withColumn("fp", printed("text")).select("hash", "fp"))
-    rng = np.random.default_rng(seed)
-    chosen = [np.sort(rng.choice(8 * 64, size=bits, replace=False)) for _ in range(bands)]
-
-    @F.pandas_udf("array<string>")
-    def keys(fps: pd.Series) -> pd.Series:
-        out = []
-        for f in fps:
-            fp = from_text(f)
-            found = []
-            for level in (fp[0], fp[0] + 1):
-                symbols = coarser(fp, level)
-                padded = np.zeros(64, dtype=np.uint8)
-                padded[: min(64, len(symbols))] = symbols[:64]
-                if level > fp[0] and len(symbols) < 64:
-                    continue
-                all_bits = np.unpackbits(padded)
-                found += [f"{level}:{b}:{np.packbits(all_bits[c]).tobytes().hex()}" for b, c in enumerate(chosen)]
-            out.append(found)
-        return pd.Series(out)
+    @F.pandas_udf("array<long>")
+    def keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([bands_of(code_points(x), least, run) for x in texts])
 
-    entries = points.select("hash", "fp", F.explode(keys("fp")).alias("band"))
+    points = rows.dropDuplicates(["hash"]).select("hash", F.length("text").alias("size"), F.explode(keys("text")).alias("band"))
+    entries = cut(points)
     crowd = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     entries = entries.join(crowd, "band")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     entries = entries.withColumns({"nb": blocks, "own": F.pmod(F.xxhash64("hash", "band"), blocks).cast("int")})
     dealt = entries.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)")))
     sets = dealt.groupBy("band", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y")).agg(
-        F.collect_list(F.struct("hash", "fp")).alias("members")).where(F.size("members") > 1).select("members")
+        F.collect_list(F.struct("hash", "size")).alias("members")).where(F.size("members") > 1).select("members")
 
     def pairs(batches):
         for batch in batches:
             out = []
             for members in batch["members"]:
-                known = sorted({(m["hash"], m["fp"]) for m in members})
-                fps = [from_text(f) for _, f in known]
-                for i in range(len(known)):
-                    for j in range(i):
-                        if likeness(fps[i], fps[j]) >= least / 2:
-                            out.append((known[i][0], known[j][0]))
+                known = sorted({(m["hash"], m["size"]) for m in members})
+                ids, sizes = (np.array(x, dtype=np.int64) for x in zip(*known))
+                for i in range(1, len(known)):  # the edit distance is at least the difference in length
+                    near = np.abs(sizes[:i] - sizes[i]) <= np.floor((1 - least) * np.maximum(sizes[:i], sizes[i]) + 1e-9)
+                    out += [(known[i][0], x) for x in ids[:i][near].tolist()]
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     found = cut(sets.mapInPandas(pairs, "a long, b long").distinct())
     texts = rows.dropDuplicates(["hash"]).select("hash", "text")
     both = found.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    allowed = F.floor(F.lit(1 - least) * F.greatest(F.length("ta"), F.length("tb"))).cast("int")
-    links = cut(both.where((F.levenshtein("ta", "tb") <= allowed)).select("a", "b"))
+    allowed = F.floor(F.lit(1 - least) * F.greatest(F.length("ta"), F.length("tb")) + F.lit(1e-9)).cast("int")
+    both = both.withColumn("allowed", allowed)  # the distance is -1 where it is larger
+    links = cut(both.where("levenshtein(ta, tb, allowed) >= 0").select("a", "b"))
     roots = connected_components(links)
     of = rows.groupBy("hash").agg(F.min("doc_id").alias("first")).join(
         roots.withColumnRenamed("node", "hash"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))

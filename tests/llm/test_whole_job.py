@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from spruce.llm import linededup
+from spruce.llm import editprint, linededup
 
 
 def brute_long(rows, window, words):
@@ -43,3 +43,30 @@ def test_long_runs_equal_brute_force(spark, window):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in linededup.dedup_lines(df, window=window, long_words=4).collect()}
     assert got == dict(zip([r[0] for r in rows], brute_long(rows, window, 4)))
+
+
+# ---------------------------------------------------------------- near groups
+
+def edited_rows(edits):
+    """Twelve texts of 300 to 2,000 characters, each followed by its edited forms: (id, text), ten ids for a text."""
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    rows = []
+    for b in range(12):
+        t = some(rng.randint(300, 2000))
+        rows += [(10 * b, t), *((10 * b + 1 + j, f(t, rng, some)) for j, f in enumerate(edits))]
+    return rows
+
+
+def lost(spark, rows):
+    """Ids whose text is not in the class of the text that it was made from."""
+    out = editprint.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.class_id // 10 == r.doc_id // 10 for r in out)
+    return sorted(r.doc_id for r in out if r.class_id % 10)
+
+
+def test_near_groups_with_another_front(spark):
+    rows = edited_rows([lambda t, rng, some: some(len(t) // 6) + t[len(t) // 6:],       # as long
+                        lambda t, rng, some: some(len(t) // 9) + t[len(t) // 6:],       # shorter
+                        lambda t, rng, some: some(len(t) // 6) + t])                    # shifted
+    assert lost(spark, rows) == []
