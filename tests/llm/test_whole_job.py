@@ -70,3 +70,17 @@ def test_near_groups_with_another_front(spark):
                         lambda t, rng, some: some(len(t) // 9) + t[len(t) // 6:],       # shorter
                         lambda t, rng, some: some(len(t) // 6) + t])                    # shifted
     assert lost(spark, rows) == []
+
+
+def test_near_groups_with_spread_edits(spark):
+    def spread(t, rng, some):
+        return "".join(rng.choice(["", c + some(1), some(1)]) if rng.random() < 0.1 else c for c in t)
+
+    assert len(lost(spark, edited_rows([spread] * 3))) <= 1  # of 36
+
+
+def test_near_groups_at_the_threshold(spark):
+    rows = [(0, "abcdefghij"), (1, "abcdefghXY"), (2, "abcdefgWXY"), (3, "klmno"), (4, "klmnX")]
+    out = {r.doc_id: (r.class_id, r.n_links) for r in editprint.near_groups(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {0: (0, 1), 1: (0, 2), 2: (0, 1), 3: (3, 1), 4: (3, 1)}
