@@ -7,7 +7,8 @@ on behind it.  A phrase costs log2(sample length) bits (it is a pointer into the
 ``phrases * log2(n) / length`` estimates the cross entropy; the language that
 needs the fewest bits wins, ties go to the smaller name.
 
-Case is folded, every run of non-letters is one separator.  A text is parsed
+Case is folded, every run of non-letters is one separator.  Every letter that occurs in a
+sample is a symbol of its own, whatever the scripts; only letters that are in no sample are one symbol.  A text is parsed
 whole, in stretches of ``STRETCH`` symbols that each start a new phrase, so
 that numpy steps many stretches through the automata side by side and a very
 long text costs no more a character than a short one.
@@ -83,9 +84,13 @@ class LanguageModel:
 
     An entry is ``2 * (row offset of the next state) + 1`` if a new phrase
     starts with this symbol, without the 1 if the phrase goes on.
+
+    The table has ``dense`` columns: the separator, the most frequent letters, and one that says
+    that the symbol is another.  Transitions of the other letters are a sorted list of
+    ``row offset * others + letter``; ``dense`` sets speed and memory, not what is found.
     """
 
-    def __init__(self, samples: dict[str, str], alphabet: int = 64) -> None:
+    def __init__(self, samples: dict[str, str], dense: int = 64) -> None:
         letters = _letters()
         texts = {k: letters[_code_points(v)] for k, v in sorted(samples.items())}
         texts = {k: v for k, v in texts.items() if v.any()}
@@ -94,29 +99,45 @@ class LanguageModel:
         for t in texts.values():
             for cp, n in zip(*np.unique(t[t > 0], return_counts=True)):
                 counts[int(cp)] = counts.get(int(cp), 0) + int(n)
-        common = sorted(counts, key=lambda cp: (-counts[cp], cp))[: alphabet - 2]
-        self.size = len(common) + 2  # the separator, the common letters, any other letter
-        symbol = {cp: i + 1 for i, cp in enumerate(common)}
-        self.symbol_of = np.where(letters > 0, self.size - 1, 0).astype(np.uint8)
-        for cp, i in symbol.items():
-            self.symbol_of[letters == cp] = i
+        ranked = sorted(counts, key=lambda cp: (-counts[cp], cp))  # symbols 1, 2, ...; the last is a letter of no sample
+        self.size = min(len(ranked), dense - 2) + 2
+        self.others = len(ranked) + 2 - self.size + 1
+        symbol = np.full(0x110000, len(ranked) + 1, dtype=np.uint32)
+        symbol[0] = 0
+        symbol[ranked] = np.arange(1, len(ranked) + 1)
+        self.symbol_of = symbol[letters]
+        if len(ranked) + 1 < 2 ** 16:
+            self.symbol_of = self.symbol_of.astype(np.uint8 if len(ranked) + 1 < 2 ** 8 else np.uint16)
         tables, self.roots, self.bits, states = [], [], [], 0
+        rare: dict[int, int] = {}
+        rare_starts = []
         for t in texts.values():
             symbols = self._joined(self.symbol_of[t])
             sa = SuffixAutomaton(symbols.tolist())
             start = np.full(self.size, 2 * states * self.size + 1, dtype=np.int64)
+            rare_start = np.full(self.others, 2 * states * self.size + 1, dtype=np.int64)
             for c, s in sa.next[0].items():
-                start[c] = 2 * (states + s) * self.size + 1
+                if c < self.size - 1:
+                    start[c] = 2 * (states + s) * self.size + 1
+                else:
+                    rare_start[c - self.size + 1] = 2 * (states + s) * self.size + 1
             table = np.tile(start, (len(sa.next), 1))
             for s, out in enumerate(sa.next[1:], 1):
                 for c, to in out.items():
-                    table[s, c] = 2 * (states + to) * self.size
+                    if c < self.size - 1:
+                        table[s, c] = 2 * (states + to) * self.size
+                    else:
+                        rare[(states + s) * self.size * self.others + c - self.size + 1] = 2 * (states + to) * self.size
             tables.append(table.ravel())
+            rare_starts.append(rare_start)
             self.roots.append(states * self.size)
             self.bits.append(float(np.log2(max(2, len(symbols)))))
             states += len(sa.next)
+        self.rare_starts = np.array(rare_starts)
+        self.rare_keys = np.array(sorted(rare), dtype=np.int64)
+        self.rare_to = np.array([rare[x] for x in self.rare_keys.tolist()], dtype=np.int64)
         self.table = np.concatenate(tables) if tables else np.zeros(0, dtype=np.int64)
-        if self.table.size and self.table.max() < 2 ** 31:
+        if 2 * states * self.size < 2 ** 31:
             self.table = self.table.astype(np.int32)
 
     @staticmethod
@@ -132,6 +153,9 @@ class LanguageModel:
         """Phrases of each text (rows) in each language (columns)."""
         total = np.zeros((len(symbols), len(self.langs)), dtype=np.int64)
         flat = np.concatenate([*symbols, np.zeros(1, dtype=np.uint8)])
+        beyond = np.maximum(flat.astype(np.int32) - (self.size - 1), -1)  # among the other letters, -1 if not one
+        some = bool((beyond >= 0).any())
+        flat = np.minimum(flat, self.size - 1)
         start, owner, length, at = [], [], [], 0
         for i, s in enumerate(symbols):
             n = -(-len(s) // STRETCH)
@@ -148,12 +172,25 @@ class LanguageModel:
         for t in range(int(length[0]) if len(length) else 0):
             k = active[t]
             got = self.table[state[:, :k] + flat[start[:k] + t]]
+            if some:
+                rare = beyond[start[:k] + t]
+                at = np.nonzero(rare >= 0)[0]
+                got[:, at] = self._rare(state[:, at], rare[at])
             count[:, :k] += got & 1
             state[:, :k] = got >> 1
         for j in range(len(self.langs)):
             total[:, j] = np.bincount(owner, weights=count[j], minlength=len(symbols))
         return total
 
+    def _rare(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Entries of states (languages, texts) for letters beyond the table's columns."""
+        to = self.rare_starts[:, letter]
+        if len(self.rare_keys):
+            keys = state * self.others + letter
+            i = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+            to = np.where(self.rare_keys[i] == keys, self.rare_to[i], to)
+        return to
+
     def predict(self, texts) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; the score is the winner's share of 2 ** -bits."""
         langs, scores = ["und"] * len(texts), np.zeros(len(texts))
@@ -197,7 +234,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     place in a document drawn by the hash of its id and text, so the same rows are
     drawn whatever the partitioning, and rows equal in both are one.  A hash threshold for each language,
     from one count of the labelled rows, keeps the rows that are ranked few.
-    The model grows with the number of languages alone.
+    The model grows with the number of languages alone; its letters are all that occur in the sample.
     """
     rows = docs.where(column(docs, lang).isNotNull() & column(docs, text).isNotNull())
     rows = rows.where(where) if where is not None else rows

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from spruce.llm import editprint, linededup
+from spruce.llm import editprint, langid, linededup
 
 
 def brute_long(rows, window, words):
@@ -84,3 +84,35 @@ def test_near_groups_at_the_threshold(spark):
     out = {r.doc_id: (r.class_id, r.n_links) for r in editprint.near_groups(
         spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {0: (0, 1), 1: (0, 2), 2: (0, 1), 3: (3, 1), 4: (3, 1)}
+
+
+# ---------------------------------------------------------------- language ID
+
+def scripts():
+    """Words of five scripts, 36 letters each, with equal word lengths in all."""
+    rng = random.Random(2)
+    out = {}
+    for name, first in (("a", 0x0430), ("b", 0x0561), ("c", 0x05D0), ("hi", 0x0905), ("ta", 0x0C05), ("zh", 0x4E00)):
+        letters = [ch for ch in map(chr, range(first, first + 200)) if ch.isalpha() and ch == ch.lower()][:26 if name == "c" else 36]
+        words = ["".join(rng.choice(letters) for _ in range(3 + j % 4)) for j in range(40)]
+        out[name] = lambda n, words=words: " ".join(rng.choices(words, k=n))
+    return out
+
+
+def test_rare_scripts_are_told_apart():
+    of = scripts()
+    model = langid.LanguageModel({k: f(1500 if len(k) == 1 else 300) for k, f in of.items()})
+    names = [k for k in of for _ in range(10)]
+    langs, scores = model.predict([of[k](30) for k in names])
+    assert langs == names and min(scores) > 0.99
+
+
+def test_phrases_do_not_depend_on_the_table_width():
+    of = scripts()
+    samples = {k: f(60) for k, f in of.items()}
+    texts = [f(20) + "ß" + f(5) for f in of.values()] + ["".join(f(2) for f in of.values())]
+    counts = []
+    for dense in (3, 64, 1000):
+        model = langid.LanguageModel(samples, dense)
+        counts.append(model.phrases([model._joined(model.symbol_of[langid._code_points(t)]) for t in texts]).tolist())
+    assert counts[0] == counts[1] == counts[2]
