@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from spruce.llm import editprint, langid, linededup
+from spruce.llm import ann, editprint, langid, linededup
 
 
 def brute_long(rows, window, words):
@@ -116,3 +117,31 @@ def test_phrases_do_not_depend_on_the_table_width():
         model = langid.LanguageModel(samples, dense)
         counts.append(model.phrases([model._joined(model.symbol_of[langid._code_points(t)]) for t in texts]).tolist())
     assert counts[0] == counts[1] == counts[2]
+
+
+# ---------------------------------------------------------------- nearest neighbours
+
+@pytest.mark.parametrize("norms", ["outliers", "lognormal"])
+def test_nearest_recall_on_skewed_norms(spark, norms):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(5000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v *= (np.where(np.arange(5000) % 250 == 7, 100.0, 1.0) if norms == "outliers" else rng.lognormal(0, 1, 5000))[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(df, ann.F.col("id") % 100 == 0, block=500).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    share = []
+    for q in range(0, 5000, 100):
+        s = v @ v[q]
+        s[q] = -np.inf
+        share.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(share) > 0.98 and min(share) >= 0.85
+
+
+def test_nearest_with_norms_beyond_the_doubles(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(6)] + [(6, [1e200, 0.0]), (7, [1e-200, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (2, 100):
+        got = {r["rank"]: r.vec_id for r in ann.nearest(df, ann.F.col("id") == 5, k=3, probes=8, block=block).collect()}
+        assert got == {1: 6, 2: 4, 3: 3}
