@@ -37,7 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, target_entropy=0.9, max_repeats=4.0).drop(*mixing.ADDED)
+    whole = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"), "doc_id", "source", "text")
+    return mixing.mix(whole, target_entropy=0.9, max_repeats=4.0).select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from spruce.llm import ann, editprint, langid, linededup
 
 
@@ -145,3 +146,15 @@ def test_nearest_with_norms_beyond_the_doubles(spark):
     for block in (2, 100):
         got = {r["rank"]: r.vec_id for r in ann.nearest(df, ann.F.col("id") == 5, k=3, probes=8, block=block).collect()}
         assert got == {1: 6, 2: 4, 3: 3}
+
+
+# ---------------------------------------------------------------- mixing stage
+
+def test_mixing_stage_keeps_columns_of_its_own_names(spark):
+    rows = [(i, f"text {i}", "ab"[i % 5 == 0], i, f"e{i}", [i], None, 0.5 * i, {"k": i}) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tokens long, epoch string, start array<long>, "
+                                       "source_budget int, mix_key double, `a.row` map<string, long>")
+    for table in (docs, docs.limit(0)):
+        mixed = dict(corpus_pipeline.STAGES)["mixing"](spark, table, "")
+        assert mixed.schema.simpleString() == docs.schema.simpleString()
+        assert {r.doc_id: tuple(r) for r in mixed.collect()} == {r.doc_id: tuple(r) for r in table.collect()}
