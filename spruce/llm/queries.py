@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, editprint, langid, linededup, mixing, orcstore, quality, sharding, simhash
+from . import ann, bpe, editprint, hardneg, langid, linededup, mixing, orcstore, quality, sharding, simhash
 from .common import cut, held_out
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -77,6 +77,12 @@ def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done
 
 
+def op13_hilbert_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -85,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_temperature_mixing, op4_cross_polytope_knn,
                             op5_edit_fingerprints, op6_language_id, op7_line_dedup, op8_byte_bpe, op9_histogram_shards,
-                            op10_orc_token_ids, pipeline)}
+                            op10_orc_token_ids, op13_hilbert_hard_negatives, pipeline)}
 
 MIX_SQL = """
 WITH RECURSIVE d AS (
@@ -169,4 +175,28 @@ SELECT documents.doc_id, len(string_split(text, chr(10)))::INTEGER AS n_lines, c
 FROM documents LEFT JOIN k ON documents.doc_id = k.doc_id LEFT JOIN c ON documents.doc_id = c.doc_id
 """
 
-SQL: dict[str, str] = {"op3_temperature_mixing": MIX_SQL, "op7_line_dedup": LINES_SQL}
+NEGATIVES_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+u AS (
+  SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM e),
+odd AS (SELECT DISTINCT vec_id FROM u WHERE x IS NULL OR isnan(x) OR isinf(x)),
+c AS (
+  SELECT vec_id, label, i, floor(256 * x)::BIGINT AS q FROM u WHERE vec_id NOT IN (SELECT vec_id FROM odd)),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, sum(a.q * b.q)::BIGINT AS score
+  FROM c a JOIN c b ON a.i = b.i AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY ALL),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)::INTEGER AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+       AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+SQL: dict[str, str] = {"op3_temperature_mixing": MIX_SQL, "op7_line_dedup": LINES_SQL,
+                       "op13_hilbert_hard_negatives": NEGATIVES_SQL}
