@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, editprint, hardneg, langid, linededup, mixing, orcstore, quality, sharding, simhash
+from . import ann, bpe, editprint, hardneg, langid, linededup, mixing, orcstore, quality, ranked, sharding, simhash
 from .common import cut, held_out
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -77,6 +77,10 @@ def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done
 
 
+def op12_k2_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_hilbert_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -91,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_temperature_mixing, op4_cross_polytope_knn,
                             op5_edit_fingerprints, op6_language_id, op7_line_dedup, op8_byte_bpe, op9_histogram_shards,
-                            op10_orc_token_ids, op13_hilbert_hard_negatives, pipeline)}
+                            op10_orc_token_ids, op12_k2_ranked_search, op13_hilbert_hard_negatives, pipeline)}
 
 MIX_SQL = """
 WITH RECURSIVE d AS (
@@ -175,6 +179,30 @@ SELECT documents.doc_id, len(string_split(text, chr(10)))::INTEGER AS n_lines, c
 FROM documents LEFT JOIN k ON documents.doc_id = k.doc_id LEFT JOIN c ON documents.doc_id = c.doc_id
 """
 
+RANKED_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+s AS (
+  SELECT count(*) FILTER (WHERE len(terms) > 0) AS docs, sum(len(terms)) AS total FROM d),
+m AS (
+  SELECT doc_id, terms, 50 + (50 * len(terms) * docs) // total::BIGINT AS m FROM d, s),
+tf AS (
+  SELECT doc_id, m, term, count(*) AS tf FROM (SELECT doc_id, m, unnest(terms) AS term FROM m) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, s),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+r AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 50
+"""
+
 NEGATIVES_SQL = """
 WITH e AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding
@@ -199,4 +227,4 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 SQL: dict[str, str] = {"op3_temperature_mixing": MIX_SQL, "op7_line_dedup": LINES_SQL,
-                       "op13_hilbert_hard_negatives": NEGATIVES_SQL}
+                       "op12_k2_ranked_search": RANKED_SQL, "op13_hilbert_hard_negatives": NEGATIVES_SQL}
