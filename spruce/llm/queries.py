@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, editprint, hardneg, langid, linededup, mixing, orcstore, quality, ranked, sharding, simhash
+from . import ann, bpe, editprint, hardneg, langid, linededup, mixing, orcstore, pii, quality, ranked, sharding, simhash
 from .common import cut, held_out
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -77,6 +77,16 @@ def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done
 
 
+def op11_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pii.sanitised(docs)
+    of = lambda n: F.filter("spans", lambda s: s["kind"] == n)
+    base = F.filter("spans", lambda s: s["kind"] < len(pii.PATTERNS))
+    return done.select("doc_id", *[F.size(of(n)).cast("long").alias(f"n_{k}") for n, k in enumerate(pii.PATTERNS)],
+                       F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("sanitised_sha256"))
+
+
 def op12_k2_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=50)
 
@@ -95,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_temperature_mixing, op4_cross_polytope_knn,
                             op5_edit_fingerprints, op6_language_id, op7_line_dedup, op8_byte_bpe, op9_histogram_shards,
-                            op10_orc_token_ids, op12_k2_ranked_search, op13_hilbert_hard_negatives, pipeline)}
+                            op10_orc_token_ids, op11_pii_disclosure, op12_k2_ranked_search, op13_hilbert_hard_negatives, pipeline)}
 
 MIX_SQL = """
 WITH RECURSIVE d AS (
@@ -179,6 +189,86 @@ SELECT documents.doc_id, len(string_split(text, chr(10)))::INTEGER AS n_lines, c
 FROM documents LEFT JOIN k ON documents.doc_id = k.doc_id LEFT JOIN c ON documents.doc_id = c.doc_id
 """
 
+PII_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, text, copies
+  FROM (SELECT doc_id, text, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY doc_id, text)),
+k(ord, kind, rx) AS (VALUES
+  (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+  (2, 'card', '[0-9](?:[\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')),
+m AS (
+  SELECT rid, copies, ord, generate_subscripts(f, 1) AS i, unnest(f) AS m, p
+  FROM (SELECT rid, copies, ord, string_split_regex(text, rx) AS p, regexp_extract_all(text, rx) AS f FROM d, k)),
+s AS (
+  SELECT rid, copies, ord, m, right(p[i], 161) AS lc, left(p[i + 1], 161) AS rc, regexp_replace(m, '[^0-9]', '', 'g') AS digits,
+         sum(length(p[i]) + length(m)) OVER (PARTITION BY rid, ord ORDER BY i) AS stop
+  FROM m),
+b AS (  -- valid base spans
+  SELECT *, stop - length(m) AS start, ord || ':' || CASE WHEN ord < 2 THEN lower(m) ELSE digits END AS e FROM s
+  WHERE CASE ord WHEN 0 THEN true
+    WHEN 1 THEN len(list_filter(string_split(m, '.'), lambda x: NOT regexp_full_match(x, '0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])'))) = 0
+    WHEN 2 THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+      CASE WHEN i % 2 = 1 THEN digits[-i]::INTEGER ELSE digits[-i]::INTEGER * 2 - CASE WHEN digits[-i]::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    ELSE length(digits) BETWEEN 9 AND 15 END),
+side AS (  -- contexts without what their border cuts
+  SELECT rid, copies, e, CASE WHEN length(lc) > 160 THEN regexp_replace(lc, '^[^ \t\r\n]+', '') ELSE lc END AS lc,
+         CASE WHEN length(rc) > 160 THEN regexp_replace(rc, '[^ \t\r\n]+$', '') ELSE rc END AS rc FROM b),
+mention AS (
+  SELECT rid, copies, e, regexp_extract_all(regexp_replace(lc, '[^ \t\r\n]*[@0-9][^ \t\r\n]*', ' ', 'g') || ' '
+         || regexp_replace(rc, '[^ \t\r\n]*[@0-9][^ \t\r\n]*', ' ', 'g'), '[\p{L}\p{M}]{3,}') AS words FROM side),
+held AS (
+  SELECT rid, copies, e, list_sort(list_distinct(list_transform(flatten(list(words)), lambda x: lower(x)))) AS words
+  FROM mention GROUP BY rid, copies, e),
+ctx AS (SELECT e, words, sum(copies) AS docs FROM held GROUP BY e, words),
+seen AS (SELECT e, sum(docs) AS df_e FROM ctx GROUP BY e HAVING count(*) >= 3),
+co AS (
+  SELECT e, term, sum(docs) AS co FROM (SELECT e, docs, unnest(words) AS term FROM ctx) GROUP BY e, term HAVING count(*) >= 3),
+df AS (
+  SELECT term, count(*) AS df_t FROM (
+    SELECT unnest(list_distinct(list_transform(regexp_extract_all(text, '[\p{L}\p{M}]{3,}'), lambda x: lower(x)))) AS term
+    FROM documents WHERE text IS NOT NULL) GROUP BY term),
+n AS (SELECT count(*)::DOUBLE AS n FROM documents WHERE text IS NOT NULL),
+tells AS (
+  SELECT e, term, (ln(co) + ln(n) - ln(df_t) - ln(df_e)) / (ln(n) - ln(df_e)) AS disclosure
+  FROM co JOIN seen USING (e) JOIN df USING (term), n WHERE df_e < n),
+told AS (
+  SELECT rid, term, max(disclosure) AS disclosure FROM held JOIN tells USING (e) WHERE disclosure >= 0.9 GROUP BY rid, term),
+w AS (
+  SELECT rid, p, generate_subscripts(f, 1) AS i, unnest(f) AS m
+  FROM (SELECT rid, string_split_regex(text, '[\p{L}\p{M}]{3,}') AS p, regexp_extract_all(text, '[\p{L}\p{M}]{3,}') AS f
+        FROM d WHERE rid IN (SELECT rid FROM told))),
+ws AS (
+  SELECT rid, lower(m) AS term, length(m) AS size, sum(length(p[i]) + length(m)) OVER (PARTITION BY rid ORDER BY i) AS stop FROM w),
+extra AS (
+  SELECT ws.rid, CASE WHEN disclosure >= 0.98 THEN 5 ELSE 4 END AS ord, stop - size AS start, stop FROM ws JOIN told USING (rid, term)),
+spans AS (
+  SELECT rid, ord, start, stop FROM b
+  UNION ALL
+  SELECT * FROM extra x WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.rid = x.rid AND b.start < x.stop AND x.start < b.stop)),
+per AS (
+  SELECT rid, count(*) FILTER (WHERE ord = 0) AS n_email, count(*) FILTER (WHERE ord = 1) AS n_ip, count(*) FILTER (WHERE ord = 2) AS n_card,
+         count(*) FILTER (WHERE ord = 3) AS n_phone,
+         string_agg(['email', 'ip', 'card', 'phone'][ord + 1] || ':' || start || ':' || stop, ',' ORDER BY ord, start) FILTER (WHERE ord < 4) AS base,
+         string_agg(['email', 'ip', 'card', 'phone', 'general', 'removed'][ord + 1] || ':' || start || ':' || stop, ',' ORDER BY ord, start) AS spans
+  FROM spans GROUP BY rid),
+cuts AS (  -- overlapping spans are replaced as one, under the first one's name
+  SELECT rid, part, min(start) AS start, max(stop) AS stop, arg_min(ord, (start, ord)) AS ord FROM (
+    SELECT *, sum(CASE WHEN coalesce(reach, -1) <= start THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY start, ord) AS part FROM (
+      SELECT *, max(stop) OVER (PARTITION BY rid ORDER BY start, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans))
+  GROUP BY rid, part),
+put AS (
+  SELECT rid, string_agg(substring(text, (lag_stop + 1)::BIGINT, (start - lag_stop)::BIGINT) || CASE
+           WHEN ord < 4 THEN ['[EMAIL]', '[IP]', '[CARD]', '[PHONE]'][ord + 1] WHEN ord = 5 THEN ''
+           WHEN word = upper(word) THEN '[WORD]' WHEN word = upper(word[1]) || lower(word[2:]) THEN '[Word]' ELSE '[word]' END,
+           '' ORDER BY start) || substring(any_value(text), (max(stop) + 1)::BIGINT) AS text
+  FROM (SELECT rid, text, start, stop, ord, substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT) AS word,
+               lag(stop, 1, 0) OVER (PARTITION BY rid ORDER BY start) AS lag_stop FROM cuts JOIN d USING (rid))
+  GROUP BY rid)
+SELECT o.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(coalesce(put.text, o.text, '')) AS sanitised_sha256
+FROM documents o LEFT JOIN d ON o.doc_id = d.doc_id AND o.text = d.text LEFT JOIN per ON d.rid = per.rid LEFT JOIN put ON d.rid = put.rid
+"""
+
 RANKED_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -227,4 +317,4 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 SQL: dict[str, str] = {"op3_temperature_mixing": MIX_SQL, "op7_line_dedup": LINES_SQL,
-                       "op12_k2_ranked_search": RANKED_SQL, "op13_hilbert_hard_negatives": NEGATIVES_SQL}
+                       "op11_pii_disclosure": PII_SQL, "op12_k2_ranked_search": RANKED_SQL, "op13_hilbert_hard_negatives": NEGATIVES_SQL}
