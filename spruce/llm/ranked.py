@@ -123,22 +123,15 @@ def write_index(docs: DataFrame, path: str, n_docs: int, n_terms: int, text: str
                 shard_docs: int = 4096, shard_bytes: int = 8 << 20) -> None:
     """One Parquet row for each shard of ``docs``; a shard ends with the document that reaches either limit."""
 
-    def shard(number, held):
-        held = [(*x, Counter(x[2])) for x in held]
-        held.sort(key=lambda x: (x[3].most_common(1)[0][0], len(x[2])))  # alike next to alike: tighter bounds
-        vocabulary, rows, cols, tfs, sizes = {}, [], [], [], []
-        for c, (_, _, tokens, counts) in enumerate(held):
-            rows += [vocabulary.setdefault(t, len(vocabulary)) for t in counts]
-            tfs += counts.values()
-            sizes.append(len(tokens))
-            cols.append(len(counts))
-        cols = np.repeat(np.arange(len(held)), cols)
-        rows, tf, n = np.array(rows, dtype=np.int64), np.array(tfs, dtype=np.int64), np.array(sizes, dtype=np.int64)
+    def shard(number, held, vocabulary):
+        held.sort(key=lambda x: x[2:4])  # alike next to alike: tighter bounds
+        cols = np.repeat(np.arange(len(held)), [len(x[4]) for x in held])
+        rows, tf = (np.concatenate([x[i] for x in held]).astype(np.int64) for i in (4, 5))
         df = np.bincount(rows, minlength=len(vocabulary))
         order = np.argsort(-df, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        m = np.array([50 + (50 * int(x) * n_docs) // n_terms for x in n.tolist()], dtype=np.int64)
+        m = np.array([50 + (50 * x[3] * n_docs) // n_terms for x in held], dtype=np.int64)
         depth, bits, maxima = build_tree(place[rows], cols, (10 ** 9 * tf) // (1000 * tf + 20 * m[cols]))
         terms = [t.decode() for t in vocabulary]
         return pd.DataFrame([{
@@ -146,18 +139,20 @@ def write_index(docs: DataFrame, path: str, n_docs: int, n_terms: int, text: str
             "dfs": df[order].astype(np.int32), "depth": depth, "bits": bits, "maxima": maxima}])
 
     def shards(batches):
-        held, size, number = [], 0, 0
+        held, vocabulary, size, number = [], {}, 0, 0
         for b in batches:
             for i, none, part, t in zip(b["id"].tolist(), b["none"].tolist(), b["part"].tolist(), b["text"].tolist()):
                 data = t.encode()
                 if tokens := BYTES_TERM.findall(data.lower()):
-                    held.append((i, none, tokens))
+                    counts = Counter(tokens)  # of a text only numbers stay
+                    rows = np.fromiter((vocabulary.setdefault(x, len(vocabulary)) for x in counts), np.int32, len(counts))
+                    held.append((i, none, counts.most_common(1)[0][0], len(tokens), rows, np.fromiter(counts.values(), np.int32, len(counts))))
                     size += len(data)
                     if len(held) >= shard_docs or size >= shard_bytes:
-                        yield shard((part << 32) + number, held)
-                        held, size, number = [], 0, number + 1
+                        yield shard((part << 32) + number, held, vocabulary)
+                        held, vocabulary, size, number = [], {}, 0, number + 1
         if held:
-            yield shard((part << 32) + number, held)
+            yield shard((part << 32) + number, held, vocabulary)
 
     k = column(docs, key).cast("long")
     rows = docs.select(F.coalesce(k, F.lit(0)).alias("id"), k.isNull().alias("none"), F.spark_partition_id().alias("part"),
