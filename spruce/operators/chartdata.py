@@ -4,6 +4,9 @@ Each function returns the small table a chart is drawn from; drawing is
 outside this library.  All group-bys are single aggregates (map-side
 combine), per-group statistics come from one grouped job, never from a
 filter per group.
+
+Bins are over the finite values.  Infinities are no reason to lose the others, nor are they lost:
+they are counted in bins of their own, -1 for the negative and ``bins`` for the positive one, which exist only where there is one.
 """
 
 from __future__ import annotations
@@ -31,6 +34,24 @@ def _bin_index(x: Column, mn: Column, mx: Column, n: int) -> Column:
     return i2
 
 
+def _outer_bin(x: Column, inner: Column, n: int) -> Column:
+    """``inner`` for finite x, -1 and n for the infinities."""
+    return F.when(x == F.lit(float("inf")), F.lit(n)).when(x == F.lit(float("-inf")), F.lit(-1)).otherwise(inner)
+
+
+def _finite(x: Column) -> Column:
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
+
+
+def _edges(b: Column, n: int, mn: Column, mx: Column) -> tuple[Column, Column]:
+    """(start, end) of a bin; both are the infinity for the outer ones."""
+    step = (mx - mn) / F.lit(float(n))
+    start = b.cast("double") * step + mn
+    end = F.when(b == n - 1, mx).otherwise((b + 1).cast("double") * step + mn)
+    outer = F.when(b < 0, F.lit(float("-inf"))).when(b >= n, F.lit(float("inf")))
+    return F.coalesce(outer, start).alias("bin_start"), F.coalesce(outer, end).alias("bin_end")
+
+
 def _hist_range(mn, mx):
     if mn == mx:
         return mn - 0.5, mx + 0.5
@@ -38,50 +59,51 @@ def _hist_range(mn, mx):
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
-    """H1: (bin, bin_start, bin_end, count) over [min, max] of the non-null values."""
+    """H1: (bin, bin_start, bin_end, count) over [min, max] of the finite values."""
     require(df, [column])
-    st = stats.column_stats(df, [column], ["min", "max"])[column]
-    spark = df.sparkSession
-    if st["min"] is None:
-        return spark.range(0).select(F.col("id").cast("int").alias("bin"), F.lit(0.0).alias("bin_start"),
-                                     F.lit(0.0).alias("bin_end"), F.lit(0).cast("long").alias("count"))
-    mn, mx = _hist_range(st["min"], st["max"])
     x = as_double(column)
-    counts = df.where(x.isNotNull()).groupBy(
-        _bin_index(x, F.lit(mn), F.lit(mx), bins).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    step = (mx - mn) / bins
-    domain = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    out = domain.join(F.broadcast(counts), "bin", "left")
-    start = F.col("bin").cast("double") * F.lit(step) + F.lit(mn)
-    end = F.when(F.col("bin") == bins - 1, F.lit(mx)).otherwise((F.col("bin") + 1).cast("double") * F.lit(step)
-                                                                + F.lit(mn))
-    return out.select("bin", start.alias("bin_start"), end.alias("bin_end"),
-                      F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
+    st = stats.one_row(df, {"min": F.min(_finite(x)), "max": F.max(_finite(x))})
+    spark = df.sparkSession
+    some = st["min"] is not None
+    mn, mx = _hist_range(st["min"], st["max"]) if some else (0.0, 1.0)
+    counts = df.where(x.isNotNull()).groupBy(_outer_bin(x, _bin_index(x, F.lit(mn), F.lit(mx), bins), bins).alias("bin")).agg(
+        F.count(F.lit(1)).alias("count"))
+    # a zero for every bin, so that empty bins are there too
+    zeros = spark.range(bins if some else 0).select(F.col("id").cast("int").alias("bin"), F.lit(0).cast("long").alias("count"))
+    out = counts.unionByName(zeros).groupBy("bin").agg(F.sum("count").alias("count"))
+    return out.select("bin", *_edges(F.col("bin"), bins, F.lit(mn), F.lit(mx)), "count")
 
 
 def histogram_grouped(df: DataFrame, column: str, group: str, bins: int = 30) -> DataFrame:
-    """H2: one histogram per non-null group value, each over its own [min, max]."""
+    """H2: one histogram per non-null group value, each over its own [min, max] of finite values."""
     require(df, [column, group])
     x = as_double(column)
     rows = df.select(c(group).alias("group"), x.alias("_x")).where(
         F.col("group").isNotNull() & F.col("_x").isNotNull())
-    g = rows.groupBy("group").agg(F.min("_x").alias("_mn0"), F.max("_x").alias("_mx0"))
+    g = rows.groupBy("group").agg(F.min(_finite(F.col("_x"))).alias("_mn0"), F.max(_finite(F.col("_x"))).alias("_mx0"))
     g = g.select("group",
                  F.when(F.col("_mn0") == F.col("_mx0"), F.col("_mn0") - 0.5).otherwise(F.col("_mn0")).alias("_mn"),
                  F.when(F.col("_mn0") == F.col("_mx0"), F.col("_mx0") + 0.5).otherwise(F.col("_mx0")).alias("_mx"))
     j = rows.join(g, "group")
-    counts = j.groupBy("group", _bin_index(F.col("_x"), F.col("_mn"), F.col("_mx"), bins).alias("bin")) \
-        .agg(F.count(F.lit(1)).alias("count"))
+    inner = _bin_index(F.col("_x"), F.col("_mn"), F.col("_mx"), bins)
+    counts = j.groupBy("group", _outer_bin(F.col("_x"), inner, bins).alias("bin"), "_mn", "_mx").agg(F.count(F.lit(1)).alias("count"))
     # every group gets all its bins: the group table (one row per group) is
     # expanded to bins, not joined against the rows
-    domain = g.select("group", "_mn", "_mx", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    out = domain.join(counts, ["group", "bin"], "left")
-    step = (F.col("_mx") - F.col("_mn")) / F.lit(float(bins))
-    start = F.col("bin").cast("double") * step + F.col("_mn")
-    end = F.when(F.col("bin") == bins - 1, F.col("_mx")).otherwise(
-        (F.col("bin") + 1).cast("double") * step + F.col("_mn"))
-    return out.select("group", "bin", start.alias("bin_start"), end.alias("bin_end"),
-                      F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
+    zeros = g.where("_mn IS NOT NULL").select("group", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "_mn", "_mx",
+                                              F.lit(0).cast("long").alias("count"))
+    out = counts.unionByName(zeros).groupBy("group", "bin", "_mn", "_mx").agg(F.sum("count").alias("count"))
+    return out.select("group", "bin", *_edges(F.col("bin"), bins, F.col("_mn"), F.col("_mx")), "count")
+
+
+def _fence(q1: float, q3: float, whisker: float) -> tuple[float, float]:
+    """Where infinite quartiles leave a fence undefined it fences nothing."""
+    lo, hi = q1 - whisker * (q3 - q1), q3 + whisker * (q3 - q1)
+    return float("-inf") if lo != lo else lo, float("inf") if hi != hi else hi
+
+
+def _fence_column(q1: str, q3: str, whisker: float) -> Column:
+    at = F.col(q1 if whisker < 0 else q3) + whisker * (F.col(q3) - F.col(q1))
+    return F.when(F.isnan(at), F.lit(float("-inf") if whisker < 0 else float("inf"))).otherwise(at)
 
 
 def box_stats(df: DataFrame, column: str, group: str | None = None, whisker: float = 1.5,
@@ -98,15 +120,14 @@ def box_stats(df: DataFrame, column: str, group: str | None = None, whisker: flo
         if q1 is None:
             q1 = med = q3 = lo = hi = None
         else:
-            lo, hi = q1 - whisker * (q3 - q1), q3 + whisker * (q3 - q1)
+            lo, hi = _fence(q1, q3, whisker)
         j = rows.select("_x", F.lit(q1).cast("double").alias("q1"), F.lit(med).cast("double").alias("median"),
                         F.lit(q3).cast("double").alias("q3"), F.lit(lo).cast("double").alias("_lo"),
                         F.lit(hi).cast("double").alias("_hi"))
     else:
         q = stats.quantile_table(df, column, [0.25, 0.5, 0.75], by=by, exact=exact)
         q = q.select(*by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
-        q = q.withColumn("_lo", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))) \
-            .withColumn("_hi", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
+        q = q.withColumns({"_lo": _fence_column("q1", "q3", -whisker), "_hi": _fence_column("q1", "q3", whisker)})
         j = rows.join(q, by, "inner")
     inside = (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
     return j.groupBy(*[c(k) for k in by], "q1", "median", "q3").agg(
@@ -128,11 +149,10 @@ def box_outliers(df: DataFrame, column: str, group: str | None = None, whisker:
         q1, q3 = stats.quantiles(df, column, [0.25, 0.75], exact=exact)
         if q1 is None:
             return rows.limit(0)
-        lo, hi = q1 - whisker * (q3 - q1), q3 + whisker * (q3 - q1)
+        lo, hi = _fence(q1, q3, whisker)
         return rows.where((F.col("value") < F.lit(lo)) | (F.col("value") > F.lit(hi)))
     q = stats.quantile_table(df, column, [0.25, 0.75], by=by, exact=exact)
-    q = q.select(*by, (F.col("q0") - whisker * (F.col("q1") - F.col("q0"))).alias("_lo"),
-                 (F.col("q1") + whisker * (F.col("q1") - F.col("q0"))).alias("_hi"))
+    q = q.select(*by, _fence_column("q0", "q1", -whisker).alias("_lo"), _fence_column("q0", "q1", whisker).alias("_hi"))
     j = rows.join(q, by, "inner")
     return j.where((F.col("value") < F.col("_lo")) | (F.col("value") > F.col("_hi"))).select(*by, "value")
 
@@ -154,12 +174,13 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     """H4 for large tables: (x_bin, y_bin, count) over ``bins`` equal bins of each axis; every point with both values counts."""
     require(df, [x, y])
     rows = df.select(as_double(x).alias("_x"), as_double(y).alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
-    ends = rows.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
-    if ends[0] is None:
-        return rows.select(F.lit(0).alias("x_bin"), F.lit(0).alias("y_bin"), F.lit(0).cast("long").alias("count"))
-    (x0, x1), (y0, y1) = _hist_range(ends[0], ends[1]), _hist_range(ends[2], ends[3])
-    return rows.groupBy(_bin_index(F.col("_x"), F.lit(x0), F.lit(x1), bins).alias("x_bin"),
-                        _bin_index(F.col("_y"), F.lit(y0), F.lit(y1), bins).alias("y_bin")).agg(
+    ends = rows.agg(*[f(_finite(F.col(k))) for k in ("_x", "_y") for f in (F.min, F.max)]).first()
+
+    def bin_of(k, mn, mx):
+        mn, mx = (0.0, 1.0) if mn is None else _hist_range(mn, mx)
+        return _outer_bin(F.col(k), _bin_index(F.col(k), F.lit(mn), F.lit(mx), bins), bins)
+
+    return rows.groupBy(bin_of("_x", ends[0], ends[1]).alias("x_bin"), bin_of("_y", ends[2], ends[3]).alias("y_bin")).agg(
         F.count(F.lit(1)).alias("count"))
 
 

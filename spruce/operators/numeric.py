@@ -17,29 +17,36 @@ def iqr_bounds(df: DataFrame, column: str, factor: float = 1.5, exact: bool = Tr
     if q1 is None:
         return {"q1": None, "q3": None, "iqr": None, "lower": None, "upper": None}
     iqr = q3 - q1
-    return {"q1": q1, "q3": q3, "iqr": iqr, "lower": q1 - factor * iqr, "upper": q3 + factor * iqr}
+    return {"q1": q1, "q3": q3, "iqr": iqr, "lower": _bound(q1 - factor * iqr), "upper": _bound(q3 + factor * iqr)}
+
+
+def _bound(x: float) -> float | None:
+    """None for NaN: a bound that infinities leave undefined bounds nothing (Spark holds every value to be below NaN)."""
+    return None if math.isnan(x) else x
 
 
 def zscore_bounds(df: DataFrame, column: str, threshold: float = 3.0) -> dict:
     st = stats.column_stats(df, [column], ["mean", "std"])[column]
     mean, std = st["mean"], st["std"]
     lower = upper = None
+    if std is not None and math.isnan(std):
+        std = None  # an infinity among the values: no z-score is defined, so nothing is flagged or capped
     if mean is not None and std is not None:
-        lower, upper = mean - threshold * std, mean + threshold * std
+        lower, upper = _bound(mean - threshold * std), _bound(mean + threshold * std)
     return {"mean": mean, "std": std, "threshold": threshold, "lower": lower, "upper": upper}
 
 
 def iqr_mask(column: str, b: dict) -> Column:
     """Outside [lower, upper]; null value -> false."""
-    if b["lower"] is None:
-        return F.lit(False)
     x = as_double(column)
-    return F.coalesce((x < F.lit(b["lower"])) | (x > F.lit(b["upper"])), F.lit(False))
+    low = F.lit(False) if b["lower"] is None else x < F.lit(b["lower"])
+    high = F.lit(False) if b["upper"] is None else x > F.lit(b["upper"])
+    return F.coalesce(low | high, F.lit(False))
 
 
 def zscore_mask(column: str, b: dict) -> Column:
-    """|z| > threshold; std 0 (or undefined) -> false."""
-    if b["std"] is None or b["std"] == 0 or b["mean"] is None:
+    """|z| > threshold; std 0 or undefined (one value, or an infinity among them) -> false."""
+    if b["std"] is None or b["std"] == 0 or b["mean"] is None or not math.isfinite(b["mean"]):
         return F.lit(False)
     z = F.abs((as_double(column) - F.lit(b["mean"])) / F.lit(b["std"]))
     return F.coalesce(z > F.lit(b["threshold"]), F.lit(False))
@@ -61,7 +68,7 @@ def detect_outliers_iqr(df: DataFrame, column: str, factor: float = 1.5, exact:
 
 
 def detect_outliers_zscore(df: DataFrame, column: str, threshold: float = 3.0) -> DataFrame:
-    """Mean, std (4 dp), threshold, count, pct."""
+    """Mean, std (4 dp; null where undefined), threshold, count, pct."""
     require(df, [column])
     b = zscore_bounds(df, column, threshold)
     s = _mask_summary(df, zscore_mask(column, b))
@@ -198,7 +205,7 @@ def bin_column(df: DataFrame, column: str, n_bins: int, method: str = "equal_wid
     text ``(lo, hi]`` as pandas prints them (3 decimals; the first lower edge is below the
     lowest value by 0.1 % of the range or, for quantiles, 0.001).
 
-    Equal width: right-closed bins over [min, max]; quantile: edges at
+    Equal width: right-closed bins over [min, max], which must be finite (ValueError); quantile: edges at
     quantiles k/n, duplicate edges dropped, lowest value in bin 1, fewer than
     two distinct edges -> null.
     """
@@ -211,11 +218,13 @@ def bin_column(df: DataFrame, column: str, n_bins: int, method: str = "equal_wid
         st = stats.column_stats(df, [column], ["min", "max"])[column]
         if st["min"] is None:
             return df.withColumn(new, F.lit(None).cast("string" if labels else "int"))
+        if not (math.isfinite(st["min"]) and math.isfinite(st["max"])):
+            raise ValueError(f"Binning failed for '{column}': equal-width bins need finite values, and it holds an infinity")
         edges = equal_width_edges(st["min"], st["max"], n_bins)
     else:
         probs = [k * (1.0 / n_bins) for k in range(n_bins)] + [1.0]
         qs = stats.quantiles(df, column, probs, exact=exact)
-        edges = sorted(set(q for q in qs if q is not None))
+        edges = sorted(set(q for q in qs if q is not None and not math.isnan(q)))
         if len(edges) < 2:
             return df.withColumn(new, F.lit(None).cast("string" if labels else "int"))
     if labels is not None and len(labels) != len(edges) - 1:

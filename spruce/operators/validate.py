@@ -43,6 +43,7 @@ def _violations(df: DataFrame, rule: ValidationRule) -> list[Column]:
     out = []
     if rule.rule_type == "range":
         num = x.cast("double") if isinstance(df.schema[k].dataType, T.NumericType) else to_double_coerce(x)
+        num = F.when(~F.isnan(num), num)  # NaN is a missing value, no violation
         lo, hi = rule.params.get("min"), rule.params.get("max")
         if lo is not None:
             out.append(F.when(num < F.lit(float(lo)), F.struct(
@@ -57,7 +58,10 @@ def _violations(df: DataFrame, rule: ValidationRule) -> list[Column]:
         if vals:
             dt = df.schema[k].dataType
             typed = [F.lit(v).try_cast(dt) if not isinstance(dt, T.StringType) else F.lit(str(v)) for v in vals]
-            out.append(F.when(x.isNotNull() & ~F.coalesce(x.isin(*typed), F.lit(False)), F.struct(
+            there = x.isNotNull()
+            if isinstance(dt, (T.DoubleType, T.FloatType)):
+                there = there & ~F.isnan(x)
+            out.append(F.when(there & ~F.coalesce(x.isin(*typed), F.lit(False)), F.struct(
                 F.lit(k).alias("column"), F.lit("allowed").alias("rule_type"), text.alias("value"),
                 F.lit(f"Not in allowed values: {vals}").alias("detail"))))
     elif rule.rule_type == "non_null":

@@ -78,7 +78,7 @@ def round_half_away(x, dp: int = 6):
     a = F.abs(x) * F.lit(m)
     r = F.floor(a).cast("double")
     r = F.when(a - r >= 0.5, r + 1.0).otherwise(r)
-    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.when(x < 0, -r).otherwise(r) / F.lit(m))
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.when(x < 0, -r).otherwise(r) / F.lit(m))
 
 
 def rnd(df: DataFrame, dp: int = 6) -> DataFrame:
@@ -1167,3 +1167,6 @@ FROM de, e WHERE value IS NOT NULL""")
 def q_recipe_logged(spark, d):
     """Step parameters by the names a log of the user interface holds."""
     return rnd(recipe.replay(dirty_events(spark, d), LOGGED))
+
+
+from . import registry_more  # noqa: E402, F401  (registers its queries in Q and SQL)
