@@ -16,9 +16,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Month names understood by %b and %B.
-MONTHS = ["january", "february", "march", "april", "may", "june", "july",
-          "august", "september", "october", "november", "december"]
+from .freedates import MONTHS, WEEKDAYS, hour_of, parse_free, zone_minutes
 
 # Formats tried, in this order, when a column's format is
 # guessed from its first value (month-first before day-first, for every separator).
@@ -28,6 +26,8 @@ GUESS_FORMATS = [
     "%m/%d/%Y %H:%M:%S", "%m/%d/%Y %H:%M", "%m/%d/%Y", "%d/%m/%Y %H:%M:%S", "%d/%m/%Y %H:%M",
     "%d/%m/%Y", "%m-%d-%Y %H:%M:%S", "%m-%d-%Y %H:%M", "%m-%d-%Y", "%d-%m-%Y %H:%M:%S", "%d-%m-%Y %H:%M", "%d-%m-%Y",
     "%m.%d.%Y %H:%M:%S", "%m.%d.%Y %H:%M", "%m.%d.%Y", "%d.%m.%Y %H:%M:%S", "%d.%m.%Y %H:%M", "%d.%m.%Y", "%Y%m%d",
+    "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%d %H:%M:%S%z", "%Y-%m-%dT%H:%M:%S.%f%z", "%Y-%m-%d %H:%M:%S.%f%z", "%Y-%m-%dT%H:%M%z", "%Y-%m-%d %H:%M%z",
+    "%Y-%m-%d %I:%M %p", "%Y-%m-%d %I:%M:%S %p", "%m/%d/%Y %I:%M %p", "%m/%d/%Y %I:%M:%S %p", "%d/%m/%Y %I:%M %p", "%d/%m/%Y %I:%M:%S %p",
     "%d %b %Y", "%d %B %Y", "%b %d %Y", "%B %d %Y", "%b %d, %Y", "%B %d, %Y",
 ]
 
@@ -49,6 +49,12 @@ _FIELDS = {
     "f": ("fraction", r"(\d{1,6})"),
     "b": ("month_abbr", r"([A-Za-z]{3})"),
     "B": ("month_name", r"([A-Za-z]+)"),
+    "I": ("hour12", r"(\d{1,2})"),
+    "p": ("half", r"([AaPp][Mm])"),
+    "j": ("day_of_year", r"(\d{1,3})"),
+    "A": ("weekday", "((?i:" + "|".join(WEEKDAYS) + "))"),
+    "a": ("weekday", "((?i:" + "|".join(d[:3] for d in WEEKDAYS) + "))"),
+    "z": ("zone", r"(Z|[+-]\d{2}:?\d{2})"),
 }
 
 
@@ -120,7 +126,12 @@ def parse_with_format(x: Column, fmt: str) -> Column:
     else:
         month = F.lit("1")
     day = part.get("day", F.lit("1"))
-    hour = part.get("hour", F.lit("0"))
+    if "hour12" in part:  # 1 to 12; without %p before noon
+        h = part["hour12"].try_cast("int")
+        half = F.substring(F.lower(part["half"]), 1, 1) if "half" in part else F.lit("a")
+        hour = F.when(h.between(1, 12), hour_of(part["hour12"], half)).otherwise(99).cast("string")
+    else:
+        hour = part.get("hour", F.lit("0"))
     minute = part.get("minute", F.lit("0"))
     second = part.get("second", F.lit("0"))
     frac = F.rpad(part["fraction"], 6, "0") if "fraction" in part else F.lit("000000")
@@ -133,7 +144,14 @@ def parse_with_format(x: Column, fmt: str) -> Column:
     ok = s.rlike(rx)
     if "month_abbr" in part or "month_name" in part:
         ok = ok & (month.cast("int") > 0)
-    return F.when(ok, iso.try_cast("timestamp_ntz"))
+    moment = iso.try_cast("timestamp_ntz")
+    if "day_of_year" in part:  # %j says the day, whatever month and day are given
+        first = F.concat(F.lpad(year, 4, "0"), F.lit("-01-01"), F.substring(iso, 11, 32)).try_cast("timestamp_ntz")
+        that = first + F.make_dt_interval(days=part["day_of_year"].try_cast("int") - 1)
+        moment = F.when((F.year(that) == F.year(first)) & (part["day_of_year"].try_cast("int") > 0), that)
+    if "zone" in part:  # the moment in UTC
+        moment = moment - F.make_dt_interval(mins=zone_minutes(F.lower(part["zone"])))
+    return F.when(ok, moment)
 
 
 def parse_mixed(x: Column, formats: list[str] | None = None) -> Column:
@@ -141,6 +159,7 @@ def parse_mixed(x: Column, formats: list[str] | None = None) -> Column:
 
     The shapes are year first, numbers first (month first; day first only
     where the first number cannot be a month) and month name; each takes one regex pass.
+    What fits none of them goes to the token automaton of :mod:`freedates`.
     """
     if formats:
         return F.coalesce(*[parse_with_format(x, f) for f in formats])
@@ -171,7 +190,7 @@ def parse_mixed(x: Column, formats: list[str] | None = None) -> Column:
         return F.when((F.size(p) == 9) & kind.isin("Y", "N", "D", "M"), text.try_cast("timestamp_ntz"))
 
     # an array of one, so that the parts are made once and used many times
-    return F.transform(F.array(F.split(canonical, r"\|", -1)), moment)[0]
+    return F.coalesce(F.transform(F.array(F.split(canonical, r"\|", -1)), moment)[0], parse_free(x))
 
 
 def guess_format(sample: str | None) -> str | None:

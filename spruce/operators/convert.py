@@ -36,7 +36,9 @@ def convert_to_datetime(df: DataFrame, column: str, fmt: str | None = None, orde
 
     Without a format, the format is guessed from the first non-null value
     (in ``order_by`` order) -- one bounded top-1 probe -- and then applied to
-    every row; values written another way become null.
+    every row; values written another way become null.  If the first value is
+    written in no format that can be guessed, each value is parsed alone, as by
+    ``convert_to_datetime_mixed``.  A zone (``%z``) moves the moment to UTC.
     """
     require(df, [column])
     x = c(column)
@@ -45,7 +47,7 @@ def convert_to_datetime(df: DataFrame, column: str, fmt: str | None = None, orde
         first = df.where(x.isNotNull()).orderBy(*[c(k) for k in keys]).select(x.cast("string")).first()
         fmt = dates.guess_format(first[0] if first else None)
         if fmt is None:
-            return df.withColumn(column, F.lit(None).cast("timestamp_ntz"))
+            return df.withColumn(column, dates.parse_mixed(x))
     return df.withColumn(column, dates.parse_with_format(x, fmt))
 
 

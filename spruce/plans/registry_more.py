@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chartdata as ch, numeric as num, validate as val
+from ..operators import chartdata as ch, convert as conv, numeric as num, validate as val
 from .registry import _t, query, rnd
 
 # events with NaN, a few positive infinities (v) and infinities of both signs (w)
@@ -100,3 +100,54 @@ def q_scatter_bins_inf(spark, d):
         F.when(F.col("l_linenumber") == 7, F.lit(float("inf"))).otherwise(F.col("l_quantity")).alias("x"),
         F.when(F.col("l_returnflag") == "A", F.lit(float("-inf"))).otherwise(F.col("l_linenumber").cast("double")).alias("y"))
     return ch.scatter_bins(df, "x", "y", 7)
+
+
+# ---------------------------------------------------------------- T: dates in free form
+
+_MOMENT = "o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 86400)"
+_FREE = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss'+02:00'", "MMM d, yyyy ha", "MMMM yyyy", "yyyy", "EEE, dd MMM yyyy HH:mm:ss 'GMT'",
+         "dd-MMM-yy", "M/d/yy", "yyyyMMdd'T'HHmmss", "d'th' MMMM yyyy", "yyyy-MM-dd HH:mm:ss.SSS '-0530'", "'on' EEEE MMM. d yyyy 'at' h:mm a"]
+
+
+def free_dates(spark, d):
+    """Orders with the moment written in twelve forms."""
+    of = F.expr(_MOMENT)
+    text = F.date_format(of, _FREE[0])
+    for i, form in enumerate(_FREE):
+        text = F.when(F.col("o_orderkey") % len(_FREE) == i, F.date_format(of, form)).otherwise(text)
+    return _t(spark, d, "orders").select("o_orderkey", text.alias("order_date"))
+
+
+@query("to_datetime_free", """WITH o AS (
+  SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_seconds(CAST(o_orderkey % 86400 AS BIGINT)) AS t FROM orders)
+SELECT o_orderkey, CAST(CASE o_orderkey % 12 WHEN 0 THEN t WHEN 1 THEN t - INTERVAL 2 HOUR WHEN 2 THEN date_trunc('hour', t)
+  WHEN 3 THEN date_trunc('month', t) WHEN 4 THEN date_trunc('year', t) WHEN 5 THEN t WHEN 6 THEN date_trunc('day', t)
+  WHEN 7 THEN date_trunc('day', t) WHEN 8 THEN t WHEN 9 THEN date_trunc('day', t) WHEN 10 THEN t + INTERVAL 330 MINUTE
+  ELSE date_trunc('minute', t) END AS TIMESTAMP) AS order_date FROM o""")
+def q_to_datetime_free(spark, d):
+    return conv.convert_to_datetime_mixed(free_dates(spark, d), "order_date")
+
+
+@query("to_datetime_auto_zone", """WITH o AS (
+  SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_seconds(CAST(o_orderkey % 86400 AS BIGINT)) AS t FROM orders)
+SELECT o_orderkey, CAST(CASE WHEN o_orderkey <> (SELECT min(o_orderkey) FROM orders) AND o_orderkey % 7 = 5 THEN NULL
+  WHEN o_orderkey % 3 = 0 THEN t WHEN o_orderkey % 3 = 1 THEN t - INTERVAL 2 HOUR ELSE t + INTERVAL 330 MINUTE END AS TIMESTAMP) AS order_date FROM o""")
+def q_to_datetime_auto_zone(spark, d):
+    """The first value has a zone, so the guessed format asks for one; values without it become null."""
+    df = _t(spark, d, "orders")
+    first = df.agg(F.min("o_orderkey")).first()[0]
+    k = F.col("o_orderkey")
+    zone = F.when((k != first) & (k % 7 == 5), "").when(k % 3 == 0, "Z").when(k % 3 == 1, "+02:00").otherwise("-0530")
+    text = F.concat(F.date_format(F.expr(_MOMENT), "yyyy-MM-dd'T'HH:mm:ss"), zone)
+    return conv.convert_to_datetime(df.select("o_orderkey", text.alias("order_date")), "order_date", order_by="o_orderkey")
+
+
+@query("to_datetime_fmt_parts", """WITH o AS (
+  SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_seconds(CAST(o_orderkey % 86400 AS BIGINT)) AS t FROM orders)
+SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE t - INTERVAL 90 MINUTE END AS TIMESTAMP) AS order_date FROM o""")
+def q_to_datetime_fmt_parts(spark, d):
+    """Day of the year, weekday, hour with AM or PM, and zone in a given format; hour 13 to 23 with them is no time."""
+    form = F.when(F.col("o_orderkey") % 5 == 0, F.date_format(F.expr(_MOMENT), "EEEE yyyy DDD '14':mm:ss a")).otherwise(
+        F.date_format(F.expr(_MOMENT), "EEEE yyyy DDD hh:mm:ss a"))
+    df = _t(spark, d, "orders").select("o_orderkey", F.concat(form, F.lit(" +01:30")).alias("order_date"))
+    return conv.convert_to_datetime(df, "order_date", "%A %Y %j %I:%M:%S %p %z")
