@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.cols import (as_double, as_list, c, categorical_columns, is_numeric, numeric_columns,
                               order_key, require)
 from . import stats
+from .dedup import candidates
 
 
 def _value(df: DataFrame, name: str) -> Column:
@@ -151,27 +152,30 @@ def _groupable(df: DataFrame) -> list[str]:
 def duplicate_stats(df: DataFrame) -> DataFrame:
     """rows, duplicate rows (repeats of an earlier row), duplicate_pct (2 dp).
 
-    Grouping by all columns is a hash aggregate with map-side combine, so a
-    row repeated a billion times costs one row per task.
+    Rows are told apart by fingerprints; only rows whose fingerprint occurs twice are grouped whole (see ``dedup``).
     """
-    g = df.groupBy(*[c(k) for k in _groupable(df)]).agg(F.count(F.lit(1)).alias("_n"))
-    one = g.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-                F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
+    one = _with_duplicates(df, F.lit(0)).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("_d"), F.lit(0)).alias("duplicates"))
     return one.select("rows", "duplicates",
                       F.when(F.col("rows") > 0, _pct(F.col("duplicates"), F.col("rows"), 2))
                       .otherwise(F.lit(0.0)).alias("duplicate_pct"))
 
 
+def _with_duplicates(df: DataFrame, missing: Column) -> DataFrame:
+    """(_n, _d, _m): a row for each row of ``df`` with its missing cells, and one for each group of copies with its repeats."""
+    none = F.lit(0).cast("long")
+    groups = candidates(df).groupBy(*[c(k) for k in _groupable(df)]).agg((F.count(F.lit(1)) - 1).alias("_d")).where("_d > 0")
+    rows = df.select(F.lit(1).cast("long").alias("_n"), none.alias("_d"), missing.cast("long").alias("_m"))
+    return rows.unionByName(groups.select(none.alias("_n"), "_d", none.alias("_m")))
+
+
 def overview(df: DataFrame) -> DataFrame:
-    """rows, columns, missing cells, missing % of cells (1 dp), duplicates -- one scan."""
-    cols = _groupable(df)
+    """rows, columns, missing cells, missing % of cells (1 dp), duplicates (as F5)."""
     miss = F.lit(0)
     for k in df.columns:
         miss = miss + _missing(df, k).cast("long")
-    g = df.groupBy(*[c(k) for k in cols]).agg(F.count(F.lit(1)).alias("_n"), F.first(miss).alias("_m"))
-    one = g.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-                F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"),
-                F.coalesce(F.sum(F.col("_n") * F.col("_m")), F.lit(0)).alias("missing_cells"))
+    one = _with_duplicates(df, miss).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("_d"), F.lit(0)).alias("duplicates"),
+        F.coalesce(F.sum("_m"), F.lit(0)).alias("missing_cells"))
     ncols = len(df.columns)
     cells = F.col("rows") * F.lit(ncols)
     return one.select("rows", F.lit(ncols).cast("long").alias("columns"), "missing_cells",
