@@ -24,7 +24,8 @@ places to delete.  The work of a document is in proportion to its lines, however
 Defined results: a document of fewer than ``window`` non-blank lines is one
 run of all its lines and is compared with such documents of as many lines, and its
 runs of many words with those of all documents.  A word is what stands between white space.
-Null text stays null.  Rows with equal id and text are one document
+A line
+without a visible character (blanks, tabs, carriage returns and the like alone) is blank.  Null text stays null.  Rows with equal id and text are one document
 and get the same result.  Null ids come after all others; rows with one id
 but different texts come in the order of the texts' hashes.  Lines end at \\n.
 """
@@ -37,14 +38,15 @@ from pyspark.sql import functions as F
 from .common import column, cut
 
 LINES = "split(__t, '\\n', -1)"
+VISIBLE = r"[^ \t\n\x0B\f\r]"
 
 
 def _line_hashes(docs: DataFrame, text: str, key: str, words: bool) -> DataFrame:
     """(id, hash, h, and if asked n): hashes and words of the non-blank lines; one row for each id and text."""
     t = column(docs, text)
     rows = docs.where(t.isNotNull()).select(column(docs, key).alias("id"), F.xxhash64(t).alias("hash"), t.alias("__t"))
-    lines = F.filter(F.expr(LINES), lambda x: F.length(F.trim(x)) > 0)
-    n = [F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("n")] if words else []
+    lines = F.filter(F.expr(LINES), lambda x: x.rlike(VISIBLE))
+    n = [F.transform(lines, lambda x: F.regexp_count(x, F.lit(VISIBLE + "+"))).alias("n")] if words else []
     rows = rows.select("id", "hash", F.transform(lines, lambda x: F.xxhash64(x)).alias("h"), *n).where(F.size("h") > 0)
     return rows.dropDuplicates(["id", "hash"])
 
@@ -96,7 +98,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", window
     # of the lines: text, and place among the non-blank lines (null if blank)
     gone = F.expr("array_distinct(flatten(transform(coalesce(__runs, array()), r -> sequence(r.i, r.last))))")
     rows = rows.withColumn("__gone", gone)
-    full = F.expr(f"filter(transform({LINES}, (x, i) -> if(length(trim(x)) > 0, i, -1)), i -> i >= 0)")
+    full = F.filter(F.transform(F.expr(LINES), lambda x, i: F.when(x.rlike(VISIBLE), i).otherwise(-1)), lambda i: i >= 0)
     rows = rows.withColumn("__full", full)  # line numbers of the non-blank lines
     rows = rows.withColumn("__drop", F.expr("transform(__gone, i -> __full[cast(i as int)])"))
     # the lambda's variable holds the lines and the places, so both are computed once for a text

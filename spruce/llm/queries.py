@@ -51,7 +51,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = linededup.dedup_lines(docs, counts=True, long_words=None)  # LINES_SQL knows runs of three lines alone
+    found = linededup.dedup_lines(docs, counts=True)
     return found.select("doc_id", "n_lines", "n_deleted", F.length("text").alias("n_chars_left"),
                         F.sha2("text", 256).alias("text_sha256"))
 
@@ -161,24 +161,27 @@ SELECT doc_id, source, epoch::INTEGER AS epoch, tokens::BIGINT AS tokens, start:
 FROM pl WHERE start < source_budget
 """
 
-LINES_SQL = """
+LINES_SQL = r"""
 WITH l AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln
   FROM (SELECT DISTINCT doc_id, text FROM documents)),
-f AS (  -- the lines that are not blank, numbered from 0
-  SELECT doc_id, ln, line, row_number() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS i,
-         count(*) OVER (PARTITION BY doc_id) AS n
-  FROM l WHERE length(trim(line)) > 0),
+f AS (  -- the lines that hold a visible character, numbered from 0
+  SELECT doc_id, ln, line, len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) AS words,
+         row_number() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM l WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')),
 g AS (
-  SELECT doc_id, i, n, CASE WHEN n >= 3 THEN 3 ELSE n END AS w,
-         concat_ws(chr(10), line, CASE WHEN n > 1 THEN lead(line, 1) OVER d END, CASE WHEN n > 2 THEN lead(line, 2) OVER d END) AS run
+  SELECT doc_id, i, n, words, line AS l1, lead(line, 1) OVER d AS l2, lead(line, 2) OVER d AS l3, lead(words, 1) OVER d AS words2
   FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-r AS (
-  SELECT doc_id, i, w, run, min((doc_id, i)) OVER (PARTITION BY run, w) AS first
-  FROM g WHERE i + w <= n),
+r AS (  -- runs of three lines (or all of a shorter document), and shorter ones of over 50 words
+  SELECT doc_id, i, 3 AS w, concat_ws(chr(10), l1, l2, l3) AS run FROM g WHERE i + 3 <= n
+  UNION SELECT doc_id, i, n, concat_ws(chr(10), l1, CASE WHEN n = 2 THEN l2 END) FROM g WHERE n < 3 AND i = 0
+  UNION SELECT doc_id, i, 1, l1 FROM g WHERE words > 50
+  UNION SELECT doc_id, i, 2, concat_ws(chr(10), l1, l2) FROM g WHERE i + 2 <= n AND words + words2 > 50),
+q AS (
+  SELECT doc_id, i, w, min((doc_id, i)) OVER (PARTITION BY run, w) AS first FROM r),
 x AS (
-  SELECT DISTINCT doc_id, unnest(range(i, i + w)) AS i FROM r
-  WHERE doc_id <> first[1] OR i >= first[2] + 3),
+  SELECT DISTINCT doc_id, unnest(range(i, i + w)) AS i FROM q
+  WHERE doc_id <> first[1] OR i >= first[2] + w),
 k AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.ln) AS left_text
   FROM l LEFT JOIN f ON l.doc_id = f.doc_id AND l.ln = f.ln LEFT JOIN x ON f.doc_id = x.doc_id AND f.i = x.i

@@ -12,7 +12,8 @@ import tiktoken
 import corpus_pipeline
 from check_oracle import rows_of
 from spruce.llm import queries
-from test_text_ops import brute_components, brute_fingerprint, brute_lines
+from test_text_ops import brute_components, brute_fingerprint
+from test_whole_job import brute_long
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +21,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = queries.Q[name](spark, SF)
     res = con.execute(queries.SQL[name])
     names = [d[0] for d in res.description]
@@ -39,7 +41,7 @@ def test_stages(spark):
     before = sorted((r.doc_id, r.text) for r in rows.collect())
     rows = stages["line_dedup"](spark, rows, SF).cache()
     after = sorted((r.doc_id, r.text) for r in rows.collect())
-    assert rows.columns == docs.columns and after == [(i, t) for (i, _), t in zip(before, brute_lines(before, 3))]
+    assert rows.columns == docs.columns and after == [(i, t) for (i, _), t in zip(before, brute_long(before, 3, 50))]
     assert all(r.n_chars == len(r.text) for r in rows.collect())
 
     kept = stages["near_dedup"](spark, rows, SF).cache()
@@ -69,4 +71,8 @@ def test_stages_on_odd_and_empty_tables(spark, odd, none):
 
 def test_run_equals_its_stages(spark):
     assert "spruce.llm" in sys.modules
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    rows = sorted(map(tuple, docs.collect()))
+    assert rows and sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == rows

@@ -124,7 +124,7 @@ def brute_lines(rows, window):
             out.append(None)
             continue
         lines = text.split("\n")
-        full = [i for i, x in enumerate(lines) if x.strip(" ")]
+        full = [i for i, x in enumerate(lines) if x.strip(" \t\n\x0b\f\r")]
         own = [lines[i] for i in full]
         gone = set()
         for i in range(max(0, len(own) - window) + 1 if own else 0):
@@ -158,6 +158,13 @@ def test_line_dedup_frame(odd, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_lines_without_a_visible_character_stay(spark):
+    rows = [(0, "a\r\nb\r\n\r\n\t\r\n\r\nc\r"), (1, "x\r\n\r\n\t\r\n\r\na\r\nb\r\nc\r\nd"), (2, "\r\n\r\n\r\n\r"), (3, "\r\n\r\n\r\n\r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
+    assert got == {**dict(rows), 1: "x\r\n\r\n\t\r\n\r\nd"}
+
+
 # ---------------------------------------------------------------- SimHash
 
 def brute_fingerprint(text, n=3):

@@ -14,7 +14,7 @@ def brute_long(rows, window, words):
     seen, out = {}, []
     for d, (_, text) in enumerate(rows):
         lines = text.split("\n")
-        full = [i for i, x in enumerate(lines) if x.strip(" ")]
+        full = [i for i, x in enumerate(lines) if x.strip(" \t\n\x0b\f\r")]
         own = [lines[i] for i in full]
         spans = {(i, min(window, len(own))) for i in range(max(0, len(own) - window) + 1 if own else 0)}
         spans |= {(i, w) for w in range(1, window) for i in range(len(own) - w + 1)
