@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = linededup.dedup_lines(docs, long_words=None)  # the rule of op7's SQL, which the stage's test expects
+    found = linededup.dedup_lines(docs)  # runs of three lines, and shorter ones of over 50 words
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
