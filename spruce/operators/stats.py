@@ -10,23 +10,19 @@ Exact quantiles
 ---------------
 Spark's ``percentile``/``median`` merge a value->count map of the whole
 column inside one final task; on a 100 TB column with many distinct values
-that task does not fit.  Here order statistics are selected by counting, on
-one path whatever the size:
-
-1. a first pass counts values by order of magnitude (a quarter octave a bin, each sign
-   and infinity by itself), with the smallest and largest value of each bin;
-2. the bin that holds a rank becomes its interval; each further pass counts the
-   values of the open intervals into ``BINS`` equal-width bins;
-3. a rank is found when its interval holds one distinct value (a hot value is only
-   a count).  The ends of an interval are values and fall into different
-   bins, so every pass makes progress; a bin of the first pass has at most 2^50
-   distinct doubles, so at most six passes follow.
-
-Every pass is a distributed aggregate (map-side combine).  Without groups all
-columns share the passes and the state is a few numbers on the driver; with
-groups the state is a small table, joined on the group.  The interpolation is that
-of ``percentile``/``quantile_cont``.  ``exact=False`` uses
-``percentile_approx`` instead (one pass).
+that task does not fit.  Here a sketch says where to look, and counting says what is there:
+
+1. the first pass builds ``percentile_approx``'s mergeable summary, whose ranks are off by at most 1/``ACCURACY`` of the
+   rows.  Asked a little below and above each probability it gives a bracket of two values, between which the ranks
+   sought lie;
+2. the last pass counts the rows between the brackets (one number each, with the smallest and largest value) and the
+   different values inside them.  Their running sum is every value's exact rank, so the answer does
+   not rest on the sketch: a rank that its bracket does not hold is an error, never a wrong value.
+
+Brackets hold about 4/``ACCURACY`` of the rows each.  Where that is more than ``SELECT`` values (from thousands of millions of
+rows on) one more pass narrows them by summaries of the brackets themselves; so it is two or three passes.
+Columns share all passes; groups are the keys of the same aggregates, and the brackets a small table joined on the group.  The
+interpolation is that of ``percentile``/``quantile_cont``.  ``exact=False`` uses ``percentile_approx`` alone.
 """
 
 from __future__ import annotations
@@ -39,7 +35,9 @@ from pyspark.sql.window import Window
 
 from ..functions.cols import as_double, as_list, c
 
-BINS = 1 << 11
+ACCURACY = 10_000  # of the summaries: ranks are off by at most 1 / ACCURACY of the rows
+SELECT = 2_000_000  # values that brackets may hold before they are narrowed once
+GROUPS_TO_BROADCAST = 50_000  # brackets of more groups are joined by an exchange
 
 
 def one_row(df: DataFrame, exprs: dict[str, Column]) -> Row:
@@ -109,24 +107,89 @@ def quantile_table(df: DataFrame, value: str, probs: Sequence[float], by: str |
             F.percentile_approx("_v", probs, accuracy).alias("_qs"))
         return out.select(*[F.col(g).alias(k) for g, k in zip(gnames, by)],
                           *[F.col("_qs")[j].alias(f"q{j}") for j in range(len(probs))])
+    if not by:
+        found = column_quantiles(base, ["_v"], probs)["_v"]
+        names = [f"q{j}" for j in range(len(probs))]
+        return df.sparkSession.createDataFrame([tuple(found)], ", ".join(f"{k} double" for k in names))
     return _grouped_quantiles(base, gnames, by, probs)
 
 
-def _magnitude_bin(x: Column) -> Column:
-    """A quarter octave of |x|, with the sign; monotone in x."""
-    size = F.abs(x)
-    k = (F.when(size == 0, F.lit(0)).when(size == F.lit(float("inf")), F.lit(9000))
-         .otherwise((F.floor(F.log2(size) * 4) + 4400).cast("int")))
-    return F.when(x < 0, -k).otherwise(k)
+def _bracket_shares(probs: Sequence[float]) -> list[float]:
+    """Where the summaries are asked: two below, then two above, for each probability."""
+    wide = 2.0 / ACCURACY
+    return [x for p in probs for x in (max(0.0, p - wide), min(1.0, p + wide))]
 
 
-def _width_bin(x: Column, lo: Column, hi: Column) -> Column:
-    """One of ``BINS`` equal bins of [lo, hi]; lo and hi differ and are finite."""
-    return F.least(F.floor((x - lo) / (hi - lo) * BINS), F.lit(BINS - 1)).cast("int")
+def _ends(of: Column, count: int) -> list[Column]:
+    """The brackets' lower and upper ends, from the summary's answers."""
+    return [F.array(*[of[2 * j + side] for j in range(count)]).alias(name) for side, name in ((0, "_lo"), (1, "_hi"))]
 
 
-def _interpolated(lo: float, hi: float, frac: float) -> float:
-    return lo if lo == hi or not frac else lo + frac * (hi - lo)
+def _counted(rows: DataFrame, keys: list[str], count: int, *more: Column) -> DataFrame:
+    """Rows (keys, _v, _n, _lo, _hi) counted: one row for each stretch between brackets, one for each value inside them.
+
+    ``_before`` is the number of rows with a smaller value; ``more`` aggregates over stretches and whole brackets instead.
+    """
+    up = sum(((F.get("_lo", F.lit(j)) <= F.col("_v")).cast("int") for j in range(count)), F.lit(0))
+    past = sum(((F.get("_hi", F.lit(j)) < F.col("_v")).cast("int") for j in range(count)), F.lit(0))
+    value = [] if more else [F.when(up > past, F.col("_v")).alias("_w")]
+    counts = rows.groupBy(*keys, "_n", (up + past).alias("_at"), (up > past).alias("_inside"), *value).agg(
+        F.count(F.lit(1)).alias("_nb"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), *more)
+    order = Window.partitionBy(*keys).orderBy("_at", *([] if more else ["_w"])).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_before", F.coalesce(F.sum("_nb").over(order), F.lit(0)))
+
+
+def _rank(p: float, side: int) -> Column:
+    """The lower or upper rank that the probability falls between."""
+    low = F.floor(F.lit(p) * (F.col("_n") - 1)).cast("long")
+    return F.least(low + 1, F.col("_n") - 1) if side else low
+
+
+def _holds(rank: Column) -> Column:
+    return (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_nb"))
+
+
+def _at_rank(rank: Column) -> Column:
+    """The value of a rank in a stretch: known if it is the stretch's only value, its first or its last."""
+    last = F.col("_before") + F.col("_nb") - 1
+    value = F.when((F.col("_least") == F.col("_most")) | (rank == F.col("_before")), F.col("_least")).when(rank == last, F.col("_most"))
+    return F.when(_holds(rank), value.otherwise(F.raise_error(F.lit("a quantile's rank lies outside its bracket")).cast("double")))
+
+
+def _selected(rows: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    """(keys, q0 ..): the last pass."""
+    counts = _counted(rows, keys, len(probs))
+    ends = [F.max(_at_rank(_rank(p, side))).alias(f"_e{j}_{side}") for j, p in enumerate(probs) for side in (0, 1)]
+    found = counts.groupBy(*keys, "_n").agg(*ends)
+    out = []
+    for j, p in enumerate(probs):
+        lo, hi, at = F.col(f"_e{j}_0"), F.col(f"_e{j}_1"), F.lit(p) * (F.col("_n") - 1)
+        frac = at - F.floor(at)
+        out.append(F.when((lo == hi) | (frac == 0), lo).otherwise(lo + frac * (hi - lo)).alias(f"q{j}"))
+    return found.select(*keys, *out)
+
+
+def _narrowed(rows: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    """(keys, _n, _lo, _hi): the brackets of every rank within the brackets of ``rows``, by one pass of summaries."""
+    steps = max(2, ACCURACY // 10)  # a step is ten times the summaries' error
+    shares = F.percentile_approx("_v", [i / steps for i in range(steps + 1)], ACCURACY).alias("_s")
+    counts = _counted(rows, keys, len(probs), shares)
+
+    def end(p, rank_side, side):
+        rank = _rank(p, rank_side)
+        step = F.floor((rank - F.col("_before")) * steps / F.col("_nb")).cast("int")
+        near = F.get("_s", F.greatest(step - 2, F.lit(0)) if side == 0 else F.least(step + 3, F.lit(steps)))
+        return F.when(F.col("_inside") & _holds(rank), near).otherwise(_at_rank(rank))
+
+    lows = [F.min(F.least(end(p, 0, 0), end(p, 1, 0))).alias(f"_l{j}") for j, p in enumerate(probs)]
+    highs = [F.max(F.greatest(end(p, 0, 1), end(p, 1, 1))).alias(f"_h{j}") for j, p in enumerate(probs)]
+    found = counts.where("_nb > 0").groupBy(*keys, "_n").agg(*lows, *highs)
+    return found.select(*keys, "_n", F.array(*[f"_l{j}" for j in range(len(probs))]).alias("_lo"),
+                        F.array(*[f"_h{j}" for j in range(len(probs))]).alias("_hi"))
+
+
+def _too_many(n: int | None, count: int) -> bool:
+    return (n or 0) * count * 4 / ACCURACY > SELECT
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
@@ -136,85 +199,40 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
         raise ValueError("quantile probabilities must lie in [0, 1]")
     if not columns:
         return {}
-    cells = F.array(*[F.struct(F.lit(i).alias("c"), (as_double(k) + F.lit(0.0)).alias("v")) for i, k in enumerate(columns)])
-    long = df.select(F.explode(cells).alias("_x")).select("_x.c", "_x.v").where("v IS NOT NULL")
-    count = [F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
-    first: dict[int, list] = {}
-    for r in long.groupBy("c", _magnitude_bin(F.col("v")).alias("b")).agg(*count).collect():  # one row a column and bin
-        first.setdefault(r["c"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
-
-    def place(bins, rank):
-        for _, n, lo, hi in sorted(bins):
-            if rank < n:
-                return lo, hi, rank
-            rank -= n
-        raise AssertionError("a rank beyond the rows")
-
-    ranks: dict[tuple[int, int], tuple[float, float, int]] = {}  # (column, rank): interval, rank in it
-    spots: dict[tuple[int, int], tuple[int, int, float]] = {}
-    for i, bins in first.items():
-        n = sum(x[1] for x in bins)
-        for j, p in enumerate(probs):
-            at = p * (n - 1)
-            k = int(at)
-            spots[i, j] = (k, min(k + 1, n - 1), at - k)
-            for r in spots[i, j][:2]:
-                ranks[i, r] = place(bins, r)
-    while open_ := sorted({(i, lo, hi) for (i, _), (lo, hi, _) in ranks.items() if lo != hi}):
-        which, bin_ = F.lit(None).cast("int"), F.lit(None).cast("int")
-        for q, (i, lo, hi) in enumerate(open_):  # few: two for each column and probability at most
-            inside = (F.col("c") == i) & F.col("v").between(F.lit(lo), F.lit(hi))
-            which = F.when(inside, F.lit(q)).otherwise(which)
-            bin_ = F.when(inside, _width_bin(F.col("v"), F.lit(lo), F.lit(hi))).otherwise(bin_)
-        got = long.select(which.alias("q"), bin_.alias("b"), "v").where("q IS NOT NULL").groupBy("q", "b").agg(*count)
-        bins_of: dict[int, list] = {}
-        for r in got.collect():  # at most BINS rows for each interval
-            bins_of.setdefault(r["q"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
-        known = {x: q for q, x in enumerate(open_)}
-        for key, (lo, hi, rank) in list(ranks.items()):
-            if lo != hi:
-                ranks[key] = place(bins_of[known[key[0], lo, hi]], rank)
-    return {k: [None if (i, j) not in spots else _interpolated(
-        ranks[i, spots[i, j][0]][0], ranks[i, spots[i, j][1]][0], spots[i, j][2]) for j in range(len(probs))]
-        for i, k in enumerate(columns)}
+    x = [as_double(k) + F.lit(0.0) for k in columns]  # one zero
+    ask = {**{f"n{i}": F.count(v) for i, v in enumerate(x)},
+           **{f"s{i}": F.percentile_approx(v, _bracket_shares(probs), ACCURACY) for i, v in enumerate(x)}}
+    told = one_row(df, ask)  # one row, two numbers for each column and probability
+    some = [i for i in range(len(columns)) if told[f"n{i}"]]
+    out: dict[str, list[float | None]] = {k: [None] * len(probs) for k in columns}
+    if not some or not probs:
+        return out
+    lits = lambda i, side: F.array(*[F.lit(float(told[f"s{i}"][2 * j + side])) for j in range(len(probs))])
+    cells = F.array(*[F.struct(F.lit(i).alias("_c"), x[i].alias("_v"), F.lit(told[f"n{i}"]).alias("_n"), lits(i, 0).alias("_lo"),
+                               lits(i, 1).alias("_hi")) for i in some])
+    rows = df.select(F.explode(cells).alias("_x")).select("_x.*").where("_v IS NOT NULL")
+    if _too_many(max(told[f"n{i}"] for i in some), len(probs)):
+        near = _materialize(_narrowed(rows, ["_c"], probs))
+        rows = rows.select("_c", "_v").join(F.broadcast(near), "_c")  # a row for each column
+    for r in _selected(rows, ["_c"], probs).collect():  # a row for each column
+        out[columns[r["_c"]]] = [r[f"q{j}"] for j in range(len(probs))]
+    return out
 
 
 def _grouped_quantiles(base: DataFrame, gnames: list[str], by: list[str], probs: list[float]) -> DataFrame:
-    """The same selection for every group; the state is a table with two rows for each group and probability."""
+    """The same selection for every group; the brackets are a table with one row for each group."""
     base = base.withColumn("_v", F.col("_v") + F.lit(0.0))
-    count = [F.count("_v").alias("_nb"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")]
-    hist = base.groupBy(*gnames, _magnitude_bin(F.col("_v")).alias("_b")).agg(*count)
-    whole = Window.partitionBy(*gnames)
-    over = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumns({"_before": F.coalesce(F.sum("_nb").over(over), F.lit(0)), "_n": F.sum("_nb").over(whole)})
-    spots = []
-    for j, p in enumerate(probs):
-        at = F.lit(p) * (F.col("_n") - 1)
-        k = F.floor(at).cast("long")
-        for side, rank in ((0, k), (1, F.least(k + 1, F.col("_n") - 1))):
-            spots.append(F.struct(F.lit(j).alias("_j"), F.lit(side).alias("_side"), rank.alias("_r"), (at - k).alias("_frac")))
-    state = hist.withColumn("_s", F.explode(F.array(*spots))).where(
-        "_s._r >= _before AND _s._r < _before + _nb").select(
-        *gnames, "_s._j", "_s._side", "_s._frac", (F.col("_s._r") - F.col("_before")).alias("_r"),
-        F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"))
-    state = _materialize(state)
-    while state.where("_lo <> _hi").limit(1).count():
-        pending = state.where("_lo <> _hi")
-        intervals = pending.select(*gnames, "_lo", "_hi").distinct()
-        rows = base.join(intervals, gnames).where("_v BETWEEN _lo AND _hi")
-        keys = gnames + ["_lo", "_hi"]
-        hist = rows.groupBy(*keys, _width_bin(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_b")).agg(*count)
-        over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        hist = hist.withColumn("_before", F.coalesce(F.sum("_nb").over(over), F.lit(0)))
-        found = pending.join(hist, keys).where("_r >= _before AND _r < _before + _nb").select(
-            *gnames, "_j", "_side", "_frac", (F.col("_r") - F.col("_before")).alias("_r"),
-            F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"))
-        state = _materialize(state.where("_lo = _hi").unionByName(found))
-    lo = F.max(F.when(F.col("_side") == 0, F.col("_lo")))
-    hi = F.max(F.when(F.col("_side") == 1, F.col("_lo")))
-    frac = F.first("_frac")
-    per = state.groupBy(*gnames, "_j").agg(F.when((lo == hi) | (frac == 0), lo).otherwise(lo + frac * (hi - lo)).alias("_q"))
-    wide = per.groupBy(*gnames).agg(*[F.max(F.when(F.col("_j") == j, F.col("_q"))).alias(f"q{j}") for j in range(len(probs))])
+    near = base.groupBy(*gnames).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", _bracket_shares(probs), ACCURACY).alias("_s"))
+    near = _materialize(near.select(*gnames, "_n", *_ends(F.col("_s"), len(probs))))
+    size = near.agg(F.count(F.lit(1)).alias("groups"), F.max("_n").alias("n")).first()
+    few = size["groups"] <= GROUPS_TO_BROADCAST
+
+    def placed(state):
+        return base.join(F.broadcast(state) if few else state, gnames)
+
+    if _too_many(size["n"], len(probs)):
+        near = _materialize(_narrowed(placed(near), gnames, probs))
+    wide = _selected(placed(near), gnames, probs)
     return wide.select(*[F.col(g).alias(k) for g, k in zip(gnames, by)], *[f"q{j}" for j in range(len(probs))])
 
 
