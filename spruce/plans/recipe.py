@@ -14,10 +14,10 @@ from collections.abc import Callable, Iterable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import categorical, columns as colops, convert, dedup, missing, numeric
 from ..session import ensure_checkpoint_dir
+from .observe import Watch
 
 RECIPE_VERSION = "1.0"
 
@@ -221,35 +221,20 @@ def recipe_from_json(text: str) -> list[dict]:
     return [make_step(s["operation"], s.get("params"), s.get("columns")) for s in steps]
 
 
-def _stage_stats(df: DataFrame, stage: int, op: str) -> DataFrame:
-    miss = F.lit(0)
-    for f in df.schema.fields:
-        x = F.col("`" + f.name.replace("`", "``") + "`")
-        m = x.isNull()
-        if f.dataType.typeName() in ("double", "float"):
-            m = m | F.isnan(x)
-        miss = miss + m.cast("long")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(miss), F.lit(0)).alias("missing_cells")) \
-        .select(F.lit(stage).alias("step"), F.lit(op).alias("operation"), "rows",
-                F.lit(len(df.columns)).alias("columns"), "missing_cells",
-                F.lit(",".join(df.columns)).alias("column_names"))
+AUDIT = ("step int, operation string, rows_before long, rows_after long, columns_before int, columns_after int, missing_cells_before long, "
+         "missing_cells_after long, column_names_before string, column_names_after string")
 
 
 def audit_report(source: DataFrame, steps: Sequence[dict]) -> DataFrame:
-    """One row per step with rows / columns / missing cells before and after it."""
-    stages = [_stage_stats(source, 0, "source")]
-    cur = source
-    for i, s in enumerate(steps, 1):
-        cur = apply_step(cur, s)
-        stages.append(_stage_stats(cur, i, s["operation"]))
-    allst = stages[0]
-    for st in stages[1:]:
-        allst = allst.unionByName(st)
-    b = allst.select(*[F.col(k).alias(f"{k}_before") if k not in ("step",) else (F.col("step") + 1).alias("step")
-                       for k in ("step", "rows", "columns", "missing_cells", "column_names")])
-    a = allst.where(F.col("step") > 0)
-    j = a.join(b, "step")  # both sides hold one row per step
-    return j.select("step", "operation", "rows_before", F.col("rows").alias("rows_after"),
-                    "columns_before", F.col("columns").alias("columns_after"),
-                    "missing_cells_before", F.col("missing_cells").alias("missing_cells_after"),
-                    "column_names_before", F.col("column_names").alias("column_names_after"))
+    """One row per step with rows / columns / missing cells before and after it.
+
+    The counts are observed while the chain runs: steps that work row by row are one run together, a step
+    that reads its input more than once starts from its written input (see ``observe``).
+    """
+    watch = Watch(source)
+    for s in steps:
+        watch.step(lambda df, s=s: apply_step(df, s))
+    counts = watch.results()
+    rows = [(i, s["operation"], counts[i - 1][0], counts[i][0], len(watch.columns[i - 1]), len(watch.columns[i]), counts[i - 1][1],
+             counts[i][1], ",".join(watch.columns[i - 1]), ",".join(watch.columns[i])) for i, s in enumerate(steps, 1)]
+    return source.sparkSession.createDataFrame(rows, AUDIT)

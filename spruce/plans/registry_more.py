@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chartdata as ch, convert as conv, numeric as num, validate as val
-from .registry import _t, query, rnd
+from ..operators import chartdata as ch, convert as conv, missing as miss, numeric as num, validate as val
+from . import observe, recipe
+from .registry import _RULES, SQL, _t, dirty_events, query, rnd, with_
 
 # events with NaN, a few positive infinities (v) and infinities of both signs (w)
 _E3 = ["event_id", "event_type",
@@ -151,3 +152,44 @@ def q_to_datetime_fmt_parts(spark, d):
         F.date_format(F.expr(_MOMENT), "EEEE yyyy DDD hh:mm:ss a"))
     df = _t(spark, d, "orders").select("o_orderkey", F.concat(form, F.lit(" +01:30")).alias("order_date"))
     return conv.convert_to_datetime(df, "order_date", "%A %Y %j %I:%M:%S %p %z")
+
+
+# ---------------------------------------------------------------- counts observed while a chain runs
+
+_WIDE = [{"operation": "drop_rows", "columns": ["kind"]},
+         {"operation": "fill_missing", "params": {"strategy": "ffill", "order_by": "event_id"}, "columns": ["value"]},
+         {"operation": "standardize_categorical", "params": {"operations": ["trim", "lower"]}, "columns": ["kind"]},
+         {"operation": "remove_duplicates", "params": {"subset": ["user_id", "kind"], "order_by": "event_id"}},
+         {"operation": "drop_columns", "columns": ["ts"]}]
+_WIDE_SQL = with_("de") + """, s1 AS (SELECT * FROM de WHERE kind IS NOT NULL),
+s2 AS (SELECT event_id, ts, user_id, last_value(value IGNORE NULLS) OVER (ORDER BY event_id) AS value, kind FROM s1),
+s3 AS (SELECT event_id, ts, user_id, value, CASE WHEN lower(trim(kind)) NOT IN ('', 'nan', 'none', 'null') THEN lower(trim(kind)) END AS kind FROM s2),
+s4 AS (SELECT * FROM s3 QUALIFY row_number() OVER (PARTITION BY user_id, kind ORDER BY event_id) = 1),
+m AS (SELECT 0 AS step, count(*) AS n, count(*) FILTER (value IS NULL) + count(*) FILTER (kind IS NULL) AS m FROM de
+  UNION ALL SELECT 1, count(*), count(*) FILTER (value IS NULL) + count(*) FILTER (kind IS NULL) FROM s1
+  UNION ALL SELECT 2, count(*), count(*) FILTER (value IS NULL) + count(*) FILTER (kind IS NULL) FROM s2
+  UNION ALL SELECT 3, count(*), count(*) FILTER (value IS NULL) + count(*) FILTER (kind IS NULL) FROM s3
+  UNION ALL SELECT 4, count(*), count(*) FILTER (value IS NULL) + count(*) FILTER (kind IS NULL) FROM s4
+  UNION ALL SELECT 5, count(*), count(*) FILTER (value IS NULL) + count(*) FILTER (kind IS NULL) FROM s4)
+SELECT a.step, ['drop_rows', 'fill_missing', 'standardize_categorical', 'remove_duplicates', 'drop_columns'][a.step] AS operation,
+       b.n AS rows_before, a.n AS rows_after, 5 AS columns_before, CASE WHEN a.step = 5 THEN 4 ELSE 5 END AS columns_after,
+       b.m AS missing_cells_before, a.m AS missing_cells_after, 'event_id,ts,user_id,value,kind' AS column_names_before,
+       CASE WHEN a.step = 5 THEN 'event_id,user_id,value,kind' ELSE 'event_id,ts,user_id,value,kind' END AS column_names_after
+FROM m a JOIN m b ON a.step = b.step + 1"""
+
+
+@query("audit_report_wide", _WIDE_SQL)
+def q_audit_wide(spark, d):
+    return recipe.audit_report(dirty_events(spark, d), _WIDE)
+
+
+@query("before_after_nulls_observed", SQL["before_after_nulls"])
+def q_before_after_observed(spark, d):
+    return observe.before_after_nulls(dirty_events(spark, d), lambda df: miss.fill_missing(df, ["value"], "mean"))
+
+
+@query("violation_summary_observed", SQL["violation_summary"])
+def q_violations_observed(spark, d):
+    found = observe.CountedViolations(dirty_events(spark, d), _RULES, key_cols="event_id")
+    found.violations.write.format("noop").mode("overwrite").save()
+    return found.summary()
