@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chartdata as ch, convert as conv, missing as miss, numeric as num, validate as val
+from ..sources import io as sio
 from . import observe, recipe
-from .registry import _RULES, SQL, _t, dirty_events, query, rnd, with_
+from .registry import _PACK, _RULES, SQL, _json_documents, _t, dirty_events, query, rnd, with_
 
 # events with NaN, a few positive infinities (v) and infinities of both signs (w)
 _E3 = ["event_id", "event_type",
@@ -193,3 +194,21 @@ def q_violations_observed(spark, d):
     found = observe.CountedViolations(dirty_events(spark, d), _RULES, key_cols="event_id")
     found.violations.write.format("noop").mode("overwrite").save()
     return found.summary()
+
+
+# ---------------------------------------------------------------- S: files cut at record borders
+
+@query("scan_csv_line_breaks", "SELECT doc_id, nullif(text, '') AS text, source, n_chars FROM documents")
+def q_scan_csv_line_breaks(spark, d):
+    """Texts of many lines, written as quoted fields and read back from byte ranges."""
+    docs = _t(spark, d, "documents").select("doc_id", "text", "source", "n_chars")
+    return sio.read_table(spark, sio.write_csv(docs, sio.scratch_path(spark, "texts_csv")), "csv")
+
+
+@query("scan_json_mixed", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CASE WHEN c_custkey // 1000 % 2 = 0 THEN '}],\"{' END AS mark FROM customer")
+def q_scan_json_mixed(spark, d):
+    """A folder that holds documents of records and documents of columns."""
+    rows = _t(spark, d, "customer").selectExpr("struct(c_custkey, c_name, '}],\"{' AS mark) AS x", _PACK).groupBy("pack").agg(F.collect_list("x").alias("x"))
+    columns = F.to_json(F.struct(F.col("x.c_custkey").alias("c_custkey"), F.col("x.c_name").alias("c_name")))
+    text = F.when(F.col("pack") % 2 == 0, F.to_json("x")).otherwise(columns)
+    return _json_documents(spark, rows.select(text.alias("t")), "mixed")
