@@ -298,11 +298,11 @@ def filter_domains(df: DataFrame, max_categorical: int = 8, max_numeric: int = 6
     cats = categorical_columns(df)[:max_categorical]
     nums = numeric_columns(df)[:max_numeric]
     parts = []
-    for k in cats:
-        parts.append(df.select(F.lit(k).alias("column"), F.lit("values").alias("kind"),
-                               c(k).cast("string").alias("value"),
-                               F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"))
-                     .where(F.col("value").isNotNull()).distinct())
+    if cats:  # all text columns in one scan
+        cells = F.array(*[F.struct(F.lit(k).alias("column"), c(k).cast("string").alias("value")) for k in cats])
+        values = df.select(F.explode(cells).alias("_c")).select("_c.*").where(F.col("value").isNotNull()).distinct()
+        parts.append(values.select("column", F.lit("values").alias("kind"), "value", F.lit(None).cast("double").alias("min"),
+                                   F.lit(None).cast("double").alias("max")))
     if nums:
         one = df.agg(*[F.min(as_double(k)).alias(f"_lo{i}") for i, k in enumerate(nums)],
                      *[F.max(as_double(k)).alias(f"_hi{i}") for i, k in enumerate(nums)])

@@ -2,7 +2,8 @@
 
 Every profile is a small DataFrame built from one or two scans of the table:
 counts of all columns come from one aggregate; distinct counts and top
-values come from one long-form frequency table (every column unpivoted to
+values come from fingerprints of the cells (see ``heavy``), or, where every value is asked for,
+from one long-form frequency table (every column unpivoted to
 (column, value) and counted with map-side combine, so hot values cost one
 row per task and no ``count(DISTINCT)`` expands the rows once per column).
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,7 @@ from ..functions.cols import (as_double, as_list, c, categorical_columns, is_num
                               order_key, require)
 from . import stats
 from .dedup import candidates
+from .heavy import frequencies, sketches
 
 
 def _value(df: DataFrame, name: str) -> Column:
@@ -83,7 +85,8 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
                                                         F.col(f"_d{i}").alias("unique_count"))
                                                for i, k in enumerate(cols)])).alias("_u")).select("_u.*")
     else:
-        uniq = frequency_table(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+        uniq = df.sparkSession.createDataFrame([(k, f.distinct) for k, f in frequencies(df, cols).items()],
+                                               "`column` string, unique_count long")
     out = base.join(uniq, on="column", how="left")
     return out.select("column", "dtype", "non_null_count", "null_count",
                       _pct(F.col("null_count"), F.col("rows"), 2).alias("null_pct"),
@@ -120,10 +123,8 @@ def categorical_describe(df: DataFrame, columns: Iterable[str] | None = None) ->
     cols = as_list(columns) if columns is not None else categorical_columns(df)
     cols = require(df, cols)
     base = _column_table(df, cols)
-    freq = frequency_table(df, cols).groupBy("column").agg(
-        F.count(F.lit(1)).alias("unique"),
-        F.min_by("value", F.struct(-F.col("count"), F.col("num_key"), F.col("value"))).alias("top"),
-        F.max("count").alias("freq"))
+    freq = df.sparkSession.createDataFrame([(k, f.distinct, *(f.top[0] if f.top else (None, None))) for k, f in frequencies(df, cols, 1).items()],
+                                           "`column` string, unique long, top string, freq long")
     out = base.join(freq, on="column", how="left")
     return out.select("column", F.col("non_null_count").alias("count"),
                       F.coalesce(F.col("unique"), F.lit(0)).cast("long").alias("unique"), "top", "freq")
@@ -186,46 +187,37 @@ def overview(df: DataFrame) -> DataFrame:
 def top_values(df: DataFrame, column: str, n: int = 5) -> DataFrame:
     """The n most frequent non-null values (ties: smallest value first)."""
     require(df, [column])
-    f = frequency_table(df, [column])
-    return f.orderBy(F.col("count").desc(), F.col("num_key").asc_nulls_last(), F.col("value")) \
-        .limit(n).select("value", "count")
+    found = frequencies(df, [column], n)[column].top
+    return df.sparkSession.createDataFrame(found, "value string, count long")
 
 
 def dataset_context(df: DataFrame, top_n: int = 5) -> DataFrame:
     """F8: per column dtype, nulls, null % (1 dp), distinct, top values (text) or min/max (numbers)."""
     cols = list(df.columns)
-    base = _column_table(df, cols)
-    freq = frequency_table(df, cols)
-    uniq = freq.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
-    text_cols = categorical_columns(df)
-    # Top values: one bounded top-n (TakeOrderedAndProject) per text column
-    # over the shared frequency table; no column's values are gathered whole.
-    tops = None
-    for k in text_cols:
-        t = (freq.where(F.col("column") == k)
-             .orderBy(F.col("count").desc(), F.col("value")).limit(top_n)
-             .groupBy("column").agg(F.sort_array(F.collect_list(
-                 F.struct((-F.col("count")).alias("k"), F.col("value").alias("v")))).alias("_top")))
-        tops = t if tops is None else tops.unionByName(t)
-    if tops is None:
-        tops = df.sparkSession.createDataFrame([], "column string, top_values string")
-    else:
-        tops = tops.select("column", F.array_join(F.transform("_top", lambda s: s["v"]), ", ")
-                           .alias("top_values"))
-    num_cols = numeric_columns(df)
-    if num_cols:
-        mm = df.agg(*[F.min(as_double(k)).alias(f"_lo{i}") for i, k in enumerate(num_cols)],
-                    *[F.max(as_double(k)).alias(f"_hi{i}") for i, k in enumerate(num_cols)])
-        mm = mm.select(F.explode(F.array(*[F.struct(F.lit(k).alias("column"), F.col(f"_lo{i}").alias("min"),
-                                                    F.col(f"_hi{i}").alias("max"))
-                                           for i, k in enumerate(num_cols)])).alias("_r")).select("_r.*")
-    else:
-        mm = df.sparkSession.createDataFrame([], "column string, min double, max double")
-    out = base.join(uniq, "column", "left").join(tops, "column", "left").join(mm, "column", "left")
-    return out.select("column", "dtype", "null_count",
-                      _pct(F.col("null_count"), F.col("rows"), 1).alias("null_pct"),
-                      F.coalesce(F.col("unique_count"), F.lit(0)).cast("long").alias("unique_count"),
-                      "top_values", "min", "max", "ordinal")
+    nums = numeric_columns(df)
+    text = categorical_columns(df)
+    # nulls, ranges and sketches of all columns in one scan, distinct counts and top values in another
+    one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(_missing(df, k)).alias(f"_m{i}") for i, k in enumerate(cols)],
+                 *[f(as_double(k)).alias(f"_{n}{cols.index(k)}") for k in nums for f, n in ((F.min, "lo"), (F.max, "hi"))], *sketches(df, text)).first()
+    freq = frequencies(df, cols, top_n, text, one)
+    rows = []
+    for i, k in enumerate(cols):
+        ends = (one[f"_lo{i}"], one[f"_hi{i}"]) if k in nums else (None, None)
+        tops = ", ".join(v for v, _ in freq[k].top) if freq[k].top else None
+        rows.append((k, df.schema[k].dataType.simpleString(), one[f"_m{i}"], one["_rows"], freq[k].distinct, tops, *ends, i))
+    out = df.sparkSession.createDataFrame(
+        rows, "`column` string, dtype string, null_count long, rows long, unique_count long, top_values string, min double, max double, ordinal int")
+    return out.select("column", "dtype", "null_count", _pct(F.col("null_count"), F.col("rows"), 1).alias("null_pct"),
+                      "unique_count", "top_values", "min", "max", "ordinal")
+
+
+def context_rows(df: DataFrame, n: int = 5, order_by=None) -> DataFrame:
+    """F8: the first ``n`` rows in ``order_by`` order as (row, ordinal, column, value), cells as text."""
+    keys = order_key(df, order_by)
+    first = df.orderBy(*[c(k) for k in keys]).limit(n)
+    cells = [F.struct(F.lit(i).alias("ordinal"), F.lit(k).alias("column"), c(k).cast("string").alias("value")) for i, k in enumerate(df.columns)]
+    at = F.row_number().over(Window.orderBy(*[c(k) for k in keys]))  # over n rows
+    return first.select(at.alias("row"), F.array(*cells).alias("_a")).select("row", F.explode("_a").alias("_c")).select("row", "_c.*")
 
 
 def distinct_values(df: DataFrame, column: str, n: int | None = 50) -> DataFrame:

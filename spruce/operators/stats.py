@@ -244,19 +244,6 @@ def _materialize(df: DataFrame) -> DataFrame:
 
 
 def mode_values(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
-    """Most frequent non-null value per column, smallest on ties.
-
-    ``mode(c, true)`` keeps a value->count map per task; the long-form
-    frequency table below is a plain two-level aggregate instead, with
-    map-side combine, so hot values cost one row each.
-    """
-    if not cols:
-        return {}
-    from .profile import frequency_table
-    freq = frequency_table(df, cols)
-    out: dict[str, object] = {k: None for k in cols}
-    top = freq.groupBy("column").agg(
-        F.min_by("value", F.struct(-F.col("count"), F.col("num_key"), F.col("value"))).alias("value"))
-    for r in top.collect():  # one row per requested column
-        out[r["column"]] = r["value"]
-    return out
+    """Most frequent non-null value per column as text, smallest on ties (see ``heavy``)."""
+    from .heavy import frequencies
+    return {k: f.top[0][0] if f.top else None for k, f in frequencies(df, cols, 1).items()}

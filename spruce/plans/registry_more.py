@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chartdata as ch, convert as conv, missing as miss, numeric as num, validate as val
+from ..operators import chartdata as ch, convert as conv, missing as miss, numeric as num, profile as prof, validate as val
 from ..sources import io as sio
 from . import observe, recipe
 from .registry import _PACK, _RULES, SQL, _json_documents, _t, dirty_events, query, rnd, with_
@@ -212,3 +212,37 @@ def q_scan_json_mixed(spark, d):
     columns = F.to_json(F.struct(F.col("x.c_custkey").alias("c_custkey"), F.col("x.c_name").alias("c_name")))
     text = F.when(F.col("pack") % 2 == 0, F.to_json("x")).otherwise(columns)
     return _json_documents(spark, rows.select(text.alias("t")), "mixed")
+
+
+# ---------------------------------------------------------------- F: context rows, top values of large columns
+
+@query("dataset_context_rows", with_("de") + """, f AS (SELECT * FROM de ORDER BY event_id LIMIT 7),
+r AS (SELECT *, row_number() OVER (ORDER BY event_id)::INTEGER AS row FROM f)
+SELECT row, 0 AS ordinal, 'event_id' AS column, CAST(event_id AS VARCHAR) AS value FROM r
+UNION ALL SELECT row, 2, 'user_id', CAST(user_id AS VARCHAR) FROM r UNION ALL SELECT row, 4, 'kind', kind FROM r
+UNION ALL SELECT row, 1, 'day', strftime(ts, '%Y-%m-%d') FROM r UNION ALL SELECT row, 3, 'missing', CASE WHEN value IS NULL THEN 'yes' END FROM r""")
+def q_context_rows(spark, d):
+    df = dirty_events(spark, d).select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id",
+                                       F.when(F.col("value").isNull(), "yes").alias("missing"), "kind")
+    return prof.context_rows(df, 7, order_by="event_id")
+
+
+@query("dataset_context_documents", "WITH c AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS ordinal, '{k}' AS column, CAST({k} AS VARCHAR) AS v, CAST({'doc_id' if k == 'doc_id' else 'NULL'} AS DOUBLE) AS x FROM documents"
+    for i, k in enumerate(["doc_id", "text", "lang", "source"])) + """),
+g AS (SELECT ordinal, "column", v, count(*) AS n FROM c WHERE v IS NOT NULL GROUP BY ALL),
+t AS (SELECT ordinal, string_agg(v, ', ' ORDER BY n DESC, v) AS top_values FROM (
+  SELECT * FROM g WHERE ordinal > 0 QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY n DESC, v) <= 3) GROUP BY ordinal)
+SELECT "column", count(*) FILTER (v IS NULL) AS null_count, count(DISTINCT v) AS unique_count, any_value(top_values) AS top_values, ordinal
+FROM c LEFT JOIN t USING (ordinal) GROUP BY ordinal, "column\"""")
+def q_context_documents(spark, d):
+    """Whole texts among the columns: their values are told apart by fingerprints."""
+    t = prof.dataset_context(_t(spark, d, "documents").select("doc_id", "text", "lang", "source"), top_n=3)
+    return t.select("column", "null_count", "unique_count", "top_values", "ordinal")
+
+
+@query("top_values_open", "SELECT CAST(l_partkey AS VARCHAR) AS value, count(*) AS count FROM lineitem GROUP BY l_partkey "
+                          "ORDER BY count(*) DESC, l_partkey LIMIT 20")
+def q_top_values_open(spark, d):
+    """Many values of nearly equal frequency."""
+    return prof.top_values(_t(spark, d, "lineitem"), "l_partkey", 20)
