@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions.cols import as_list, c, check_names, require
 from ..functions.text import null_tokens_to_null, py_strip, py_title
+from .heavy import frequencies
+
 
 def standardize_case(df: DataFrame, columns: Iterable[str], case: str = "lower") -> DataFrame:
     """Lower / upper / title case; the texts '', 'nan', 'None', 'null' become null."""
@@ -38,19 +40,34 @@ def standardize(df: DataFrame, columns: Iterable[str], operations=("trim", "lowe
     return df
 
 
-def map_values(df: DataFrame, column: str, mapping: dict, set_unmatched_to_other: bool = False,
+LITERAL_ENTRIES = 200  # of a mapping that stays a literal; larger ones are joined
+BROADCAST_BYTES = 64 << 20  # measured size up to which a lookup table is broadcast
+
+
+def map_values(df: DataFrame, column: str, mapping: dict | DataFrame, set_unmatched_to_other: bool = False,
                other: str = "Other") -> DataFrame:
     """Replace values by a mapping; optionally unmatched (and null) -> 'Other'.
 
-    The mapping is a literal map expression (it is part of the recipe, so its
-    size is the user's); no join is needed.
+    ``mapping`` is a dict or a DataFrame of two columns, key and value.  A small dict is a literal map expression; a
+    larger one, and a DataFrame, is joined on the key: broadcast if its measured size allows, by an exchange otherwise.
+    A key that stands in the table twice is an error (ValueError); null keys match nothing.
     """
     require(df, [column])
+    if isinstance(mapping, DataFrame):
+        return _map_by_table(df, column, mapping, set_unmatched_to_other, other)
     x = c(column)
     if not mapping:
         return df.withColumn(column, F.lit(other)) if set_unmatched_to_other else df
     keys = list(mapping.keys())
     mixed = len({isinstance(v, str) for v in mapping.values() if v is not None}) > 1
+    if len(mapping) > LITERAL_ENTRIES:
+        text = mixed or any(isinstance(v, str) for v in mapping.values())
+        plain = all(isinstance(k, str) for k in keys)
+        rows = [(str(k) if plain else k, str(v) if text and v is not None else v) for k, v in mapping.items() if k is not None]
+        if any(isinstance(v, float) for _, v in rows):
+            rows = [(k, float(v) if isinstance(v, int) and not isinstance(v, bool) else v) for k, v in rows]
+        table = df.sparkSession.createDataFrame(rows, ["key", "value"])
+        return _map_by_table(df, column, table, set_unmatched_to_other, other)
     m = F.create_map(*[x for k, v in mapping.items()
                        for x in (F.lit(k), F.lit(str(v) if mixed and v is not None else v))])
     key = x.cast("string") if all(isinstance(k, str) for k in keys) else x
@@ -64,6 +81,30 @@ def map_values(df: DataFrame, column: str, mapping: dict, set_unmatched_to_other
     return df.withColumn(column, F.when(found, hit).otherwise(x))
 
 
+def _map_by_table(df: DataFrame, column: str, table: DataFrame, set_unmatched_to_other: bool, other: str) -> DataFrame:
+    if len(table.columns) != 2:
+        raise ValueError("a lookup table has two columns, key and value")
+    k, v = table.columns
+    text_key = isinstance(table.schema[k].dataType, T.StringType)
+    t = table.select(c(k).alias("__key"), c(v).alias("__value")).where("__key IS NOT NULL")
+    size = t.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum((F.coalesce(F.octet_length(F.col(x).cast("string")), F.lit(0)) for x in t.columns),
+                                                                    F.lit(32))), F.lit(0)).alias("bytes")).first()
+    twice = t.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"the key {twice[0][0]!r} stands in the lookup table twice")
+    t = t.withColumn("__hit", F.lit(True))
+    x = c(column).cast("string") if text_key else c(column)
+    j = df.join(F.broadcast(t) if size["bytes"] <= BROADCAST_BYTES else t, x == F.col("__key"), "left")
+    hit, old = F.col("__value"), c(column)
+    if set_unmatched_to_other:
+        out = F.coalesce(hit.cast("string"), F.lit(other))
+    else:
+        if isinstance(table.schema[v].dataType, T.StringType) or isinstance(df.schema[column].dataType, T.StringType):
+            hit, old = hit.cast("string"), old.cast("string")
+        out = F.when(F.col("__hit"), hit).otherwise(old)
+    return j.withColumn(column, out).select(*[c(n) for n in df.columns])
+
+
 def rare_categories(df: DataFrame, column: str, threshold_pct: float = 5.0) -> DataFrame:
     """Each non-null value's share (% of non-null rows) where it is below the threshold."""
     require(df, [column])
@@ -89,26 +130,37 @@ def group_rare_categories(df: DataFrame, column: str, threshold_pct: float = 5.0
     return j.withColumn(column, out).drop("__rare")
 
 
+def distinct_within(df: DataFrame, cols: list[str], most: int | None) -> dict[str, list]:
+    """The sorted distinct values of columns that will become a part of the schema; ValueError if one has more than ``most``."""
+    if not cols:
+        return {}
+    if most is not None:
+        for k, f in frequencies(df, cols).items():
+            if f.distinct > most:
+                raise ValueError(f"column {k!r} has more than {most} distinct values ({f.distinct}); set a higher limit if that is meant")
+
+    def there(k):
+        kind = df.schema[k].dataType  # adding zero makes -0.0 and 0.0 one value
+        return F.when(~F.isnan(c(k)), c(k) + F.lit(0).cast(kind)) if isinstance(kind, (T.DoubleType, T.FloatType)) else c(k)
+
+    row = df.agg(*[F.array_sort(F.collect_set(there(k))).alias(f"v{i}") for i, k in enumerate(cols)]).first()
+    return {k: list(row[f"v{i}"]) for i, k in enumerate(cols)}
+
+
 def one_hot_encode(df: DataFrame, columns: Iterable[str], drop_first: bool = False,
-                   max_values: int | None = None) -> DataFrame:
+                   max_values: int | None = 10_000) -> DataFrame:
     """``{col}_{value}`` 0/1 columns in sorted value order; the source column is removed.
 
-    The output schema depends on the data, so the distinct values are read
-    first; they are the columns of the result.  NaN is missing and gets no column.
-    With ``max_values`` more distinct values than that fail.  Names that
+    The output schema depends on the data, so the distinct values are counted first, for all columns in one job.  A column with
+    more than ``max_values`` (10,000 unless given; None is no limit) is an error before any value is collected; else one
+    job reads the values of all columns.  NaN is missing and gets no column.  Names that
     differ only in case fail, as no later step could tell the columns apart.
     """
     cols = require(df, as_list(columns))
+    values = distinct_within(df, cols, max_values)
     new = {}
     for k in cols:
-        there = c(k).isNotNull()
-        if isinstance(df.schema[k].dataType, (T.DoubleType, T.FloatType)):
-            there = there & ~F.isnan(c(k))
-        found = df.select(c(k)).where(there).distinct().orderBy(c(k))
-        found = found.limit(max_values + 1) if max_values is not None else found
-        vals = [r[0] for r in found.collect()]
-        if max_values is not None and len(vals) > max_values:
-            raise ValueError(f"column {k!r} has more than {max_values} distinct values")
+        vals = values[k]
         if drop_first:
             vals = vals[1:]
         for v in vals:

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.cols import as_double, as_list, c, categorical_columns, is_numeric, numeric_columns, require
 from . import stats
+from .categorical import distinct_within
 
 def _bin_index(x: Column, mn: Column, mx: Column, n: int) -> Column:
     """numpy.histogram's bin of x over n equal bins of [mn, mx] (last bin closed)."""
@@ -245,30 +246,81 @@ def bar_grouped_long(df: DataFrame, x: str, y: str, color: str, agg: str = "mean
 
 
 def bar_grouped_wide(df: DataFrame, x: str, y: str, color: str, agg: str = "mean",
-                     top_n: int | None = None, exact: bool = True, max_values: int | None = None) -> DataFrame:
-    """H7: one row per x, one column per colour value (pivot); top n x by row total."""
+                     top_n: int | None = None, exact: bool = True, max_values: int | None = 10_000) -> DataFrame:
+    """H7: one row per x, one column per colour value (pivot); top n x by row total.
+
+    More than ``max_values`` colours (10,000 unless given; None is no limit) are an error before any is collected.
+    """
     long = bar_grouped_long(df, x, y, color, agg, top_n, exact)
     # every colour of the table is a column, also where the top n have no row of it
-    colours = df.where(c(x).isNotNull() & c(color).isNotNull()).select(c(color)).distinct().orderBy(c(color))
-    colours = colours.limit(max_values + 1) if max_values is not None else colours
-    values = [r[0] for r in colours.collect()]
-    if max_values is not None and len(values) > max_values:
-        raise ValueError(f"more than {max_values} colour values to pivot")
+    values = distinct_within(df.where(c(x).isNotNull() & c(color).isNotNull()), [color], max_values)[color]
     wide = long.groupBy(c(x)).pivot(color, values).agg(F.first("value"))
     return wide
 
 
+GRAM_COLUMNS = 40
+GRAM_LIMIT = 2_000  # columns; a task holds four matrices of that width
+
+
+def _gram(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Pairwise complete correlations of many columns from sums of products.
+
+    With X the values (0 where missing, moved by the column's mean) and M the mask of what is there, the sums over the rows that
+    hold both columns of a pair are the cells of M'M, X'M, (X*X)'M and X'X.  Every task adds up its rows' products a batch at a
+    time; the tasks' matrices are summed by one map-side combined aggregate on the pair.
+    """
+    import numpy as np
+    import pandas as pd
+    if len(cols) > GRAM_LIMIT:
+        raise ValueError(f"correlations of more than {GRAM_LIMIT} columns at once")
+    d = len(cols)
+    mean = stats.column_stats(df, cols, ["mean"])
+    shift = np.array([mean[k]["mean"] if mean[k]["mean"] is not None and abs(mean[k]["mean"]) < float("inf") else 0.0 for k in cols])
+
+    def products(batches):
+        sums = np.zeros((4, d, d))
+        for b in batches:
+            x = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(d)], axis=1).astype(float) - shift
+            m = ~np.isnan(x)
+            x[~m] = 0.0
+            m = m.astype(float)
+            sums += [m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x]
+        i, j = np.triu_indices(d)
+        out = pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "n": sums[0][i, j], "a": sums[1][i, j], "b": sums[1][j, i],
+                            "aa": sums[2][i, j], "bb": sums[2][j, i], "ab": sums[3][i, j]})
+        import pyarrow as pa
+        yield pa.RecordBatch.from_pandas(out[out["n"] > 0], preserve_index=False)
+
+    rows = df.select(*[as_double(k).alias(f"c{i}") for i, k in enumerate(cols)])
+    sums = rows.mapInArrow(products, "i int, j int, n double, a double, b double, aa double, bb double, ab double").groupBy("i", "j").agg(
+        *[F.sum(k).alias(k) for k in ("n", "a", "b", "aa", "bb", "ab")])
+    n = F.col("n")
+    va, vb = F.col("aa") / n - F.pow(F.col("a") / n, 2), F.col("bb") / n - F.pow(F.col("b") / n, 2)
+    tiny = 1e-12  # what rounding leaves of a constant column's variance, as a share of its mean square
+    flat = (va <= tiny * F.col("aa") / n) | (vb <= tiny * F.col("bb") / n)
+    r = F.when(~flat, (F.col("ab") / n - F.col("a") / n * F.col("b") / n) / F.sqrt(va * vb))
+    names = F.array(*[F.lit(k) for k in cols])
+    name = lambda k: F.element_at(names, F.col(k) + 1)
+    every = df.sparkSession.range(d * d).select((F.col("id") / d).cast("int").alias("p"), (F.col("id") % d).cast("int").alias("q"))
+    known = sums.select("i", "j", F.when(~flat, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("corr"))
+    low, high = F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")
+    both = every.select("p", "q", low, high).join(known, ["i", "j"], "left")  # a pair without common rows is null
+    return both.select(name("p").alias("col_a"), name("q").alias("col_b"), "corr")
+
+
 def correlation_matrix(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """H8: Pearson correlation of every pair of numeric columns, pairwise complete, long form.
 
-    All pairs come from one aggregate.  A constant column gives null (Spark's
-    ``corr`` would divide by zero under ANSI).
+    All pairs come from one aggregate; of more than ``GRAM_COLUMNS`` columns from a Gram matrix (see ``_gram``), as an aggregate of
+    that many expressions would not compile.  A constant column gives null (Spark's ``corr`` would divide by zero under ANSI).
     """
     cols = as_list(columns) if columns is not None else numeric_columns(df)
     cols = [k for k in require(df, cols) if is_numeric(df.schema[k].dataType)]
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "col_a string, col_b string, corr double")
+    if len(cols) > GRAM_COLUMNS:
+        return _gram(df, cols)
     aggs = []
     pairs = []
     for i, a in enumerate(cols):

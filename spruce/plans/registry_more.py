@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chartdata as ch, convert as conv, missing as miss, numeric as num, profile as prof, validate as val
+from ..operators import categorical as cat, chartdata as ch, convert as conv, merged, missing as miss, numeric as num, profile as prof, validate as val
 from ..sources import io as sio
 from . import observe, recipe
 from .registry import _PACK, _RULES, SQL, _json_documents, _t, dirty_events, query, rnd, with_
@@ -246,3 +246,50 @@ def q_context_documents(spark, d):
 def q_top_values_open(spark, d):
     """Many values of nearly equal frequency."""
     return prof.top_values(_t(spark, d, "lineitem"), "l_partkey", 20)
+
+
+# ---------------------------------------------------------------- C, F, H: lookup tables, merged profiles, wide correlations
+
+@query("map_values_table", "SELECT l_orderkey, l_linenumber, coalesce('name of ' || s_name, CAST(l_suppkey AS VARCHAR)) AS l_suppkey "
+                           "FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_suppkey % 3 > 0")
+def q_map_values_table(spark, d):
+    """A map that is a table of its own."""
+    names = _t(spark, d, "supplier").where("s_suppkey % 3 > 0").select("s_suppkey", F.concat(F.lit("name of "), "s_name").alias("name"))
+    return cat.map_values(_t(spark, d, "lineitem"), "l_suppkey", names).select("l_orderkey", "l_linenumber", "l_suppkey")
+
+
+@query("map_values_table_other", "SELECT l_orderkey, l_linenumber, coalesce(s_name, 'Other') AS l_suppkey "
+                                 "FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_suppkey % 3 > 0")
+def q_map_values_table_other(spark, d):
+    names = _t(spark, d, "supplier").where("s_suppkey % 3 > 0").select("s_suppkey", "s_name")
+    return cat.map_values(_t(spark, d, "lineitem"), "l_suppkey", names, True).select("l_orderkey", "l_linenumber", "l_suppkey")
+
+
+@query("profile_merged", " UNION ALL ".join(
+    f"SELECT '{k}' AS column, count({k}) AS non_null_count, count(*) - count({k}) AS null_count, "
+    + (f"round(min({k}), 6) AS min, round(max({k}), 6) AS max, " if n else "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, ")
+    + f"true AS near, {i} AS ordinal FROM events" for i, (k, n) in enumerate([("event_id", 1), ("user_id", 1), ("event_type", 0), ("value", 1)])))
+def q_profile_merged(spark, d):
+    """States of seven parts, merged; near: the estimate is within 8 % (five standard errors) of the exact distinct count."""
+    df = _t(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    states = None
+    for i in range(7):
+        part = merged.profile_state(df.where(F.col("event_id") % 7 == i))
+        states = part if states is None else states.unionByName(part)
+    exact = prof.column_profile(df).select("column", F.col("unique_count").alias("exact"))
+    t = merged.profile_of(states).join(exact, "column")
+    near = F.abs(F.col("unique_count") - F.col("exact")) <= 0.08 * F.col("exact")
+    return rnd(t.select("column", "non_null_count", "null_count", "min", "max", near.alias("near"), "ordinal"))
+
+
+_WIDE_COLS = [(f"c{i}", f"l_quantity * {i % 7} + l_extendedprice * {(i * 3) % 11} / 1000 + l_discount * {(i * 5) % 13} * 100 + l_linenumber")
+              for i in range(48)]
+
+
+@query("corr_matrix_wide", "WITH w AS (SELECT " + ", ".join(
+    f"CASE WHEN l_orderkey % {i + 5} <> 0 THEN {e} END AS {k}" for i, (k, e) in enumerate(_WIDE_COLS)) + " FROM lineitem) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS corr FROM w" for a, _ in _WIDE_COLS for b, _ in _WIDE_COLS))
+def q_corr_wide(spark, d):
+    """48 columns, each with its own missing cells: 2,304 pairs."""
+    df = _t(spark, d, "lineitem").selectExpr(*[f"CASE WHEN l_orderkey % {i + 5} <> 0 THEN {e} END AS {k}" for i, (k, e) in enumerate(_WIDE_COLS)])
+    return rnd(ch.correlation_matrix(df))
