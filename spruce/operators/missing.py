@@ -96,21 +96,25 @@ def fill_constant(df: DataFrame, columns: Iterable[str], constant) -> DataFrame:
 SAMPLE_A_RANGE = 64
 
 
-def _range_of(df: DataFrame, keys: list[str], ranges: int) -> Column:
-    """Number of the range of a row's key; the bounds come from SAMPLE_A_RANGE keys for each range at most."""
-    names = [f"k{i}" for i in range(len(keys))]
-    picked = df.select(*[c(k).alias(n) for k, n in zip(keys, names)])
+def _range_of(df: DataFrame, key: dict[str, Column], ranges: int) -> Column:
+    """Number of the range of a row's key; the bounds come from SAMPLE_A_RANGE keys for each range at most.
+
+    Only keys reach the driver and the plan: the columns of the order and hashes, however wide the rows are.
+    """
+    names = list(key)
+    picked = df.select(*[x.alias(n) for n, x in key.items()])
+    kinds = {f.name: f.dataType for f in picked.schema.fields}
     picked = picked.orderBy(F.xxhash64(*names)).limit(SAMPLE_A_RANGE * ranges)
     rows = picked.orderBy(*names).collect() if ranges > 1 else []  # bounded by the limit
     bounds = sorted({len(rows) * i // ranges for i in range(1, ranges)}) if rows else []
-    key = F.struct(*[c(k).alias(n) for k, n in zip(keys, names)])
+    own = F.struct(*[x.alias(n) for n, x in key.items()])
 
     def at_or_above(places: list[int], low: int) -> Column:
         if not places:
             return F.lit(low)
         mid = len(places) // 2
-        bound = F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(n) for v, k, n in zip(rows[places[mid]], keys, names)])
-        return F.when(key < bound, at_or_above(places[:mid], low)).otherwise(at_or_above(places[mid + 1:], low + mid + 1))
+        bound = F.struct(*[F.lit(v).cast(kinds[n]).alias(n) for v, n in zip(rows[places[mid]], names)])
+        return F.when(own < bound, at_or_above(places[:mid], low)).otherwise(at_or_above(places[mid + 1:], low + mid + 1))
 
     return at_or_above(bounds, 0)
 
@@ -126,15 +130,20 @@ def fill_directional(df: DataFrame, columns: Iterable[str], order_by, forward: b
     after (before) it through a small table with one row per range and group.
     The ranges' bounds are read once, from a bounded sample of keys drawn by
     hash, and are literals in the plan: both branches see the same ranges, and nothing is cached.
+
+    A key is a hash of the group, the columns of ``order_by`` and a hash of the row, which orders rows that are
+    equal in all of ``order_by`` (the same way on every run); without ``order_by`` every column is one of the order.
     """
     cols = require(df, as_list(columns))
     part = require(df, as_list(partition_by))
-    keys = [k for k in order_key(df, order_by) if k not in part]
+    keys = [k for k in (require(df, as_list(order_by)) or order_key(df, None)) if k not in part]
     spark = df.sparkSession
     n_buckets = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pid = "__fill_range"
-    ranged = df.withColumn(pid, _range_of(df, part + keys, n_buckets))
-    order = [c(k) for k in keys]
+    pid, tie = "__fill_range", "__fill_tie"
+    hashed = df.withColumn(tie, F.xxhash64(*[c(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]))
+    key = {"g": F.xxhash64(*[c(k) for k in part]), **{f"k{i}": c(k) for i, k in enumerate(keys)}, "t": F.col(tie)}
+    ranged = hashed.withColumn(pid, _range_of(hashed, key if part else {n: x for n, x in key.items() if n != "g"}, n_buckets))
+    order = [*[c(k) for k in keys], F.col(tie)]
     if forward:
         w = Window.partitionBy(pid, *[c(k) for k in part]).orderBy(*order) \
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -248,3 +248,24 @@ def test_unknown_recipe_parameter_fails(spark):
     df = spark.createDataFrame([(1.0,)], "v double")
     with pytest.raises(ValueError, match="Unknown parameters"):
         recipe.apply_step(df, {"operation": "scale_columns", "params": {"columns": ["v"], "methd": "z"}})
+
+
+def test_fill_bounds_hold_no_cells_but_the_order(spark):
+    from spruce.operators import missing
+    base = spark.range(200).select("id", F.when(F.col("id") % 3 == 0, F.col("id")).alias("v"), (F.col("id") % 2).alias("g"))
+    wide = base.select("*", *[F.concat(F.lit("secret text "), "id", F.lit(str(i))).alias(f"t{i}") for i in range(40)])
+    for df in (base, wide):
+        out = missing.fill_directional(df, ["v"], "id", partition_by="g", num_buckets=6)
+        plan = out._jdf.queryExecution().analyzed().toString()
+        assert "secret text 1" not in plan.replace("concat(secret text ", "")
+        got = {r.id: r.v for r in out.collect()}
+        assert got == {i: next((j for j in range(i, -1, -2) if j % 3 == 0), None) for i in range(200)}
+
+
+def test_fill_splits_a_run_of_ties(spark):
+    from spruce.operators import missing
+    rows = [(1, i if i % 4 == 0 else None, f"x{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "ts int, v int, s string").repartition(7)
+    want = sorted(missing.fill_directional(df, ["v"], "ts", num_buckets=1).collect(), key=str)
+    for n in (3, 16):
+        assert sorted(missing.fill_directional(df.repartition(n), ["v"], "ts", num_buckets=n).collect(), key=str) == want
