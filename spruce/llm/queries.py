@@ -35,7 +35,7 @@ def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_cross_polytope_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, whole=0)
 
 
 def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
