@@ -170,7 +170,7 @@ def quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "
     """doc_id, held_out, score and predicted for every row; learned from the rows that are not held out."""
     rows = docs.select(column(docs, key).alias("doc_id"), column(docs, text).alias("text"))
     rows = cut(with_statistics(rows).select("doc_id", "stats", held_out(F.col("doc_id")).alias("held_out")))
-    marks = labels.select(column(labels, key).alias("doc_id"), column(labels, label).cast("int").alias("label"))
+    marks = labels.select(column(labels, key).alias("doc_id"), column(labels, label).cast("string").try_cast("double").alias("label"))
     marks = marks.where("label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
     known = cut(rows.where(~F.col("held_out")).join(marks, "doc_id").select("stats", "label"))
     score = learn(known).column(F.col("stats"))
