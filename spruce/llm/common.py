@@ -64,17 +64,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     return roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def choose_below(cols: Sequence[Column], bounds: list[tuple], low: int = 0) -> Column:
-    """How many of the sorted ``bounds`` (tuples of long literals) are at or below the key ``cols``.
-
-    A balanced tree of comparisons: the depth, and so the work of a row, is
-    the logarithm of the number of bounds.
-    """
-    if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    less = None
-    for c, b in reversed(list(zip(cols, bounds[mid]))):
-        less = (c < F.lit(b)) if less is None else (c < F.lit(b)) | ((c == F.lit(b)) & less)
-    return F.when(less, choose_below(cols, bounds[:mid], low)).otherwise(
-        choose_below(cols, bounds[mid + 1:], low + mid + 1))
+def small_table(df: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table from a few rows (one for each part of a table), to be broadcast in place of as many literals in the plan."""
+    return F.broadcast(df.sparkSession.createDataFrame(list(rows), schema))

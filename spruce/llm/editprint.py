@@ -38,10 +38,10 @@ from operator import getitem, itemgetter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, connected_components, cut, partitions
+from .common import column, connected_components, cut, partitions, small_table
 from .sharding import MOST, part_of, splitters
 
 PERIOD = 4096    # steps after which the walk's bits repeat
@@ -173,13 +173,10 @@ def in_order(docs: DataFrame, text: str, key: str) -> DataFrame:
     filled = sorted(first)
     before = dict(zip(filled, filled[-1:] + filled))  # the first document follows the last one
 
-    def of_part(values: list, kind: str) -> Column:
-        return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("part") + 1)
-
-    same = F.lit(True)
-    for name, field, kind in (("k1", "k1", "long"), ("none", "none", "boolean"), ("hash", "k2", "long")):
-        same = same & (F.col(name) == of_part([first[p][field] if p in first else None for p in range(n)], kind))
-    to = F.when(same, of_part([before.get(p) for p in range(n)], "int"))
+    firsts = small_table(docs, [(p, *first[p], before[p]) for p in filled], "part int, first_k1 long, first_none boolean, first_hash long, before int")
+    rows = rows.join(firsts, "part")
+    same = (F.col("k1") == F.col("first_k1")) & (F.col("none") == F.col("first_none")) & (F.col("hash") == F.col("first_hash"))
+    to = F.when(same, F.col("before"))
     copies = [F.struct("part", F.lit(False).alias("more")),
               F.when(to.isNotNull(), F.struct(to.alias("part"), F.lit(True).alias("more")))]
     rows = rows.withColumn("to", F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull())))

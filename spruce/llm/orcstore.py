@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import column, cut, partitions
+from .common import column, cut, partitions, small_table
 from .sharding import MOST, part_of, splitters
 
 #: Parts of texts that are kept in each of two generations.
@@ -51,7 +51,7 @@ class WordEncoder:
 
     Texts are cut into parts at ASCII white space, and where an ASCII or Latin-1 letter stands before ASCII
     punctuation: the vocabularies in question never join across either.  The ids of the parts
-    are kept in a bounded table of two generations.  New parts of letters alone are one
+    are kept in a bounded table of two generations; a vocabulary for which a few probes show otherwise gets whole texts.  New parts of letters alone are one
     token group each; they go to the library as one text, and the ends of words in its ids
     tell them apart.  ASCII capitals are folded first if the vocabulary folds them and no
     combining mark could join them.
@@ -68,6 +68,9 @@ class WordEncoder:
         self.folds = all(self.whole(c.encode()) == self.whole(c.lower().encode()) for c in ascii_uppercase)
         self.parts: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        # a vocabulary that keeps white space, or joins across a cut, gets whole texts
+        tries = [b"ab cd  ef\ngh", b"ab, cd! (ef) g-h i's", b" ab ", b"caf\xc3\xa9, ab."]
+        self.splits = all(b"".join(map(self.whole, self.cut(x) or [x])) == self.whole(x) for x in tries)
 
     def whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
@@ -117,7 +120,7 @@ class WordEncoder:
             if len(self.parts) > MOST_KEPT:
                 self.parts, self.old = {}, self.parts
             some = texts[at:at + 128]
-            cut_up = [self.cut(t) for t in some]
+            cut_up = [self.cut(t) if self.splits else None for t in some]
             self._learn(set().union(*filter(None, cut_up)).difference(self.parts))
             ids = self.parts.__getitem__
             out += [self.whole(t) if x is None else b"".join(map(ids, x)) for t, x in zip(some, cut_up)]
@@ -191,12 +194,12 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     # one row for each part comes to the driver
     sums = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     before, at = [], 0
-    for p in range(max(sums, default=-1) + 1):
-        before.append(at)
-        at += sums.get(p, 0)
+    for p in sorted(sums):
+        before.append((p, at))
+        at += sums[p]
     over = Window.partitionBy("part").orderBy("none", "doc_id", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in before or [0]]), F.col("part") + 1)
-    return rows.select("doc_id", (F.sum("n_tokens").over(over) - F.col("n_tokens") + offset).alias("start"),
+    rows = rows.join(small_table(rows, before, "part int, before long"), "part")
+    return rows.select("doc_id", (F.sum("n_tokens").over(over) - F.col("n_tokens") + F.col("before")).alias("start"),
                        "n_tokens", "ids_crc32")
 
 

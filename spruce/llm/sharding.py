@@ -4,7 +4,7 @@ Rows are ordered by (hash of the text, id), so rows with equal texts stand next
 other.  Splitters that cut the order into parts of equal bytes are found by
 counting: a pass counts the exact bytes, rows and smallest and largest key below each
 of 256 probes in every key range that still holds a splitter (one map-side
-combined aggregate over keys and sizes, without texts).  A range that is light enough (``tolerance``
+combined aggregate over keys and sizes, without texts); running sums pick the range of each splitter, so one row for each comes to the driver.  A range that is light enough (``tolerance``
 of a part) or holds one key alone gives its nearer end as the splitter; the others are probed
 again, 8 bits of the key finer.  A splitter
 falls inside a group of equal texts only where the group is heavier than the tolerance; then the id splits it.
@@ -20,10 +20,12 @@ share a shard.  An empty table gives an empty table.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import choose_below, column, cut, partitions
+from .common import column, cut, partitions, small_table
 
 STEP = 8
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -37,7 +39,7 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = 0.01) -> list[tupl
     """``parts`` - 1 ascending keys (k1, k2); part i holds the keys from the i-th (1-based) on.
 
     ``rows`` has long columns k1, k2 (not null, ordered as signed numbers) and
-    size.  Each pass returns at most 256 rows for each splitter still sought.
+    size.  Each pass returns one row for each splitter still sought.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
     if parts < 2 or not total:
@@ -49,45 +51,38 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = 0.01) -> list[tupl
     sought = {i: (0, 0) for i in range(1, parts)}  # splitter: prefix of the 128-bit key, bytes before it
     for level in range(16):
         of, shift = divmod(level * STEP, 64)
-        at = rows
-        if level:
-            prefixes = sorted({p for p, _ in sought.values()})
-            if of == 0 or shift == 0:
-                at = rows.where(F.shiftrightunsigned(word[0], 64 - shift if of == 0 else 0).isin([_signed(p) for p in prefixes]))
-            else:
-                pairs = [(_signed(p >> shift), p & ((1 << shift) - 1)) for p in prefixes]
-                keep = F.lit(False)
-                for a, b in pairs:
-                    keep = keep | ((word[0] == a) & (F.shiftrightunsigned(word[1], 64 - shift) == b))
-                at = rows.where(keep)
         high = F.shiftrightunsigned(word[0], 64 - shift) if of == 0 and shift else (F.lit(0).cast("long") if of == 0 else word[0])
         low = F.shiftrightunsigned(word[1], 64 - shift) if of and shift else F.lit(0).cast("long")
         probe = F.shiftrightunsigned(word[of], 64 - shift - STEP).bitwiseAND(F.lit((1 << STEP) - 1))
-        key = F.struct("k1", "k2")
-        counted = at.groupBy(high.alias("high"), low.alias("low"), probe.alias("probe")).agg(
-            F.sum("size").alias("bytes"), (F.min(key) == F.max(key)).alias("one")).collect()
-        bins: dict[int, list[tuple[int, int, bool]]] = {}
-        for r in counted:
-            high_bits = r["high"] & ((1 << 64) - 1)
-            prefix = high_bits << shift | r["low"] if of and shift else high_bits
-            bins.setdefault(prefix, []).append((r["probe"], r["bytes"], r["one"]))
+
+        def halves(prefix):
+            return (_signed(prefix >> shift), prefix & ((1 << shift) - 1)) if of and shift else (_signed(prefix), 0)
+
+        wanted = small_table(rows, [(i, *halves(p), b, total * i / parts) for i, (p, b) in sought.items()],
+                             "i int, high long, low long, before long, goal double")
+        keyed = rows.select(high.alias("high"), low.alias("low"), probe.alias("probe"), "k1", "k2", "size")
+        if level:
+            keyed = keyed.join(F.broadcast(wanted.select("high", "low").distinct()), ["high", "low"], "left_semi")
+        one = (F.min("k1") == F.max("k1")) & (F.min("k2") == F.max("k2"))
+        counted = keyed.groupBy("high", "low", "probe").agg(F.sum("size").alias("bytes"), one.alias("one"))
+        upto = F.sum("bytes").over(Window.partitionBy("high", "low").orderBy("probe"))  # 256 rows at most
+        held = counted.withColumn("upto", upto).join(wanted, ["high", "low"]).where(
+            "before + upto >= goal AND before + upto - bytes < goal")
+        at = {r["i"]: r for r in held.collect()}
         left = {}
         for i, (prefix, before) in sought.items():
-            goal = total * i / parts
-            for probe_at, size, one in sorted(bins[prefix]):
-                if before + size < goal:
-                    before += size
-                    continue
-                here = prefix << STEP | probe_at
-                if size <= allowed or one or level == 15:
-                    rest = 128 - STEP * (level + 1)
-                    up = goal - before > before + size - goal and here + 1 < 1 << 128 - rest
-                    found[i] = (here + up) << rest
-                else:
-                    left[i] = (here, before)
-                break
-            else:  # rounding put the goal at the very end
+            if i not in at:  # rounding put the goal at the very end
                 found[i] = (1 << 128) - 1
+                continue
+            r, goal = at[i], total * i / parts
+            before, size = before + r["upto"] - r["bytes"], r["bytes"]
+            here = prefix << STEP | r["probe"]
+            if size <= allowed or r["one"] or level == 15:
+                rest = 128 - STEP * (level + 1)
+                up = goal - before > before + size - goal and here + 1 < 1 << 128 - rest
+                found[i] = (here + up) << rest
+            else:
+                left[i] = (here, before)
         sought = left
         if not sought:
             break
@@ -96,7 +91,20 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = 0.01) -> list[tupl
 
 
 def part_of(k1: Column, k2: Column, bounds: list[tuple[int, int]]) -> Column:
-    return choose_below([k1, k2], bounds).cast("int")
+    """How many of the ascending ``bounds`` are at or below the key, by binary search; the plan does not grow with their number."""
+    b1, b2 = (np.array([b[i] for b in bounds], dtype=np.int64) for i in (0, 1))
+
+    @F.pandas_udf("int")
+    def search(x1: pd.Series, x2: pd.Series) -> pd.Series:
+        x1, x2 = x1.to_numpy(), x2.to_numpy()
+        out, end = np.searchsorted(b1, x1, "left"), np.searchsorted(b1, x1, "right")
+        for lo in np.unique(out[end > out]):  # bounds with the same first half
+            of = (out == lo) & (end > lo)
+            hi = end[of][0]
+            out[of] += np.searchsorted(b2[lo:hi], x2[of], "right")
+        return pd.Series(out.astype(np.int32))
+
+    return search(k1, k2) if bounds else F.lit(0)
 
 
 def sharded(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_id", tolerance: float = 0.01) -> DataFrame:
@@ -119,6 +127,7 @@ def sharded(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "do
     rows = docs.select(*[column(docs, c) for c in kept], size.alias("size"), k1.alias("__k1"), k2.alias("__k2"),
                        part_of(k1, k2, bounds).alias("__part"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy("__k1", "__k2")).cast("long") - 1
-    before = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("__part") + 1)
+    before = F.col("__before")
+    rows = rows.join(small_table(docs, list(enumerate(offsets)), "__part int, __before long"), "__part")
     return rows.withColumns({"shard": F.floor(F.col("__part") / F.lit(per_shard)).cast("int"),
-                             "slot": place + before}).drop("__k1", "__k2", "__part")
+                             "slot": place + before}).drop("__k1", "__k2", "__part", "__before")

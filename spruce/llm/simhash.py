@@ -35,8 +35,9 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import column, connected_components, cut
 
@@ -184,13 +185,21 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one row of each component: the smallest id, then the smallest hash of the text.
 
-    A null id stays only where a component has no other.
+    Of rows that are equal in both, the one with the smallest hash of all its columns stays.  A null id stays only where
+    a component has no other.
     """
     found = components(docs, text=text, key=key, **options)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    stay = found.groupBy("root").agg(F.min(place).alias("p")).select("p.doc_id", "p.text_hash")
-    stay = stay.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    each = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    stay = each.groupBy("root").agg(F.min(F.struct(place.alias("p"), "n")).alias("s")).select(
+        F.col("s.p.doc_id").alias("__id"), F.col("s.p.text_hash").alias("__hash"), F.col("s.n").alias("__n"))
     rows = docs.withColumns({"__k": column(docs, key),
                              "__h": F.xxhash64(F.coalesce(column(docs, text), F.lit("")))})
-    kept = rows.join(stay, F.col("__k").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left_semi")
-    return kept.dropDuplicates(["__k", "__h"]).drop("__k", "__h")
+    kept = rows.join(stay, F.col("__k").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")))
+    once = kept.where("__n = 1")
+    # few: only rows that stand there more than once are ranked
+    cells = F.xxhash64(*[x for c in docs.columns for x in (column(docs, c).isNull(), column(docs, c))
+                         if not isinstance(docs.schema[c].dataType, T.MapType)])
+    rank = F.row_number().over(Window.partitionBy("__k", "__h").orderBy("__all"))
+    more = kept.where("__n > 1").withColumn("__all", cells).withColumn("__rank", rank).where("__rank = 1").drop("__all", "__rank")
+    return once.unionByName(more).drop("__k", "__h", "__id", "__hash", "__n")
