@@ -13,7 +13,10 @@ from . import stats
 
 
 def iqr_bounds(df: DataFrame, column: str, factor: float = 1.5, exact: bool = True) -> dict:
-    q1, q3 = stats.quantiles(df, column, [0.25, 0.75], exact=exact)
+    return _iqr(*stats.quantiles(df, column, [0.25, 0.75], exact=exact), factor)
+
+
+def _iqr(q1: float | None, q3: float | None, factor: float) -> dict:
     if q1 is None:
         return {"q1": None, "q3": None, "iqr": None, "lower": None, "upper": None}
     iqr = q3 - q1
@@ -27,7 +30,10 @@ def _bound(x: float) -> float | None:
 
 def zscore_bounds(df: DataFrame, column: str, threshold: float = 3.0) -> dict:
     st = stats.column_stats(df, [column], ["mean", "std"])[column]
-    mean, std = st["mean"], st["std"]
+    return _zscore(st["mean"], st["std"], threshold)
+
+
+def _zscore(mean: float | None, std: float | None, threshold: float) -> dict:
     lower = upper = None
     if std is not None and math.isnan(std):
         std = None  # an infinity among the values: no z-score is defined, so nothing is flagged or capped
@@ -121,13 +127,24 @@ def remove_outlier_rows(df: DataFrame, column: str, method: str = "iqr", factor:
 
 def treat_outliers(df: DataFrame, columns: Iterable[str], method: str = "IQR", action: str = "Cap",
                    factor: float = 1.5, threshold: float = 3.0) -> DataFrame:
-    """The recipe's ``outlier_treatment`` step: cap or remove, per column in turn."""
-    for k in as_list(columns):
-        if "cap" in action.lower():
-            df = cap_outliers_iqr(df, k, factor) if method.lower() == "iqr" else \
-                cap_outliers_zscore(df, k, threshold)
-        else:
+    """The recipe's ``outlier_treatment`` step: cap or remove, per column in turn.
+
+    Capping changes no other column, so the bounds of all columns come from one shared fit; rows that a column removes
+    count no more for the next one, so removal fits column after column.
+    """
+    cols = require(df, list(dict.fromkeys(as_list(columns))))
+    if "cap" not in action.lower():
+        for k in cols:
             df = remove_outlier_rows(df, k, method, factor, threshold)
+        return df
+    if method.lower() == "iqr":
+        quartiles = stats.column_quantiles(df, cols, [0.25, 0.75])
+        bounds = {k: _iqr(*quartiles[k], factor) for k in cols}
+    else:
+        fitted = stats.column_stats(df, cols, ["mean", "std"])
+        bounds = {k: _zscore(fitted[k]["mean"], fitted[k]["std"], threshold) for k in cols}
+    for k in cols:
+        df = cap_outliers(df, k, bounds[k]["lower"], bounds[k]["upper"])
     return df
 
 

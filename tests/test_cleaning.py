@@ -269,3 +269,23 @@ def test_fill_splits_a_run_of_ties(spark):
     want = sorted(missing.fill_directional(df, ["v"], "ts", num_buckets=1).collect(), key=str)
     for n in (3, 16):
         assert sorted(missing.fill_directional(df.repartition(n), ["v"], "ts", num_buckets=n).collect(), key=str) == want
+
+
+def test_capping_fits_all_columns_at_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    base = spark.range(200).selectExpr("cast(id * id as double) as a", "cast(id % 50 * 3 as double) as b", "IF(id = 7, 1e6, id) as c")
+    df = base.mapInArrow(counted, base.schema)
+    for method, passes in (("IQR", 2), ("zscore", 1)):
+        seen.value = 0
+        out = numeric.treat_outliers(df, ["a", "b", "c"], method, "Cap")
+        assert seen.value == passes * 200
+        want = base
+        for k in ("a", "b", "c"):
+            want = numeric.cap_outliers_iqr(want, k) if method == "IQR" else numeric.cap_outliers_zscore(want, k)
+        assert sorted(out.collect()) == sorted(want.collect())
