@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.adaptive.enabled", "true")
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.driver.memory", os.environ.get("SPRUCE_DRIVER_MEMORY", "8g")))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
