@@ -11,7 +11,8 @@ match of n bytes costs O(n log n) at most, however long it is.
 Short matches are kept in a bounded table with their ids, as text repeats.
 
 Defined results: null text is the empty text (no ids; hash of the empty
-string).  Text that came with lone surrogates cannot occur in Spark strings.
+string).  Rows equal in text get equal results, each row its own; an empty table gives an
+empty one; input columns with the names of the three added ones are replaced.  Text that came with lone surrogates cannot occur in Spark strings.
 """
 
 from __future__ import annotations

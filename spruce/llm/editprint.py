@@ -25,6 +25,8 @@ beyond the text itself.
 Defined results: null text is the empty text; two empty texts have likeness
 1, an empty and another one 0.  Rows with one id come in the order of
 the texts' hashes; null ids come last.  A single document is its own next document.
+An empty table gives an empty one.  Ids are whole numbers (others are cast to them, or end the job); columns other than
+id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ that numpy steps many stretches through the automata side by side and a very
 long text costs no more a character than a short one.
 
 Defined results: null text, or text without a letter: ``und``, score 0.
-Without any labelled text every row is ``und``.  Repeated rows get equal
+Without any labelled text every row is ``und``; an empty table gives an empty one.  Repeated rows get equal
 results.  An input column that has the name of an output column is replaced.
 """
 

@@ -13,7 +13,8 @@ of the whole text, and the ids of a word that comes again are taken from a
 bounded table.  For a tokenizer that keeps white space set ``by_word=False``.
 
 Defined results: null text is the empty text (the end id alone).  Null ids
-come last; rows with one id are ordered by the hash of the text.  An empty
+come last; rows with one id are ordered by the hash of the text.  Ids are whole numbers (others are cast to them, or end the job);
+columns other than id and text are not read, whatever their names.  An empty
 table writes an empty folder, which reads as no rows.
 """
 

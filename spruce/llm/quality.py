@@ -15,7 +15,8 @@ common ones in the trees; the lasso sees the labels as they are, so the score is
 
 Defined results: null text is the empty text.  A label that is null or
 neither 0 nor 1 is none.  A document with several labels has the smallest.
-Without labels every score is 0.5; with one label only it is that label.
+Without labels every score is 0.5; with one label only it is that label.  Rows equal in text get
+equal scores, each row its own; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ is its place in its part plus the rows in the shard's parts before.
 
 Defined results: size is UTF-8 bytes plus 1 (null text: 1).  A null id comes
 before all others.  Rows that are equal in text and id cannot be split and
-share a shard.  An empty table gives an empty table.
+share a shard.  An empty table gives an empty table.  Input columns named size, shard or slot are replaced.
 """
 
 from __future__ import annotations
