@@ -9,6 +9,11 @@ and returns a DataFrame.  All stages but the last return the columns of
 * near_dedup keeps one document of each group of near-equal SimHash fingerprints;
 * mixing repeats the rows of small sources up to the target weights, and drops none;
 * encoding returns doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row.
+
+Defined results, by stage: a null text goes in language_id (if one comes later: line_dedup leaves it null, near_dedup and encoding
+take it as empty, mixing as one token); an empty text is kept from line_dedup on; null ids come after all others and are kept; repeated rows
+are one document in line_dedup, one of them stays in near_dedup; a null source is a source of its own in mixing; columns of any
+names go through all stages but the last; an empty table is an empty table in every stage.
 """
 
 from __future__ import annotations
