@@ -20,8 +20,6 @@ share a shard.  An empty table gives an empty table.  Input columns named size,
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,20 +89,19 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = 0.01) -> list[tupl
 
 
 def part_of(k1: Column, k2: Column, bounds: list[tuple[int, int]]) -> Column:
-    """How many of the ascending ``bounds`` are at or below the key, by binary search; the plan does not grow with their number."""
-    b1, b2 = (np.array([b[i] for b in bounds], dtype=np.int64) for i in (0, 1))
-
-    @F.pandas_udf("int")
-    def search(x1: pd.Series, x2: pd.Series) -> pd.Series:
-        x1, x2 = x1.to_numpy(), x2.to_numpy()
-        out, end = np.searchsorted(b1, x1, "left"), np.searchsorted(b1, x1, "right")
-        for lo in np.unique(out[end > out]):  # bounds with the same first half
-            of = (out == lo) & (end > lo)
-            hi = end[of][0]
-            out[of] += np.searchsorted(b2[lo:hi], x2[of], "right")
-        return pd.Series(out.astype(np.int32))
-
-    return search(k1, k2) if bounds else F.lit(0)
+    """How many of the ascending ``bounds`` are at or below the key, by binary search in two constant arrays; the number of
+    expressions does not grow with that of the bounds."""
+    n = len(bounds)
+    b1, b2 = (F.split(F.lit(",".join(str(b[i]) for b in bounds)), ",").cast("array<bigint>") for i in (0, 1))
+
+    def step(low, size):
+        at = low + size
+        i = F.least(at, F.lit(n)) - 1
+        below = (F.get(b1, i) < k1) | ((F.get(b1, i) == k1) & (F.get(b2, i) <= k2))
+        return F.when((at <= n) & below, at).otherwise(low)
+
+    sizes = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    return F.aggregate(sizes, F.lit(0), step) if n else F.lit(0)
 
 
 def sharded(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_id", tolerance: float = 0.01) -> DataFrame:
