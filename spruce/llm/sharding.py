@@ -49,8 +49,10 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = 0.01) -> list[tupl
     sought = {i: (0, 0) for i in range(1, parts)}  # splitter: prefix of the 128-bit key, bytes before it
     for level in range(16):
         of, shift = divmod(level * STEP, 64)
-        high = F.shiftrightunsigned(word[0], 64 - shift) if of == 0 and shift else (F.lit(0).cast("long") if of == 0 else word[0])
+        # the prefix: one long for the first 64 bits, which joins hold compactly, and another one beyond; of no bits it is 0
+        high = F.shiftrightunsigned(word[0], 64 - shift) if of == 0 and shift else (word[0].bitwiseAND(F.lit(0).cast("long")) if of == 0 else word[0])
         low = F.shiftrightunsigned(word[1], 64 - shift) if of and shift else F.lit(0).cast("long")
+        prefix_columns = ["high", "low"] if of and shift else ["high"]
         probe = F.shiftrightunsigned(word[of], 64 - shift - STEP).bitwiseAND(F.lit((1 << STEP) - 1))
 
         def halves(prefix):
@@ -60,11 +62,12 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = 0.01) -> list[tupl
                              "i int, high long, low long, before long, goal double")
         keyed = rows.select(high.alias("high"), low.alias("low"), probe.alias("probe"), "k1", "k2", "size")
         if level:
-            keyed = keyed.join(F.broadcast(wanted.select("high", "low").distinct()), ["high", "low"], "left_semi")
+            known = sorted({halves(p) for p, _ in sought.values()})
+            keyed = keyed.join(small_table(rows, known, "high long, low long").select(*prefix_columns), prefix_columns, "left_semi")
         one = (F.min("k1") == F.max("k1")) & (F.min("k2") == F.max("k2"))
-        counted = keyed.groupBy("high", "low", "probe").agg(F.sum("size").alias("bytes"), one.alias("one"))
-        upto = F.sum("bytes").over(Window.partitionBy("high", "low").orderBy("probe"))  # 256 rows at most
-        held = counted.withColumn("upto", upto).join(wanted, ["high", "low"]).where(
+        counted = keyed.groupBy(*prefix_columns, "probe").agg(F.sum("size").alias("bytes"), one.alias("one"))
+        upto = F.sum("bytes").over(Window.partitionBy(*prefix_columns).orderBy("probe"))  # 256 rows at most
+        held = counted.withColumn("upto", upto).join(wanted.drop("low") if len(prefix_columns) == 1 else wanted, prefix_columns).where(
             "before + upto >= goal AND before + upto - bytes < goal")
         at = {r["i"]: r for r in held.collect()}
         left = {}
