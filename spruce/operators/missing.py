@@ -144,14 +144,10 @@ def fill_directional(df: DataFrame, columns: Iterable[str], order_by, forward: b
     key = {"g": F.xxhash64(*[c(k) for k in part]), **{f"k{i}": c(k) for i, k in enumerate(keys)}, "t": F.col(tie)}
     ranged = hashed.withColumn(pid, _range_of(hashed, key if part else {n: x for n, x in key.items() if n != "g"}, n_buckets))
     order = [*[c(k) for k in keys], F.col(tie)]
-    if forward:
-        w = Window.partitionBy(pid, *[c(k) for k in part]).orderBy(*order) \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        local = {f"__l_{i}": F.last(_nanless(df, k), ignorenulls=True).over(w) for i, k in enumerate(cols)}
-    else:
-        w = Window.partitionBy(pid, *[c(k) for k in part]).orderBy(*order) \
-            .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        local = {f"__l_{i}": F.first(_nanless(df, k), ignorenulls=True).over(w) for i, k in enumerate(cols)}
+    # backward is forward in the opposite order: a frame to the end of its partition is computed anew for every row
+    turned = order if forward else [x.desc() for x in order]
+    w = Window.partitionBy(pid, *[c(k) for k in part]).orderBy(*turned).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = {f"__l_{i}": F.last(_nanless(df, k), ignorenulls=True).over(w) for i, k in enumerate(cols)}
     filled = ranged.withColumns(local)
 
     key_struct = F.struct(*order)
@@ -160,12 +156,8 @@ def fill_directional(df: DataFrame, columns: Iterable[str], order_by, forward: b
         *[pick(_nanless(df, k), F.when(_nanless(df, k).isNotNull(), key_struct)).alias(f"__e_{i}")
           for i, k in enumerate(cols)])
     gcols = [F.col(quote(k)) for k in part]
-    if forward:
-        cw = Window.partitionBy(*gcols).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-        carry_exprs = [F.last(f"__e_{i}", ignorenulls=True).over(cw).alias(f"__c_{i}") for i in range(len(cols))]
-    else:
-        cw = Window.partitionBy(*gcols).orderBy(pid).rowsBetween(1, Window.unboundedFollowing)
-        carry_exprs = [F.first(f"__e_{i}", ignorenulls=True).over(cw).alias(f"__c_{i}") for i in range(len(cols))]
+    cw = Window.partitionBy(*gcols).orderBy(pid if forward else F.desc(pid)).rowsBetween(Window.unboundedPreceding, -1)
+    carry_exprs = [F.last(f"__e_{i}", ignorenulls=True).over(cw).alias(f"__c_{i}") for i in range(len(cols))]
     carry = edge.select(pid, *gcols, *carry_exprs)
     any_carry = F.lit(False)
     for i in range(len(cols)):

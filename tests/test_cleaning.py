@@ -76,6 +76,16 @@ def test_ffill_across_ranges(spark, buckets):
     assert col(outb, "v", "i") == expb[::-1]
 
 
+def test_bfill_reads_each_row_once(spark):
+    # a frame that ends with its partition is computed anew for every row: quadratic in the rows of a range
+    df = spark.range(100_000, numPartitions=4).selectExpr("id", "id % 3 AS g", "IF(id % 7 = 3, id, NULL) AS v")
+    for part, step in ((None, 1), ("g", 3)):
+        out = missing.fill_directional(df, ["v"], "id", False, partition_by=part, num_buckets=2)
+        assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString()
+        want = {i: next((j for j in range(i, 100_000, step) if j % 7 == 3), None) for i in range(100_000)}
+        assert {r.id: r.v for r in out.collect()} == want
+
+
 def test_drop_rows_and_sparse_columns(spark, sample):
     assert missing.drop_rows_with_nulls(sample, ["age", "salary"]).count() == 3
     df = spark.createDataFrame([(1, None, 1.0), (2, None, 2.0), (3, None, None), (4, None, 4.0), (5, 1.0, 5.0)],
