@@ -9,7 +9,8 @@ to the added axis; queries probe every range, and one of at most ``whole`` vecto
 turns the sphere by a pseudo-rotation (random signs and a fast Hadamard transform,
 three times) and assigns a vector to the nearest of the signed axes, that
 is its largest component by size, with the sign.  A query looks up
-the ``probes`` axes it is closest to in each of the ``tables``; the larger the table, the fewer.
+the ``probes`` axes it is closest to in each of the ``tables``, as many whatever the table's size: the share of the vectors that
+a query meets and the recall on its neighbourhood do not hang on how many rows there are.
 
 A query takes no candidate twice: in a bucket it meets only the vectors that
 its earlier tables have not shown it.  A bucket is dealt to blocks of about ``block`` vectors, and the queries
@@ -75,8 +76,8 @@ def axis_order(turned: np.ndarray, probes: int) -> np.ndarray:
 
 
 def probes_for(n: int) -> int:
-    """Axes to look up among ``n`` vectors.  The nearest of more vectors are nearer, so they are found on fewer axes: the number falls with
-    the sixth root of the table's size (40 at 500 vectors, 18 at 50,000, 4 at 500 million), and the share of the vectors scanned with it."""
+    """A number of axes for a caller who knows that a table of ``n`` vectors is dense and takes fewer for a larger one (40 at 500 vectors,
+    18 at 50,000, 4 at 500 million).  ``nearest`` does not use it: where near vectors do not grow nearer with the table, recall falls."""
     return max(2, min(40, round(40 * (500 / max(n, 1)) ** (1 / 6))))
 
 
@@ -110,13 +111,13 @@ def largest_of(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def nearest(vectors: DataFrame, is_query: Column | None = None, key: str = "vec_id", vector: str = "embedding", k: int = 20,
-            tables: int = 8, probes: int | None = None, block: int = 2048, asks: int = 8192, seed: int = 7,
+            tables: int = 8, probes: int = 40, block: int = 2048, asks: int = 8192, seed: int = 7,
             whole: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best found for each id that satisfies ``is_query``, a condition on
     the column ``id`` (all ids if None).
 
-    ``probes`` axes are looked up in each table; unless given, fewer the larger the table is (``probes_for``).  Norm ranges of at
-    most ``whole`` vectors (``block`` unless given) are one bucket; with 0 every range is hashed.
+    ``probes`` axes are looked up in each table.  Norm ranges of at most ``whole`` vectors (``block`` unless given) are one
+    bucket; with 0 every range is hashed.
     """
     rows = cut(usable(vectors, key, vector))
     top = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
@@ -140,7 +141,6 @@ def nearest(vectors: DataFrame, is_query: Column | None = None, key: str = "vec_
         return np.hstack([v, np.sqrt(np.maximum(0, 1 - square))])
 
     len_of = {r: x["n"] for r, x in ranges.items()}
-    probes = probes_for(sum(len_of.values())) if probes is None else probes
     whole = block if whole is None else whole
     norm_of = {r: x["largest"] or 1.0 for r, x in ranges.items()}
 

@@ -140,6 +140,18 @@ def test_nearest_recall_on_skewed_norms(spark, norms):
     assert np.mean(share) > 0.98 and min(share) >= 0.85
 
 
+def test_nearest_does_not_depend_on_the_number_of_rows(spark):
+    rng = np.random.default_rng(8)
+    near = rng.normal(size=(500, 32))
+    near /= np.linalg.norm(near, axis=1)[:, None]
+    far = rng.normal(size=(6000, 32)) * 1e-4  # no query's, and in no answer
+    rows = [(i, x.tolist()) for i, x in enumerate(near)]
+    more = rows + [(1001 + 2 * i, x.tolist()) for i, x in enumerate(far)]
+    got = [sorted(map(tuple, ann.nearest(spark.createDataFrame(r, "vec_id long, embedding array<double>"), ann.F.col("id") % 20 == 0, whole=0).collect()))
+           for r in (rows, more)]
+    assert len(got[0]) == 500 and got[0] == got[1]
+
+
 def test_nearest_with_norms_beyond_the_doubles(spark):
     rows = [(i, [float(i), 1.0]) for i in range(6)] + [(6, [1e200, 0.0]), (7, [1e-200, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
