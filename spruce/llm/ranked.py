@@ -32,6 +32,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ from .orcstore import remove, scratch_folder
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BYTES_TERM = re.compile(rb"[0-9a-z\x80-\xff]+")  # the same over lower-cased UTF-8
+IN_TERM = bytes(BYTES_TERM.fullmatch(bytes([i]).lower()) is not None for i in range(256))
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 INDEX = ("shard long, ids array<long>, nones array<boolean>, terms array<string>, dfs array<int>, depth int, bits binary, "
          "maxima binary")
@@ -112,11 +114,23 @@ class Tree:
 
 # ---------------------------------------------------------------- the index
 
+def term_count(data: bytes) -> int:
+    """Terms of a text in UTF-8: the bytes of a term that stand at its start or behind a byte of none."""
+    x = np.frombuffer(data.translate(IN_TERM), dtype=bool)
+    return int(np.count_nonzero(x[1:] > x[:-1])) + int(x[:1].sum())
+
+
 def corpus_counts(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """(N, L): documents with a term, terms of all documents."""
-    n = F.regexp_count(column(docs, text), F.lit(TERM)).cast("long")
-    row = docs.select(n.alias("n")).agg(F.count_if(F.col("n") > 0).alias("d"), F.sum("n").alias("l")).first()
-    return row["d"], row["l"] or 0
+
+    def count(batches):
+        for b in batches:
+            n = [term_count(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"d": pa.array([sum(x > 0 for x in n)], pa.int64()), "l": pa.array([sum(n)], pa.int64())})
+
+    texts = docs.select(F.coalesce(column(docs, text), F.lit("")).alias("text"))
+    row = texts.mapInArrow(count, "d long, l long").agg(F.sum("d").alias("d"), F.sum("l").alias("l")).first()
+    return row["d"] or 0, row["l"] or 0
 
 
 def write_index(docs: DataFrame, path: str, n_docs: int, n_terms: int, text: str = "text", key: str = "doc_id",

@@ -78,3 +78,13 @@ def test_tree_holds_its_cells():
             bounds.append(tree.top[node[0]])
         at = np.flatnonzero((cells[:, 0] == r) & (cells[:, 1] == c))
         assert bounds[-1] == (value[at[0]] if len(at) else 0) and bounds == sorted(bounds, reverse=True)
+
+
+def test_terms_are_counted_as_the_pattern_finds_them(spark, odd):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aZ09 /:@[`{\x7f\x00é日🙂\n\u0080_") for _ in range(rng.randrange(12))) for _ in range(3000)]
+    assert [ranked.term_count(t.encode()) for t in texts] == [len(re.findall(ranked.TERM, t)) for t in texts]
+    found = [len(re.findall(ranked.TERM, r.text or "")) for r in odd.collect()]
+    for df in (odd, odd.limit(0)):
+        want = (sum(x > 0 for x in found), sum(found)) if df is odd else (0, 0)
+        assert ranked.corpus_counts(df) == want
