@@ -38,11 +38,8 @@ from .sharding import MOST, part_of, splitters
 
 #: Parts of texts that are kept in each of two generations.
 MOST_KEPT = 600_000
-LETTER, LATIN, PUNCTUATION = (np.zeros(256, dtype=bool) for _ in range(3))
-LETTER[list(ascii_letters.encode())] = True
-PUNCTUATION[list(punctuation.encode())] = True
-LATIN[0x80:0xC0] = True  # behind byte C3: the letters of Latin-1
-LATIN[[0x97, 0xB7]] = False  # the signs of multiplication and division
+LETTER, PUNCTUATION = (bytes(i in x.encode() for i in range(256)) for x in (ascii_letters, punctuation))
+LATIN = bytes(0x80 <= i < 0xC0 and i not in (0x97, 0xB7) for i in range(256))  # behind byte C3: Latin-1's letters, not the signs of multiplication and division
 LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 SCHEMA = "doc_id long, none boolean, hash long, ids array<int>, part int"
 
@@ -86,9 +83,11 @@ class WordEncoder:
         x = np.frombuffer(data, dtype=np.uint8)
         if len(x) < 2:
             return data.split()
-        letter = LETTER[x]
-        letter[1:] |= (x[:-1] == 0xC3) & LATIN[x[1:]]
-        at = np.nonzero(letter[:-1] & PUNCTUATION[x[1:]])[0]
+        letter, punctuation = (np.frombuffer(data.translate(t), dtype=bool) for t in (LETTER, PUNCTUATION))
+        if b"\xc3" in data:
+            letter = letter.copy()
+            letter[1:] |= (x[:-1] == 0xC3) & np.frombuffer(data.translate(LATIN), dtype=bool)[1:]
+        at = np.flatnonzero(letter[:-1] & punctuation[1:])
         return np.insert(x, at + 1, 32).tobytes().split()
 
     def _learn(self, parts: set[bytes]) -> None:
@@ -117,14 +116,19 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text in UTF-8."""
         out: list[bytes] = []
-        for at in range(0, len(texts), 128):
+        for first in range(0, len(texts), 128):
             if len(self.parts) > MOST_KEPT:
                 self.parts, self.old = {}, self.parts
-            some = texts[at:at + 128]
+            some = texts[first:first + 128]
             cut_up = [self.cut(t) if self.splits else None for t in some]
-            self._learn(set().union(*filter(None, cut_up)).difference(self.parts))
-            ids = self.parts.__getitem__
-            out += [self.whole(t) if x is None else b"".join(map(ids, x)) for t, x in zip(some, cut_up)]
+            known = self.parts.get
+            ids = [x and list(map(known, x)) for x in cut_up]
+            missing = [[at for at, i in enumerate(y) if i is None] if y else [] for y in ids]
+            self._learn({x[at] for x, places in zip(cut_up, missing) for at in places})
+            for t, x, y, places in zip(some, cut_up, ids, missing):
+                for at in places:
+                    y[at] = known(x[at])
+                out.append(self.whole(t) if y is None else b"".join(y))
         return out
 
 

@@ -288,3 +288,27 @@ def test_written_ids(spark, odd, none, tmp_path):
     assert orcstore.read_ids(spark, path, [6, 7]).count() == 2
     orcstore.write_ids(none, str(tmp_path / "none"), WORDS, 2)
     assert orcstore.digests(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_word_parts_are_looked_up_once(monkeypatch):
+    class Seen(dict):
+        looked = 0
+
+        def get(self, p):
+            self.looked += 1
+            return super().get(p)
+
+    monkeypatch.setattr(orcstore, "MOST_KEPT", 40)
+    rng = random.Random(9)
+    words = orcstore.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = ["ab", "Ça", "été", "×", "÷x", "it's", "end.", "(Ü)", "12", "́", "日本", "<|endoftext|>", " ", "\n", "é."] + [f"w{chr(97 + i)}" for i in range(26)]
+    texts = ["", " ", "a", "É!"] + ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    data = [t.encode() for t in texts]
+    whole = [words.whole(t) for t in data]
+    for _ in range(2):  # the second time from both generations
+        assert words.encode(data) == whole
+    words.parts = Seen(words.parts)
+    monkeypatch.setattr(orcstore, "MOST_KEPT", 10 ** 6)
+    words.encode(data)
+    held = [p for p in map(words.cut, data) if p]
+    assert sum(map(len, held)) <= words.parts.looked <= sum(map(len, held)) + sum(p not in words.old for x in held for p in x) + 600
