@@ -114,6 +114,14 @@ class Tree:
 
 # ---------------------------------------------------------------- the index
 
+def cells(batches, *names: str):
+    """Rows of Arrow batches, text in UTF-8; of few rows at a time there are Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            some = [b.column(n).slice(at, 256) for n in names]
+            yield from zip(*[(x.cast(pa.binary()) if pa.types.is_string(x.type) else x).to_pylist() for x in some])
+
+
 def term_count(data: bytes) -> int:
     """Terms of a text in UTF-8: the bytes of a term that stand at its start or behind a byte of none."""
     x = np.frombuffer(data.translate(IN_TERM), dtype=bool)
@@ -124,9 +132,11 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """(N, L): documents with a term, terms of all documents."""
 
     def count(batches):
-        for b in batches:
-            n = [term_count(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"d": pa.array([sum(x > 0 for x in n)], pa.int64()), "l": pa.array([sum(n)], pa.int64())})
+        d = n = 0
+        for t, in cells(batches, "text"):
+            found = term_count(t)
+            d, n = d + (found > 0), n + found
+        yield pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int64()), "l": pa.array([n], pa.int64())})
 
     texts = docs.select(F.coalesce(column(docs, text), F.lit("")).alias("text"))
     row = texts.mapInArrow(count, "d long, l long").agg(F.sum("d").alias("d"), F.sum("l").alias("l")).first()
@@ -148,30 +158,30 @@ def write_index(docs: DataFrame, path: str, n_docs: int, n_terms: int, text: str
         m = np.array([50 + (50 * x[3] * n_docs) // n_terms for x in held], dtype=np.int64)
         depth, bits, maxima = build_tree(place[rows], cols, (10 ** 9 * tf) // (1000 * tf + 20 * m[cols]))
         terms = [t.decode() for t in vocabulary]
-        return pd.DataFrame([{
-            "shard": number, "ids": [x[0] for x in held], "nones": [x[1] for x in held], "terms": [terms[i] for i in order],
-            "dfs": df[order].astype(np.int32), "depth": depth, "bits": bits, "maxima": maxima}])
+        lists = {"ids": ([x[0] for x in held], pa.int64()), "nones": ([x[1] for x in held], pa.bool_()),
+                 "terms": ([terms[i] for i in order], pa.string()), "dfs": (df[order].astype(np.int32), pa.int32())}
+        return pa.RecordBatch.from_pydict({
+            "shard": pa.array([number], pa.int64()), **{n: pa.array([x], pa.list_(of)) for n, (x, of) in lists.items()},
+            "depth": pa.array([depth], pa.int32()), "bits": pa.array([bits], pa.binary()), "maxima": pa.array([maxima], pa.binary())})
 
     def shards(batches):
         held, vocabulary, size, number = [], {}, 0, 0
-        for b in batches:
-            for i, none, part, t in zip(b["id"].tolist(), b["none"].tolist(), b["part"].tolist(), b["text"].tolist()):
-                data = t.encode()
-                if tokens := BYTES_TERM.findall(data.lower()):
-                    counts = Counter(tokens)  # of a text only numbers stay
-                    rows = np.fromiter((vocabulary.setdefault(x, len(vocabulary)) for x in counts), np.int32, len(counts))
-                    held.append((i, none, counts.most_common(1)[0][0], len(tokens), rows, np.fromiter(counts.values(), np.int32, len(counts))))
-                    size += len(data)
-                    if len(held) >= shard_docs or size >= shard_bytes:
-                        yield shard((part << 32) + number, held, vocabulary)
-                        held, vocabulary, size, number = [], {}, 0, number + 1
+        for i, none, part, data in cells(batches, "id", "none", "part", "text"):
+            if tokens := BYTES_TERM.findall(data.lower()):
+                counts = Counter(tokens)  # of a text only numbers stay
+                rows = np.fromiter((vocabulary.setdefault(x, len(vocabulary)) for x in counts), np.int32, len(counts))
+                held.append((i, none, counts.most_common(1)[0][0], len(tokens), rows, np.fromiter(counts.values(), np.int32, len(counts))))
+                size += len(data)
+                if len(held) >= shard_docs or size >= shard_bytes:
+                    yield shard((part << 32) + number, held, vocabulary)
+                    held, vocabulary, size, number = [], {}, 0, number + 1
         if held:
             yield shard((part << 32) + number, held, vocabulary)
 
     k = column(docs, key).cast("long")
     rows = docs.select(F.coalesce(k, F.lit(0)).alias("id"), k.isNull().alias("none"), F.spark_partition_id().alias("part"),
                        column(docs, text).alias("text")).where("text IS NOT NULL")
-    rows.mapInPandas(shards, INDEX).write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).mode("error").parquet(path)
+    rows.mapInArrow(shards, INDEX).write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).mode("error").parquet(path)
 
 
 # ---------------------------------------------------------------- the search
