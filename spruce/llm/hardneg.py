@@ -17,7 +17,8 @@ product of whole-number vectors (each component is ``floor(scale * x)``), so eve
 4. Steps 2 and 3 run once for the positives, whose window has no ends, and once for the windows of the negatives.
 
 Chunks and blocks meet by joins on their numbers; what a task holds is a chunk and a block.  The chunks' side of the joins is
-salted, so one chunk's blocks are spread over the tasks.
+salted, so one chunk's blocks are spread over the tasks.  These are merge joins at every size: Spark takes an array for one
+element, and a file's compressed size for its rows', so it would send the vectors of all blocks through the driver.
 
 Defined results: rows with a null id, label or vector, or with a null or non-finite component, take no part, nor do
 vectors whose length is not the most common one (the smaller on ties).  Of rows with one id, the one with the smallest
@@ -70,6 +71,7 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def bounds(a: np.ndarray, mins: np.ndarray, maxs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(anchor, block) smallest and largest inner product of each anchor with any point of each box."""
+    a, mins, maxs = (x.astype(np.result_type(x, np.int64)) for x in (a, mins, maxs))
     up, down = np.maximum(a, 0), np.minimum(a, 0)
     return up @ mins.T + down @ maxs.T, up @ maxs.T + down @ mins.T
 
@@ -87,7 +89,8 @@ def best_of(s: np.ndarray, ok: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.
 
 
 def usable(vectors: DataFrame, key: str, vector: str, label: str, scale: float) -> tuple[DataFrame, int, int]:
-    """(id, label, q) of the rows that take part, their width and the largest |q|; see the module's defined results."""
+    """(id, label, q) of the rows that take part, their width and the largest |q|; see the module's defined results.  ``q`` has the
+    smallest whole numbers that hold it, as rows of whole blocks and chunks are moved and kept in memory."""
     rows = vectors.select(column(vectors, key).cast("long").alias("id"), column(vectors, label).cast("long").alias("label"),
                           column(vectors, vector).cast("array<double>").alias("v"))
     rows = rows.where("id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) "
@@ -100,7 +103,8 @@ def usable(vectors: DataFrame, key: str, vector: str, label: str, scale: float)
     d, far = top["d"], abs(top["far"] * scale) + 1
     if far * far * max(1, d) * 100 >= 2.0 ** 63:
         raise ValueError("scores of these vectors do not fit 64 bits")
-    q = F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("long"))
+    kind = "short" if far < 2 ** 15 else "int" if far < 2 ** 31 else "long"
+    q = F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast(kind))
     rows = rows.where(F.size("v") == d).select("id", "label", q.alias("q"))
     # ids that occur more than once are settled apart, so the vectors of the others are not grouped
     twice = cut(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
@@ -116,7 +120,7 @@ def write_blocks(rows: DataFrame, path: str, size: int, far: int) -> None:
     def keyed(batches):
         for b in batches:
             if len(b):
-                q = np.stack(b["q"].to_numpy())
+                q = np.stack(b["q"].to_numpy()).astype(np.int64)
                 cells = ((q + far) * (1 << BITS)) // (2 * far + 1)
                 keys = [k.tobytes() for k in hilbert_keys(cells)] if q.shape[1] else [b""] * len(b)
                 yield b.assign(h=keys)
@@ -139,10 +143,11 @@ def write_blocks(rows: DataFrame, path: str, size: int, far: int) -> None:
         if held and len(held[0]):
             yield row(held[0], number)
 
-    along = rows.mapInPandas(keyed, "id long, label long, q array<long>, h binary").repartitionByRange("h", "id")
+    q = rows.schema["q"].dataType.simpleString()
+    along = rows.mapInPandas(keyed, f"id long, label long, q {q}, h binary").repartitionByRange("h", "id")
     along = along.sortWithinPartitions("h", "id").select("id", "label", "q", F.spark_partition_id().alias("part"))
-    blocks = along.mapInPandas(packed, "number long, n int, ids array<long>, labels array<long>, q array<long>, mins array<long>, "
-                                       "maxs array<long>, kinds array<long>, least long")
+    blocks = along.mapInPandas(packed, f"number long, n int, ids array<long>, labels array<long>, q {q}, mins {q}, maxs {q}, "
+                                       "kinds array<long>, least long")
     blocks.write.option("parquet.block.size", str(8 << 20)).mode("error").parquet(path)
 
 
@@ -194,11 +199,11 @@ def _search(blocks: DataFrame, chunks: DataFrame, d: int, n_chunks: int, n_block
                 yield pd.DataFrame({"chunk": [r["number"]] * len(used), "block": np.asarray(numbers)[used],
                                     "need": [np.packbits(need[:, :, z]).tobytes() for z in used]})
 
-    pairs = asking.join(zones, ["g", "deal"]).mapInPandas(choose, "chunk long, block long, need binary")
+    pairs = asking.join(zones.hint("merge"), ["g", "deal"]).mapInPandas(choose, "chunk long, block long, need binary")
     salt = F.pmod(F.xxhash64("block"), F.lit(spread)).cast("int").alias("salt")
     given = blocks.select(F.col("number").alias("block"), F.col("ids").alias("block_ids"), F.col("labels").alias("block_labels"),
                           F.col("q").alias("block_q"))
-    pairs = pairs.join(given, "block").select("*", salt)
+    pairs = pairs.join(given.hint("merge"), "block").select("*", salt)
     many = chunks.withColumnRenamed("number", "chunk").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
 
     def scan(batches):
@@ -219,7 +224,7 @@ def _search(blocks: DataFrame, chunks: DataFrame, d: int, n_chunks: int, n_block
                     if len(x):
                         yield pd.DataFrame({"anchor_id": ids[x], "w": w, "id": cid[y], "score": s[x, y]})
 
-    found = pairs.join(many, ["chunk", "salt"]).mapInPandas(scan, FOUND)
+    found = pairs.join(many.hint("merge"), ["chunk", "salt"]).mapInPandas(scan, FOUND)
     rank = F.row_number().over(Window.partitionBy("anchor_id", "w").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -230,7 +235,7 @@ def _chunks(anchors: DataFrame, state: DataFrame, windows: int) -> DataFrame:
     empty = f"struct(1L AS lo, 0L AS hi, {HIGH}L AS floor, 0L AS floor_id)"
     per = state.groupBy("anchor_id").agg(F.map_from_entries(F.collect_list(
         F.struct("w", F.struct("lo", "hi", "floor", "floor_id")))).alias("m"))  # ``windows`` entries
-    rows = anchors.join(per, anchors.id == per.anchor_id, "left").withColumn(
+    rows = anchors.join(per.hint("merge"), anchors.id == per.anchor_id, "left").withColumn(
         "m", F.expr(f"transform(sequence(0, {windows - 1}), w -> coalesce(try_element_at(m, w), {empty}))"))
     rows = rows.groupBy("chunk").agg(F.collect_list(F.struct("id", "label", "q", "m")).alias("a"))
     flat = lambda c: F.expr(f"flatten(transform(a, x -> transform(x.m, y -> y.{c})))").alias(c)

@@ -86,3 +86,29 @@ def test_blocks_are_pruned(spark, tmp_path):
     _, up = hardneg.bounds(np.stack(zones["q"].map(lambda v: v[:d])), np.stack(zones["mins"]), np.stack(zones["maxs"]))
     own = np.diag(up)
     assert (up >= own[:, None] * 0.9).mean() < 0.5  # most blocks cannot hold an anchor's near rows
+
+
+def test_vectors_do_not_go_through_the_driver(spark, tmp_path):
+    rows = rows_near_centres(6, n=300, d=4, same=0)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    q, d, far = hardneg.usable(df, "vec_id", "embedding", "label", 256.0)
+    assert q.schema["q"].dataType.simpleString() == "array<smallint>"
+    hardneg.write_blocks(q, str(tmp_path / "b"), 16, far)
+    blocks = spark.read.parquet(str(tmp_path / "b"))
+    anchors = q.select(hardneg.F.lit(0).cast("long").alias("chunk"), "*")
+    state = q.selectExpr("id AS anchor_id", "0 AS w", f"{hardneg.LOW}L AS lo", f"{hardneg.HIGH}L AS hi", f"{hardneg.LOW}L AS floor",
+                         f"{hardneg.HIGH}L AS floor_id")
+    found = hardneg._search(blocks, hardneg._chunks(anchors, state, 1), d, 1, blocks.count(), 1, True, 3, True, None, 8)
+    assert found.count() == 900
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()  # the tables are far below any threshold
+    assert plan.count("SortMergeJoin") >= 4 and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("scale,kind", [(2.0 ** 7, "smallint"), (2.0 ** 20, "int"), (2.0 ** 26, "int")])
+def test_whole_numbers_of_every_width(spark, scale, kind):
+    rows = rows_near_centres(7, n=120, d=3, same=10)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert hardneg.usable(df, "vec_id", "embedding", "label", scale)[0].schema["q"].dataType.simpleString() == f"array<{kind}>"
+    got = hardneg.hard_negatives(df, (hardneg.F.col("id") % 9 == 0), scale=scale, block=16, chunk=8, seeds=1, group=5)
+    assert sorted(map(tuple, got.collect())) == brute(rows, lambda i: i % 9 == 0, scale)
