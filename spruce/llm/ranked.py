@@ -18,7 +18,8 @@ never opened; ranges equal to it are, so that ties are settled by the id.  The r
 
 The index holds all terms of all documents, and weights come in at the search, so it serves any items.  Items meet
 shards in blocks, by a join on the block's number: broadcast if the items' measured size is at most ``broadcast_mb``,
-salted by shard otherwise.  A tree has fewer than 2^31 nodes, as a shard's size is bounded.
+salted by shard otherwise.  A tree has fewer than 2^31 nodes, as a shard's size is bounded.  Trees are written and moved compressed, a few
+to a row group, and only the one that a task searches is whole in memory.
 
 Defined results: null text has no terms.  Every row of the documents is a document; equal rows get ranks one after the other.
 Ties go to the smaller id, null ids come last.  Rows of items with one id are one item with the terms of all; items
@@ -46,7 +47,7 @@ BYTES_TERM = re.compile(rb"[0-9a-z\x80-\xff]+")  # the same over lower-cased UTF
 IN_TERM = bytes(BYTES_TERM.fullmatch(bytes([i]).lower()) is not None for i in range(256))
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 INDEX = ("shard long, ids array<long>, nones array<boolean>, terms array<string>, dfs array<int>, depth int, bits binary, "
-         "maxima binary")
+         "maxima binary")  # bits and maxima packed
 FOUND = "item_id long, doc_id long, none boolean, score long"
 
 
@@ -92,16 +93,17 @@ class Tree:
     def __init__(self, depth: int, bits: bytes, maxima: bytes):
         self.depth = depth
         self.bytes = np.frombuffer(bits, dtype=np.uint8)
-        self.before = np.concatenate(([0], np.cumsum(POPCOUNT[self.bytes], dtype=np.int64)))
-        drops = np.frombuffer(maxima, dtype="<i4").astype(np.int64)
+        self.before = np.zeros(len(self.bytes) + 1, dtype=np.int32)
+        np.cumsum(POPCOUNT[self.bytes], out=self.before[1:])
+        drops = np.frombuffer(maxima, dtype="<i4")
         flat = np.unpackbits(self.bytes).reshape(-1, 4) if len(self.bytes) else np.zeros((0, 4), dtype=np.uint8)
-        children = flat.sum(axis=1, dtype=np.int64)
-        self.top = np.zeros(len(drops) + 1, dtype=np.int64)  # the last one, place -1, is an empty cell's
+        children = flat.sum(axis=1, dtype=np.uint8)
+        self.top = np.zeros(len(drops) + 1, dtype=np.int32)  # the last one, place -1, is an empty cell's
         self.top[0] = drops[0]
         first, last = 0, 1
         for _ in range(depth):  # a level's maxima from its parents'
             n = children[first:last]
-            size = int(n.sum())
+            size = int(n.sum(dtype=np.int64))
             self.top[last:last + size] = np.repeat(self.top[first:last], n) - drops[last:last + size]
             first, last = last, last + size
 
@@ -114,6 +116,15 @@ class Tree:
 
 # ---------------------------------------------------------------- the index
 
+def pack(data: bytes) -> bytes:
+    """The length and the compressed bytes."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def cells(batches, *names: str):
     """Rows of Arrow batches, text in UTF-8; of few rows at a time there are Python objects."""
     for b in batches:
@@ -162,7 +173,7 @@ def write_index(docs: DataFrame, path: str, n_docs: int, n_terms: int, text: str
                  "terms": ([terms[i] for i in order], pa.string()), "dfs": (df[order].astype(np.int32), pa.int32())}
         return pa.RecordBatch.from_pydict({
             "shard": pa.array([number], pa.int64()), **{n: pa.array([x], pa.list_(of)) for n, (x, of) in lists.items()},
-            "depth": pa.array([depth], pa.int32()), "bits": pa.array([bits], pa.binary()), "maxima": pa.array([maxima], pa.binary())})
+            "depth": pa.array([depth], pa.int32()), "bits": pa.array([pack(bits)], pa.binary()), "maxima": pa.array([pack(maxima)], pa.binary())})
 
     def shards(batches):
         held, vocabulary, size, number = [], {}, 0, 0
@@ -181,7 +192,9 @@ def write_index(docs: DataFrame, path: str, n_docs: int, n_terms: int, text: str
     k = column(docs, key).cast("long")
     rows = docs.select(F.coalesce(k, F.lit(0)).alias("id"), k.isNull().alias("none"), F.spark_partition_id().alias("part"),
                        column(docs, text).alias("text")).where("text IS NOT NULL")
-    rows.mapInArrow(shards, INDEX).write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).mode("error").parquet(path)
+    # a writer measures what it holds every 100 rows, which would be all shards of a task in one page, and so in the memory of its readers
+    checks = {f"parquet.{x}.size.row.check.{y}": "1" for x in ("block", "page") for y in ("min", "max")}
+    rows.mapInArrow(shards, INDEX).write.options(compression="zstd", **{"parquet.block.size": str(4 << 20)}, **checks).mode("error").parquet(path)
 
 
 # ---------------------------------------------------------------- the search
@@ -254,7 +267,8 @@ def search(spark, path: str, items: DataFrame, n_docs: int, k: int = 50, text: s
         F.collect_list(F.struct("item", "terms", "ws")).alias("x")).select(
         "block", F.expr("transform(x, y -> y.item)").alias("items"), F.expr("transform(x, y -> size(y.terms))").alias("sizes"),
         F.expr("flatten(transform(x, y -> y.terms))").alias("asked"), F.expr("flatten(transform(x, y -> y.ws))").alias("ws"))
-    shards = index.drop("dfs").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    names = F.array_join("terms", " ").alias("terms")  # one value in place of as many as there are terms
+    shards = index.select("shard", "ids", "nones", names, "depth", "bits", "maxima").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     if size["b"] <= broadcast_mb * 2 ** 20:
         pairs = shards.join(F.broadcast(blocks), "block")
     else:
@@ -268,7 +282,8 @@ def search(spark, path: str, items: DataFrame, n_docs: int, k: int = 50, text: s
         for b in batches:
             for r in b.to_dict("records"):
                 sizes, asked = np.asarray(r["sizes"], dtype=np.int64), r["asked"]
-                row_of = dict(zip(r["terms"], range(len(r["terms"]))))
+                some = set(asked)
+                row_of = {t: i for i, t in enumerate(r["terms"].split(" ")) if t in some}
                 found = np.array([row_of.get(t, -1) for t in asked], dtype=np.int64)
                 item = np.repeat(np.arange(len(sizes)), sizes)
                 there = found >= 0
@@ -280,7 +295,7 @@ def search(spark, path: str, items: DataFrame, n_docs: int, k: int = 50, text: s
                 none = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64))
                 n = r["block"]
                 names[n] = np.asarray(r["items"])
-                best[n] = descend(Tree(r["depth"], r["bits"], r["maxima"]), rows, weights, best.get(n, none),
+                best[n] = descend(Tree(r["depth"], unpack(r["bits"]), unpack(r["maxima"])), rows, weights, best.get(n, none),
                                   np.asarray(r["ids"]), np.asarray(r["nones"], dtype=bool), k, opened)
         for n, (item, score, none, doc) in best.items():
             yield pd.DataFrame({"item_id": names[n][item], "doc_id": doc, "none": none, "score": score})

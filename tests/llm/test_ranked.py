@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from spruce.llm import ranked
@@ -88,3 +89,17 @@ def test_terms_are_counted_as_the_pattern_finds_them(spark, odd):
     for df in (odd, odd.limit(0)):
         want = (sum(x > 0 for x in found), sum(found)) if df is odd else (0, 0)
         assert ranked.corpus_counts(df) == want
+
+
+def test_a_written_index_holds_few_shards_at_a_time(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.randrange(16 ** 6):x}" for _ in range(rng.randrange(4000, 12000))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    n, total = ranked.corpus_counts(docs)
+    ranked.write_index(docs, str(tmp_path / "i"), n, total, shard_docs=10)
+    file, = (tmp_path / "i").glob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_rows == 15 and meta.num_row_groups > 1
+    assert max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 8 << 20
+    sizes = [(len(r.bits) + len(r.maxima), len(ranked.unpack(r.bits)) + len(ranked.unpack(r.maxima))) for r in spark.read.parquet(str(file)).collect()]
+    assert all(2 * held < whole for held, whole in sizes)
